@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import conversations, fusion
+from strandloom.llm import conversations, fusion, leaks, lookalikes, mixing, splitting
 from strandloom.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -101,3 +101,75 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlap graph of the fragments of exported chats."""
     return conversations.overlaps(conversations.chat_rows(table(spark, sf_dir, "chat_messages")))
+
+
+# -- 2: splitting oversized items ------------------------------------------------
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.session_blocks(table(spark, sf_dir, "session_messages")).unionByName(splitting.symbol_bodies(table(spark, sf_dir, "emits")))
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces after the first begin."""
+    pieces = splitting.split_items(_items(spark, sf_dir), oversized_only=True)
+    return pieces.filter("piece_no > 0").select("item_table", "item_id", "block_no", "cut_byte")
+
+
+@query()
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized item with its text, overlap included."""
+    items = _items(spark, sf_dir)
+    return splitting.with_text(splitting.split_items(items, oversized_only=True), items)
+
+
+# -- 8: evaluation texts in training text ----------------------------------------
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 consecutive words or more of an item."""
+    spans = leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(spans).select(leaks.F.col("item").alias("item_id"), leaks.F.col("doc").alias("doc_id"))
+
+
+@query()
+def p8_without_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, leaked spans cut out."""
+    documents = table(spark, sf_dir, "documents")
+    return leaks.without_leaks(documents, leaks.leak_spans(documents, table(spark, sf_dir, "eval_items")))
+
+
+# -- 9: mixing sources -----------------------------------------------------------
+
+P9_SQL = """
+WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(max_repeats) AS repeats FROM mix_targets GROUP BY 1)
+SELECT t.source FROM t LEFT JOIN d USING (source)
+WHERE share / (SELECT sum(share) FROM t) * (SELECT sum(size) FROM d) > repeats * coalesce(d.size, 0)
+"""
+
+
+@query(P9_SQL)
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that fall short even at their most repeats."""
+    sizes = mixing.token_sizes(table(spark, sf_dir, "documents"))
+    return mixing.mix_plan(sizes, table(spark, sf_dir, "mix_targets")).filter("short").select("source")
+
+
+@query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the realised mix."""
+    sizes = mixing.token_sizes(table(spark, sf_dir, "documents"))
+    plan = mixing.mix_plan(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_report(plan, mixing.realise(sizes, plan))
+
+
+# -- 10: visually identical text -------------------------------------------------
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same but are not equal."""
+    return lookalikes.same_look_pairs(table(spark, sf_dir, "documents"))
