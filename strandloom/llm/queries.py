@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import conversations, fusion, leaks, lookalikes, mixing, splitting
+from strandloom.llm import conversations, fusion, leaks, lookalikes, markup, mixing, splitting
 from strandloom.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -173,3 +173,29 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     return lookalikes.same_look_pairs(table(spark, sf_dir, "documents"))
+
+
+# -- 5: markup residue -----------------------------------------------------------
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.table_texts(table(spark, sf_dir, "session_messages"), table(spark, sf_dir, "chat_messages"))
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text holds markup, one for each kind."""
+    return markup.markup_rows(_texts(spark, sf_dir)).withColumnRenamed("host", "item_table")
+
+
+@query()
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without markup."""
+    return markup.clean_texts(_texts(spark, sf_dir)).withColumnRenamed("host", "item_table")
+
+
+@query()
+def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equivalence classes of markup tokens of each table."""
+    texts = _texts(spark, sf_dir).selectExpr("host", "xxhash64(row_id, block_no) AS page", "text")
+    return markup.template_classes(markup.token_vectors(texts)).selectExpr("host", "pages", "array_join(tokens, ' ') AS tokens")
