@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import conversations, fusion, leaks, lookalikes, markup, mixing, splitting
+from strandloom.llm import conversations, fusion, leaks, lookalikes, markup, mixing, splitting, vectors
 from strandloom.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -199,3 +199,31 @@ def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equivalence classes of markup tokens of each table."""
     texts = _texts(spark, sf_dir).selectExpr("host", "xxhash64(row_id, block_no) AS page", "text")
     return markup.template_classes(markup.token_vectors(texts)).selectExpr("host", "pages", "array_join(tokens, ' ') AS tokens")
+
+
+# -- 4: most similar vectors -----------------------------------------------------
+
+P4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(dense_embedding, lambda x: x::DOUBLE) AS e FROM candidate_vectors
+  WHERE dense_embedding IS NOT NULL AND len(dense_embedding) = 64
+    AND len(list_filter(dense_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(dense_embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+k AS (SELECT x, y, c, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS nth FROM p WHERE c >= 0.82)
+"""
+
+
+@query(P4_SQL + "SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM k WHERE nth <= 5")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at cosine 0.82 or more of which one is among the other's five nearest."""
+    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82)
+    return vectors.similar_pairs(near, 0.82)
+
+
+@query(P4_SQL + "SELECT x AS id, y AS other, c AS cosine FROM k WHERE nth <= 5 AND x % 20 = 0")
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every row whose id is divisible by 20, with cosines."""
+    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82)
+    return near.filter("id % 20 = 0")
