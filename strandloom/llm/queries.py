@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import conversations, fusion, leaks, lookalikes, markup, mixing, splitting, vectors
+from strandloom.llm import clusters, conversations, fusion, leaks, lookalikes, markup, mixing, splitting, vectors
 from strandloom.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -227,3 +227,43 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every row whose id is divisible by 20, with cosines."""
     near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82)
     return near.filter("id % 20 = 0")
+
+
+# -- 3: similarity clusters ------------------------------------------------------
+
+P3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(dense_embedding, lambda x: x::DOUBLE) AS e FROM candidate_vectors
+  WHERE dense_embedding IS NOT NULL AND len(dense_embedding) = 64
+    AND len(list_filter(dense_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(dense_embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.82),
+r AS (SELECT vec_id AS root, vec_id AS node FROM v UNION SELECT r.root, l.y FROM r JOIN l ON l.x = r.node),
+c AS (SELECT node AS vec_id, min(root) AS cluster_id FROM r GROUP BY node),
+k AS (SELECT cluster_id, vec_id FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY 1 HAVING count(*) >= 3))
+"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.clusters(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", 0.82)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query(P3_SQL + "SELECT cluster_id, vec_id FROM k")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of similar vectors."""
+    return _clusters(spark, sf_dir)
+
+
+@query(P3_SQL + """
+, p AS (SELECT k.cluster_id, k.vec_id AS x, w.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c
+  FROM k JOIN k w ON k.cluster_id = w.cluster_id AND k.vec_id <> w.vec_id JOIN v a ON a.vec_id = k.vec_id JOIN v b ON b.vec_id = w.vec_id),
+m AS (SELECT cluster_id, x, round(avg(c), 6) AS mean FROM p GROUP BY 1, 2),
+t AS (SELECT cluster_id, string_agg(x::VARCHAR, ' ' ORDER BY mean DESC, x) AS typical FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY mean DESC, x) AS nth FROM m) WHERE nth <= 3 GROUP BY 1)
+SELECT p.cluster_id, count(DISTINCT x) AS members, round(avg(c), 6) AS cohesion, any_value(typical) AS typical FROM p JOIN t USING (cluster_id) GROUP BY 1
+""")
+def p3_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size, cohesion and most typical members."""
+    rows = table(spark, sf_dir, "candidate_vectors")
+    members = _clusters(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return clusters.describe(members, rows, "vec_id", "dense_embedding").selectExpr("cluster_id", "members", "cohesion", "array_join(transform(typical, x -> CAST(x AS STRING)), ' ') AS typical")

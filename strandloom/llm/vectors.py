@@ -20,7 +20,8 @@ Defined results for odd input:
 * lengths other than 1 do not matter; equal vectors stored twice are each a row
   of their own, at cosine 1; cosines are compared rounded to 6 digits, the
   smaller id first among equals;
-* repeated ids count once for each different vector;
+* a row given twice counts once; an id given several vectors has the
+  neighbours of any of them and is never its own;
 * empty tables give empty results; extra columns are ignored.
 """
 
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.session import cut
+
 WIDTH = 64
 TABLES, PROBES = 2, 2
 BUCKET_ROWS, EXACT_ROWS, CELL_ROWS = 1_500, 4_096, 8_192
@@ -43,6 +46,8 @@ CHUNK = 4_000_000
 #: Most oversized buckets the driver holds; beyond it their bound is raised.
 MAX_HOT = 100_000
 MILLION = 1_000_000
+#: Most rows (id, rep, n) that are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 # -- hashing ---------------------------------------------------------------------
@@ -149,8 +154,9 @@ class Cells:
         rows = self.base.count()
         buckets = 1 if rows <= exact_rows else max(2, rows * probes // bucket_rows)
         self.hashing = CrossPolytope(width, buckets, tables, probes)
-        #: Representatives: one row for each different vector.
-        self.reps = self.base.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        self._copies = self._find_copies()
+        #: Representatives (rep, n, v): one row for each different vector.
+        self.reps = self._representatives()
         self.parts = self._oversized() if rows > cell_rows else {}
 
     def _oversized(self) -> dict[int, int]:
@@ -214,6 +220,10 @@ class Cells:
             reps = cell["rep"].to_numpy()
             order = np.argsort(reps, kind="stable")
             unit, _ = _unit(_matrix(cell["v"].combine_chunks(), width))
+            twice = np.flatnonzero(reps[order][1:] == reps[order][:-1])
+            if len(twice):  # rows given twice: one of each id and vector
+                _, first = np.unique(np.column_stack((reps.astype(np.float64), unit)), axis=0, return_index=True)
+                order = first[np.argsort(reps[first], kind="stable")]
             own = cell["own"].to_numpy()[order]
             if cell["a"][0].as_py() == cell["b"][0].as_py():
                 own = None
@@ -221,21 +231,46 @@ class Cells:
 
         return self.spread().groupBy("bucket", "a", "b").applyInArrow(run, schema)
 
+    def _find_copies(self) -> DataFrame:
+        """(id, rep, n) of all usable rows whose vector is stored more than once.
+
+        Fingerprints of 128 bits stand for the vectors, so that no vector is
+        shuffled and a vector with a third of all rows is counted on the map side.
+        """
+        finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+        fingers = self.base.select("id", *_finger("v"))
+        ends = fingers.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+        several = ends.filter("last > rep").select("h1", "h2", "rep")
+        rows = self.base.filter(finite & F.exists("v", lambda x: x != 0)).select("id", *_finger("v"))
+        rows = rows.join(several, ["h1", "h2"]).select("id", "rep").distinct()
+        sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        return cut(rows.join(sizes, "rep").select("id", "rep", "n"))
+
+    def _representatives(self) -> DataFrame:
+        """Rows that stand for their vector: all but the later copies.
+
+        The copies are broadcast where their counted number allows, else the
+        rows are joined by shuffle.
+        """
+        marks = self._copies.select(F.col("id").alias("copy"), F.col("rep").alias("of"), "n")
+        if self._copies.count() <= BROADCAST_ROWS:
+            marks = F.broadcast(marks)
+        rows = self.base.join(marks, F.col("id") == F.col("copy"), "left").filter("copy is null or copy = of")
+        return rows.select(F.col("id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), "v")
+
     def copies(self) -> DataFrame:
         """(id, rep) of all rows whose vector is stored more than once."""
-        finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
-        usable = finite & F.exists("v", lambda x: x != 0)
-        several = self.reps.filter((F.col("n") > 1) & usable).select(*_finger("v"), "rep")
-        return self.base.select("id", *_finger("v")).join(several, ["h1", "h2"]).select("id", "rep")
+        return self._copies.select("id", "rep")
 
 
-def _close(unit: np.ndarray, own: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _close(unit: np.ndarray, reps: np.ndarray, own: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks (rows, columns, cosines) of a cell that hold all pairs of at least
     ``least``; cosines in double precision, -2 for pairs that do not count.
 
     A product in single precision finds the rows and columns worth it.
     """
     small, m = unit.astype(np.float32), len(unit)
+    repeated = bool((reps[1:] == reps[:-1]).any())
     step = max(1, CHUNK // max(1, m))
     for s in range(0, m, step):
         rows = np.arange(s, min(m, s + step))
@@ -243,6 +278,8 @@ def _close(unit: np.ndarray, own: np.ndarray | None, least: float) -> Iterator[t
         rough[np.arange(len(rows)), rows] = -2
         if own is not None:
             rough[own[rows][:, None] == own[None, :]] = -2
+        if repeated:
+            rough[reps[rows][:, None] == reps[None, :]] = -2
         hit = rough >= np.float32(least - 1e-4)
         some = hit.any(axis=1)
         if not some.any():
@@ -262,7 +299,7 @@ def _nearest(k: int, least: float):
 
     def work(unit: np.ndarray, reps: np.ndarray, copies: np.ndarray, own: np.ndarray | None) -> pa.Table:
         names, sizes, cos, ids = [], [], [], []
-        for rows, cols, fine in _close(unit, own, least):
+        for rows, cols, fine in _close(unit, reps, own, least):
             micro = np.rint(fine * MILLION).astype(np.int64)
             micro[micro < round(least * MILLION)] = -1
             # One number that orders by cosine, then by the smaller id (columns ascend by id).
