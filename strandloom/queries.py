@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from strandloom.functions import text, vec
+from strandloom.operators import changes, graph, ledger, retrieval, rows, signals
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files
 from strandloom.session import fresh_dir, table
 
@@ -46,3 +50,220 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = table(spark, sf_dir, "source_listing")
     capture_changes(log, listing, table(spark, sf_dir, "ingest_sources"), table(spark, sf_dir, "ingest_runs"), segment=0)
     return changed_files(log)
+
+
+# ================================================================ text and ids ==
+
+
+@query("""SELECT chunk_id, chunk_index, sha256(encode(source || ':' || source_id || ':') || unhex(
+  right(lpad(hex(chunk_index), 8, '0'), 2) || substr(lpad(hex(chunk_index), 8, '0'), 5, 2) || substr(lpad(hex(chunk_index), 8, '0'), 3, 2) || left(lpad(hex(chunk_index), 8, '0'), 2))
+  || encode(coalesce(source_config_id, ''))) AS address FROM ingest_chunks""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content addresses of manifest pieces."""
+    rows = table(spark, sf_dir, "ingest_chunks")
+    return rows.select("chunk_id", "chunk_index", text.chunk_id(F.col("source"), F.col("source_id"), F.col("chunk_index"), F.col("source_config_id")).alias("address"))
+
+
+@query("""SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored more than once, by content hash."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    return rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+@query("""WITH s AS (SELECT vec_id, snippet, regexp_replace(regexp_replace(lower(snippet), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') AS g FROM candidate_vectors)
+SELECT vec_id, CASE WHEN length(g) BETWEEN 3 AND 40 AND NOT regexp_matches(g, '^[0-9]+$') THEN g END AS slug,
+  trim(regexp_replace(lower(snippet), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm, substr(snippet, 1, 12) AS head,
+  CASE WHEN length(trim(regexp_replace(snippet, '\\s+', ' ', 'g'))) > 20 THEN substr(trim(regexp_replace(snippet, '\\s+', ' ', 'g')), 1, 20) || '…' ELSE trim(regexp_replace(snippet, '\\s+', ' ', 'g')) END AS short FROM s""".replace("\\\\", "\\"))
+def slugify_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug, normal form, head and short form of each snippet."""
+    rows, c = table(spark, sf_dir, "candidate_vectors"), F.col("snippet")
+    return rows.select("vec_id", text.slugify(c).alias("slug"), text.normalize(c).alias("norm"), text.snippet(c, 12).alias("head"), text.collapsed(c, 20).alias("short"))
+
+
+@query("""SELECT emit_id, regexp_replace(regexp_extract(source_id, '([^/]+)$', 1), '\\.[^.]*$', '') AS stem, array_length(string_split(body, chr(10))) AS lines,
+  CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '…[truncated ' || (length(body) - 200)::VARCHAR || ' chars]' ELSE body END AS cut,
+  regexp_matches(replace(symbol_name, '_', '-'), '^[a-z0-9]([a-z0-9-]{0,62}[a-z0-9])?$') AND length(symbol_name) - length(replace(symbol_name, '_', '')) <= 4 AS valid FROM emits""".replace("\\\\", "\\"))
+def symbol_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File stems, line counts, truncated bodies and valid handles of symbols."""
+    rows = table(spark, sf_dir, "emits")
+    return rows.select("emit_id", text.path_stem(F.col("source_id")).alias("stem"), F.size(F.split("body", "\n")).cast("long").alias("lines"), text.truncated(F.col("body")).alias("cut"), text.valid_handle(F.regexp_replace("symbol_name", "_", "-")).alias("valid"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) > 8 THEN array_to_string(w[1:8], ' ') || '…' ELSE array_to_string(w, ' ') END AS excerpt FROM w""".replace("\\\\", "\\"))
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts and excerpts of documents."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    return rows.select("doc_id", F.size(words).cast("long").alias("n_words"), text.excerpt(F.col("text"), 8).alias("excerpt"))
+
+
+# ================================================== rules, facets, filters, joins ==
+
+
+@query("""WITH b AS (SELECT row_id, coalesce(message.role, '') AS role, ltrim(coalesce(array_to_string(list_transform(list_filter(message.content, lambda x: x.type = 'text' AND x.text IS NOT NULL), lambda x: x.text), chr(10)), ''), ' ') AS t FROM session_messages)
+SELECT row_id, CASE WHEN t LIKE '<system-reminder>%' OR t LIKE '<command-name>%' OR contains(t, '<local-command-') OR (t LIKE '%expected,%' AND role = 'user') THEN 'drop'
+  WHEN regexp_matches(t, '^Run [0-9]+') THEN 'run_report' WHEN contains(t, '```') THEN 'with_code' ELSE 'keep' END AS decision FROM b""")
+def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered drop and tag rules on session lines."""
+    blocks = F.filter("message.content", lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    body = F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit(""))
+    mine = (rows.Rule(prefix="<system-reminder>"), rows.Rule(prefix="<command-name>"), rows.Rule(contains="<local-command-"), rows.Rule(contains="expected,", roles=("user",)), rows.Rule(tag="run_report", regex="^Run [0-9]+"), rows.Rule(tag="with_code", contains="```"))
+    out = table(spark, sf_dir, "session_messages").select("row_id", F.coalesce("message.role", F.lit("")).alias("role"), body.alias("t"))
+    return out.select("row_id", rows.decide(mine, F.col("t"), F.lit("session"), F.col("role")).alias("decision"))
+
+
+@query("""WITH f AS (SELECT doc_id, list_filter(['lang:' || lang, 'project:' || project, 'kind:' || doc_kind, 'status:draft', ':bad', 'project:' || lower(trim(source))], lambda x: x IS NOT NULL) AS f FROM documents),
+o AS (SELECT doc_id, f, ['lang:xx', 'status:done', 'kind:'] AS v FROM f)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(f, lambda x: split_part(x, ':', 1) IN ('project', 'lang', 'agent', 'status', 'record_kind')))), '|') AS header,
+  array_to_string(list_sort(list_distinct(list_concat(list_concat(list_filter(f, lambda x: split_part(x, ':', 1) IN ('project', 'tags', 'status') OR split_part(x, ':', 1) NOT IN ('lang', 'kind', 'status')), ['status:done']), ['lang:xx']))), '|') AS merged FROM o""")
+def facet_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header line and overlaid facets of documents."""
+    c = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("project:"), "project"), F.concat(F.lit("kind:"), "doc_kind"), F.lit("status:draft"), F.lit(":bad"), F.concat(F.lit("project:"), F.lower(F.trim("source")))))
+    over = F.array(F.lit("lang:xx"), F.lit("status:done"), F.lit("kind:"))
+    docs = table(spark, sf_dir, "documents").withColumn("f", c)
+    return docs.select("doc_id", rows.facet_header(F.col("f")).alias("header"), F.array_join(rows.overlay_facets(F.col("f"), over), "|").alias("merged"))
+
+
+@query("""SELECT vec_id, chunk_id FROM candidate_vectors WHERE project = 'orrery' AND source = 'code' AND ts >= TIMESTAMPTZ '2025-03-01 00:00:00+00' AND ts < TIMESTAMPTZ '2025-12-01 00:00:00+00'""")
+def recall_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter pushed into the scan: project, source and a half-open time range."""
+    when = lambda s: F.lit(s).cast("timestamp")
+    cond = rows.recall_filter("orrery", "code", when("2025-03-01 00:00:00+00:00"), when("2025-12-01 00:00:00+00:00"))
+    return table(spark, sf_dir, "candidate_vectors").filter(cond).select("vec_id", "chunk_id")
+
+
+@query("""SELECT project, stale, count(*) AS n FROM candidate_vectors WHERE NOT stale OR source = 'code' GROUP BY 1, 2""")
+def active_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active rows, and stale ones of one source."""
+    return table(spark, sf_dir, "candidate_vectors").filter("not stale or source = 'code'").groupBy("project", "stale").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT row_id, session_id, row_number() OVER w - 1 AS block, lag(row_id) OVER w AS parent_id,
+  epoch_us(coalesce(ts, first_value(ts IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) AS micros
+FROM session_messages WHERE line_type IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY line_no, row_id)""")
+def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk order and parent of each session line; a missing time takes the session's first."""
+    w = Window.partitionBy("session_id").orderBy("line_no", "row_id")
+    whole = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = table(spark, sf_dir, "session_messages").filter("line_type in ('user', 'assistant')")
+    ts = F.coalesce("ts", F.first("ts", ignorenulls=True).over(whole))
+    return lines.select("row_id", "session_id", (F.row_number().over(w).cast("long") - 1).alias("block"), F.lag("row_id").over(w).alias("parent_id"), F.unix_micros(ts).alias("micros"))
+
+
+@query("""SELECT m.row_id, m.session_id, p.row_id AS linked FROM session_messages m JOIN (SELECT session_id, line_no + 1 AS line_no, row_id FROM session_messages WHERE line_type = 'user') p USING (session_id, line_no) WHERE m.line_type = 'assistant'""")
+def recall_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that each assistant line answers."""
+    lines = table(spark, sf_dir, "session_messages")
+    asked = lines.filter("line_type = 'user'").select("session_id", (F.col("line_no") + 1).alias("line_no"), F.col("row_id").alias("linked"))
+    return lines.filter("line_type = 'assistant'").join(asked, ["session_id", "line_no"]).select("row_id", "session_id", "linked")
+
+
+@query("""SELECT source, count(*) AS chunks, count(DISTINCT source_id) AS files, epoch_us(max(upserted_at)) AS last_micros FROM ingest_chunks GROUP BY 1""")
+def stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the latest upsert of each source."""
+    grouped = table(spark, sf_dir, "ingest_chunks").groupBy("source")
+    return grouped.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_id").alias("files"), F.unix_micros(F.max("upserted_at")).alias("last_micros"))
+
+
+@query("""SELECT project, epoch_us(max(ts)) AS newest_micros, count(*) AS n FROM session_messages WHERE project IS NOT NULL GROUP BY 1""")
+def newest_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest line of each project."""
+    return table(spark, sf_dir, "session_messages").filter("project is not null").groupBy("project").agg(F.unix_micros(F.max("ts")).alias("newest_micros"), F.count(F.lit(1)).alias("n"))
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", "event_type <> 'error' AS success")
+
+
+@query("""SELECT user_id, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) > 2""")
+def audit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gated statement over the audit rows."""
+    return rows.audit_sql(_audit(spark, sf_dir), "SELECT user_id, count(*) AS failures FROM audit_events WHERE success = FALSE GROUP BY 1 HAVING count(*) > 2")
+
+
+@query("""SELECT event_type, user_id % 10 AS bucket, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY GROUPING SETS ((event_type, user_id % 10), (event_type), ())""")
+def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping sets and distinct aggregates over the audit rows."""
+    sql = "SELECT event_type, bucket, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM (SELECT *, user_id % 10 AS bucket FROM audit_events) GROUP BY GROUPING SETS ((event_type, bucket), (event_type), ())"
+    return rows.audit_sql(_audit(spark, sf_dir), sql)
+
+
+@query("""SELECT event_id, user_id, row_number() OVER w AS nth, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS last_three, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window frames over the audit rows."""
+    sql = "SELECT event_id, user_id, CAST(row_number() OVER w AS BIGINT) AS nth, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS last_three, lag(event_type) OVER w AS before FROM audit_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+    return rows.audit_sql(_audit(spark, sf_dir), sql)
+
+
+@query("""SELECT n_name, l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1, 2""")
+def relational_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equi joins and an aggregate over the relational tables; small sides go by AQE's measured size."""
+    line = table(spark, sf_dir, "lineitem").filter("l_shipdate < timestamp_ntz '1998-01-01'")
+    out = line.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return out.groupBy("n_name", "l_returnflag").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("lines"))
+
+
+@query("""SELECT c_mktsegment, count(*) AS idle FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F') GROUP BY 1""")
+def relational_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a finished order."""
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("idle"))
+
+
+# ============================================================ ingest idempotency ==
+
+
+@query("""SELECT count(*) FILTER (a IS NULL) AS extra, count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (a > 1) AS doubled_corpus, count(*) FILTER (b > 1) AS doubled_manifest
+FROM (SELECT chunk_id, count(*) AS a FROM candidate_vectors WHERE chunk_id IS NOT NULL GROUP BY 1) FULL JOIN (SELECT chunk_id, count(*) AS b FROM ingest_chunks WHERE chunk_id IS NOT NULL GROUP BY 1) USING (chunk_id)""")
+def manifest_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus ids against manifest ids."""
+    return rows.drift(table(spark, sf_dir, "candidate_vectors"), table(spark, sf_dir, "ingest_chunks"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY upserted_at DESC, content_sha256) AS n FROM ingest_chunks)
+SELECT chunk_id, content_sha256, chunk_index FROM l WHERE n = 1""")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows after upserting by chunk id: the latest of each."""
+    manifest = table(spark, sf_dir, "ingest_chunks")
+    first = Window.partitionBy("chunk_id").orderBy(F.desc("upserted_at"), "content_sha256")
+    new = manifest.withColumn("n", F.row_number().over(first)).filter("n = 1").select("chunk_id", "content_sha256", "chunk_index")
+    return rows.upsert(manifest.select("chunk_id", "content_sha256", "chunk_index"), new, "chunk_id")
+
+
+@query("""WITH k AS (SELECT DISTINCT chunk_id, embedding_input_sha256 FROM ingest_chunks WHERE embedding_input_sha256 <> '' AND last_run_id IN (SELECT run_id FROM ingest_runs WHERE status = 'ok' AND finished_at IS NOT NULL))
+SELECT c.chunk_id, c.chunk_index, c.content_sha256 FROM ingest_chunks c ANTI JOIN k ON c.chunk_id = k.chunk_id AND c.embedding_input_sha256 = k.embedding_input_sha256""")
+def tier2_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that must be embedded again."""
+    chunks = table(spark, sf_dir, "ingest_chunks")
+    good = changes.successful_runs(table(spark, sf_dir, "ingest_runs")).select("last_run_id")
+    return rows.tier_two(chunks, chunks.join(good, "last_run_id", "left_semi")).select("chunk_id", "chunk_index", "content_sha256")
+
+
+@query("""WITH r AS (SELECT run_id FROM ingest_runs WHERE status = 'ok' AND finished_at IS NOT NULL ORDER BY started_at DESC LIMIT 1)
+SELECT source, source_id, source_config_id, count(*) AS pieces, bool_or(source = 'code') AS deletes FROM ingest_chunks, r WHERE last_run_id IS NULL OR last_run_id <> run_id GROUP BY 1, 2, 3""")
+def orphan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of coordinates that the latest successful run has not stamped."""
+    latest = changes.successful_runs(table(spark, sf_dir, "ingest_runs")).agg(F.max_by("last_run_id", "started_at").alias("run_id"))
+    old = rows.orphans(table(spark, sf_dir, "ingest_chunks").crossJoin(latest), F.col("run_id"))  # one row
+    return old.groupBy("source", "source_id", "source_config_id").agg(F.count(F.lit(1)).alias("pieces"), F.bool_or(F.col("source") == "code").alias("deletes"))
+
+
+@query("""SELECT source, source_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY chunk_id) // 64 AS batch FROM (SELECT DISTINCT source, source_id, chunk_index, chunk_id FROM ingest_chunks)""")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of ids per source."""
+    ids = table(spark, sf_dir, "ingest_chunks").select("source", "source_id", "chunk_index", "chunk_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
+    return ids.select("source", "source_id", "chunk_index", F.floor(nth / 64).cast("long").alias("batch"))
+
+
+@query("""WITH i AS (SELECT DISTINCT source, source_id, source_config_id, chunk_index FROM ingest_chunks),
+s AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY source, source_id, source_config_id ORDER BY chunk_index) AS island FROM i)
+SELECT source, source_id, source_config_id, min(chunk_index) AS first_index, max(chunk_index) AS last_index, count(*) AS pieces FROM s GROUP BY source, source_id, source_config_id, island""")
+def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of consecutive pieces; a second run of a file means a gap."""
+    key = ["source", "source_id", "source_config_id"]
+    at = table(spark, sf_dir, "ingest_chunks").select(*key, "chunk_index").distinct()
+    at = at.withColumn("island", F.col("chunk_index") - F.row_number().over(Window.partitionBy(*key).orderBy("chunk_index")))
+    return at.groupBy(*key, "island").agg(F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.count(F.lit(1)).alias("pieces")).drop("island")
