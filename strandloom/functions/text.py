@@ -72,8 +72,8 @@ def link_targets(text: Column) -> Column:
 
 
 def kebab_phrases(text: Column) -> Column:
-    """Kebab phrases of two to four words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^a-z0-9-])([a-z][a-z0-9]*(?:-[a-z0-9]+){1,3})(?=$|[^a-z0-9-])"), 1)
+    """Kebab phrases of two to four words; the character after one is used up."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^a-z0-9-])([a-z][a-z0-9]*(?:-[a-z0-9]+){1,3})(?:$|[^a-z0-9-])"), 1)
 
 
 def u32_le(n: Column) -> Column:

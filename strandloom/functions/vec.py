@@ -39,8 +39,8 @@ def usable(v: str, width: int) -> Column:
 
 
 def age_hours(now: Column, ts: Column, floor: float = 0.0) -> Column:
-    """Hours between two times in micros, at least ``floor``."""
-    return F.greatest(F.lit(float(floor)), (now - ts) / F.lit(3.6e9))
+    """Hours between two times in micros, at least ``floor``; null for no time."""
+    return F.when(ts.isNotNull(), F.greatest(F.lit(float(floor)), (now - ts) / F.lit(3.6e9)))
 
 
 def squash(x: Column) -> Column:

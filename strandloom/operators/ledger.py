@@ -75,3 +75,50 @@ def latest_rows(events: DataFrame, key: list[str], order: list[str]) -> DataFram
     """The last event row of each key."""
     last = F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))
     return events.withColumn("_n", last).filter("_n = 1").drop("_n")
+
+
+def anchor_matches(chunks: DataFrame, anchors: DataFrame, threshold: Column, cosine: Column, most: int = 100_000) -> DataFrame:
+    """Chunks joined to the anchors they are close to.
+
+    ``anchors`` are the ledger's threads: their number is checked and they are
+    broadcast; more than ``most`` are refused.
+    """
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError("more anchors than may be broadcast")
+    return chunks.join(F.broadcast(anchors), cosine >= threshold)
+
+
+def portfolio(hits: DataFrame, budget: int = S.LENS_BUDGET, least: int = S.LENS_MIN, seats: int = S.LENS_K) -> DataFrame:
+    """Seats under a token budget: in order of score a hit is taken while its
+    tokens fit, no text twice; ``hits``: (query_id, id, score, sha, n_tokens).
+
+    At most ``seats`` of the best hits of a query are looked at, so a group of
+    the fold is bounded.
+    """
+    import pandas as pd
+
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    few = hits.withColumn("nth", order).filter(F.col("nth") <= seats).select("query_id", "id", "sha", "n_tokens", F.col("nth").cast("long").alias("nth"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        left, seen, out = budget, set(), []
+        for r in rows.sort_values("nth").itertuples():
+            if left < least:
+                break
+            if r.sha not in seen and r.n_tokens <= left:
+                seen.add(r.sha)
+                left -= r.n_tokens
+                out.append((r.query_id, r.id, len(out), left))
+        return pd.DataFrame(out, columns=["query_id", "id", "seat", "left"])
+
+    kind = dict(few.dtypes)
+    return few.groupBy("query_id").applyInPandas(fold, f"query_id {kind['query_id']}, id {kind['id']}, seat int, left long")
+
+
+def ema(rows: DataFrame, key: str, order: list[str], value: str, weight: float = S.EMA_LAMBDA) -> DataFrame:
+    """The exponential mean after the last row of each key, in closed form: the
+    first row weighs (1 - w)^(n - 1), the i-th from the end w (1 - w)^i."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    w = F.when(F.col("_back") == F.col("_n") - 1, F.pow(F.lit(1 - weight), F.col("_back"))).otherwise(weight * F.pow(F.lit(1 - weight), F.col("_back")))
+    return rows.withColumn("_back", back).withColumn("_n", n).groupBy(key).agg(F.round(F.sum(F.col(value) * w), 6).alias("ema"), F.max("_n").cast("long").alias("n"))

@@ -267,3 +267,448 @@ def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = table(spark, sf_dir, "ingest_chunks").select(*key, "chunk_index").distinct()
     at = at.withColumn("island", F.col("chunk_index") - F.row_number().over(Window.partitionBy(*key).orderBy("chunk_index")))
     return at.groupBy(*key, "island").agg(F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.count(F.lit(1)).alias("pieces")).drop("island")
+
+
+# ============================================================ retrieval and ranking ==
+
+BM25_CTE = """
+WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL),
+p AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT id, count(*) AS dl FROM t GROUP BY 1),
+a AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM l), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS term FROM eval_items),
+s AS (SELECT query_id, p.id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM q JOIN d USING (term) JOIN p USING (term) JOIN l ON l.id = p.id, a GROUP BY 1, 2),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS lane_rank FROM s) WHERE lane_rank < 60),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+w AS (SELECT x.vec_id AS query_id, y.vec_id AS id, round(list_sum(list_transform(list_zip(x.e, y.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS score FROM v x JOIN eval_items ON x.vec_id = item_id, v y),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) - 1 AS lane_rank FROM w) WHERE lane_rank < 60),
+u AS (SELECT query_id, id, 'bm25' AS lane, score, lane_rank FROM b UNION ALL SELECT query_id, id, 'dense', score, lane_rank FROM n),
+f AS (SELECT query_id, id, round(sum(1 / (60.0 + lane_rank)), 9) AS rrf, max(score) FILTER (lane = 'bm25') AS bm25, max(score) FILTER (lane = 'dense') AS dense FROM u GROUP BY 1, 2),
+g AS (SELECT *, round(least(1, rrf / (2.0 / 60)), 9) AS f_rrf, round(coalesce(bm25 / (bm25 + 10), 0), 9) AS f_bm25 FROM f),
+r AS (SELECT g.*, round(f_rrf + 0.5 * f_bm25, 6) AS score, lower(trim(source)) AS source FROM g JOIN documents ON doc_id = id),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS k FROM r) WHERE k <= 3),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM c) WHERE place <= 10)
+"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.bm25_lane(index, table(spark, sf_dir, "eval_items"), "item_id", "passage", 60)
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "embeddings")
+    asked = stored.join(table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return retrieval.dense_lane(stored, "vec_id", "embedding", asked, "vec_id", "embedding", 60)
+
+
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = retrieval.fuse({"bm25": _bm25(spark, sf_dir), "dense": _dense(spark, sf_dir)})
+    scored = retrieval.rank(retrieval.features(fused), {"rrf": 1.0, "bm25": 0.5})
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"))
+    return retrieval.diversify(scored.join(docs, "id"), "source")
+
+
+@query(BM25_CTE + "SELECT query_id, id, score, lane_rank FROM b")
+def bm25_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword lane of all evaluation passages over all documents."""
+    return _bm25(spark, sf_dir)
+
+
+@query(BM25_CTE + "SELECT query_id, id, score, lane_rank FROM n")
+def dense_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhaustive dense lane of the passages' vectors over all vectors."""
+    return _dense(spark, sf_dir)
+
+
+@query(BM25_CTE + "SELECT query_id, id, rrf, bm25, dense FROM f")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lane union with reciprocal rank fusion."""
+    return retrieval.fuse({"bm25": _bm25(spark, sf_dir), "dense": _dense(spark, sf_dir)})
+
+
+@query(BM25_CTE + "SELECT query_id, place, id, score, f_rrf, f_bm25 * 0.5 AS c_bm25 FROM h")
+def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lanes, fused, ranked with attribution, capped per source, best ten."""
+    hits = _recall(spark, sf_dir)
+    return hits.select("query_id", "place", "id", "score", "f_rrf", F.col("match_features")["bm25"].alias("c_bm25"))
+
+
+@query(BM25_CTE + """, o AS (SELECT DISTINCT item_id AS query_id, doc_id AS id FROM eval_items JOIN documents ON contains(text, substr(passage, 1, 60))),
+m AS (SELECT o.query_id, min(place) AS first, count(place) AS found FROM o LEFT JOIN h USING (query_id, id) GROUP BY 1)
+SELECT query_id, round(coalesce(1.0 / first, 0), 6) AS rr, (first IS NOT NULL)::INT AS success, found FROM m""")
+def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank, success and hits of each passage that documents quote."""
+    head = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.substring("passage", 1, 60).alias("p"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    quoted = docs.join(F.broadcast(head), F.contains("text", "p")).select("query_id", "id")  # 240 passages by contract
+    return retrieval.reciprocal_ranks(_recall(spark, sf_dir), quoted)
+
+
+@query("""WITH c AS (SELECT v.vec_id, v.source, v.snippet, 'orrery' AS q, epoch_us(v.ts) AS m FROM candidate_vectors v), n AS (SELECT max(m) AS now FROM c)
+SELECT vec_id, round(0.5::DOUBLE + CASE WHEN source = 'code' AND contains(lower(snippet), 'scope') THEN 3.0 ELSE 0.0 END, 6) AS boosted,
+  round(0.5 - CASE WHEN source = 'thread' AND m IS NOT NULL THEN 2.0 * least(1, greatest(0, 1 - (now - m) / 3.6e9 / 24)) ELSE 0 END, 6) AS damped FROM c, n""")
+def boost_and_damp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier boost on code and the penalty on the engine's own recent chunks."""
+    base = table(spark, sf_dir, "candidate_vectors").withColumn("m", F.unix_micros("ts"))
+    now = base.agg(F.max("m").alias("now"))
+    c = base.crossJoin(now)  # one row
+    boosted = retrieval.identifier_boost(F.lit(0.5), F.col("source"), F.col("snippet"), F.lit("scope"))
+    damped = retrieval.self_reference(F.lit(0.5), F.col("source") == "thread", vec.age_hours(F.col("now"), F.col("m"), -1e12))
+    return c.select("vec_id", F.round(boosted, 6).alias("boosted"), F.round(damped, 6).alias("damped"))
+
+
+# ================================================================= signals ==
+
+SIGNAL_CTE = """
+WITH r AS (SELECT v.vec_id, v.chunk_id, coalesce(v.project, '') AS project, v.stale, epoch_us(v.ts) AS m, list_transform(v.dense_embedding, lambda x: x::DOUBLE) AS e FROM candidate_vectors v
+  WHERE dense_embedding IS NOT NULL AND len(dense_embedding) = 64 AND len(list_filter(dense_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense_embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT max(m) AS now FROM r)
+"""
+
+
+def _signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "candidate_vectors").filter(vec.usable("dense_embedding", 64))
+    return found.select("vec_id", "chunk_id", F.coalesce("project", F.lit("")).alias("project"), "stale", F.unix_micros("ts").alias("micros"), F.col("dense_embedding").alias("v"))
+
+
+@query(SIGNAL_CTE + "SELECT project, count(*) AS members, min(m) AS first_micros, max(m) AS last_micros, round(count(*) * exp(-((any_value(now) - max(m)) / 3.6e9) / 24), 6) AS score FROM r, n WHERE NOT stale AND m >= now - 2592000000000 GROUP BY project")
+def activity_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last 30 days per project, decayed by the age of the newest."""
+    base = _signal_rows(spark, sf_dir)
+    now = base.agg(F.max("micros").alias("now"))
+    return signals.activity_bursts(base.crossJoin(now), F.col("now"), ["project", "now"], 720, 24).drop("now")  # one row of now
+
+
+@query(SIGNAL_CTE + ", x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), k AS (SELECT project, i, avg(e[i]) AS a, count(*) AS rows FROM x GROUP BY 1, 2 HAVING count(*) >= 10) SELECT project, max(rows) AS rows, round(sqrt(sum(a * a)), 6) AS length FROM k GROUP BY 1")
+def baseline_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each project's mean vector, where it has ten rows."""
+    means = signals.baselines(_signal_rows(spark, sf_dir).filter("not stale"), "project", 64)
+    return means.select("project", "rows", F.round(vec.norm(F.col("mean")), 6).alias("length"))
+
+
+@query(SIGNAL_CTE + """, x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), k AS (SELECT project, i, avg(e[i]) AS a FROM x GROUP BY 1, 2 HAVING count(*) >= 10),
+b AS (SELECT project, list(a ORDER BY i) AS mean FROM k GROUP BY 1), g AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(e[i]) AS a FROM x GROUP BY 1))
+SELECT vec_id, round(greatest(0, 1 - list_cosine_similarity(e, coalesce(b.mean, g.mean))), 6) AS novelty FROM r LEFT JOIN b USING (project), g WHERE NOT stale""")
+def novelty_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each live row to its project's baseline, else to the overall one."""
+    live = _signal_rows(spark, sf_dir).filter("not stale")
+    found = signals.novelty(live, signals.baselines(live, "project", 64), signals.baselines(live, None, 64), "project")
+    return found.select("vec_id", "novelty")
+
+
+@query(SIGNAL_CTE + ", c AS (SELECT project, chunk_id, count(*) AS k FROM r GROUP BY 1, 2), d AS (SELECT source, project, count(*) AS n FROM candidate_vectors WHERE project IS NOT NULL GROUP BY 1, 2) SELECT source, project, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, project) AS k FROM d) WHERE k = 1")
+def dominant_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent project of each source, the smaller name on a tie."""
+    return signals.dominant(table(spark, sf_dir, "candidate_vectors").filter("project is not null"), "source", "project")
+
+
+@query("""WITH c AS (SELECT source, source_id, count(*) AS w FROM ingest_chunks GROUP BY 1, 2), p AS (SELECT *, w / sum(w) OVER (PARTITION BY source) AS p FROM c)
+SELECT source, round(sum(-p * ln(p)), 6) AS entropy, count(*) AS bins, CASE WHEN count(*) > 1 THEN round(sum(-p * ln(p)) / ln(count(*)), 6) ELSE 0.0 END AS normalised FROM p GROUP BY 1""")
+def evidence_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How evenly each source's pieces are spread over its files."""
+    bins = table(spark, sf_dir, "ingest_chunks").groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("w"))
+    return signals.entropy(bins, ["source"], "w")
+
+
+@query("""WITH h AS (SELECT DISTINCT lower(split_part(handle, '-', 1)) AS w, project FROM emergent_reports WHERE project IS NOT NULL), t AS (SELECT DISTINCT project AS p FROM h)
+SELECT p AS project, count(*) AS lines, count(DISTINCT session_id) AS sessions FROM t JOIN session_messages m ON contains(lower(coalesce(array_to_string(list_transform(list_filter(message.content, lambda b: b.type = 'text' AND b.text IS NOT NULL), lambda b: b.text), ' '), '')), replace(p, '-', '_')) GROUP BY 1""")
+def phrase_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session lines that mention a project's name as a phrase."""
+    names = table(spark, sf_dir, "emergent_reports").select("project").filter("project is not null").distinct()
+    blocks = F.filter("message.content", lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    body = F.lower(F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), " "), F.lit("")))
+    # Project names look like two words joined: the word pairs of a line are matched by equality.
+    lines = table(spark, sf_dir, "session_messages").select("row_id", "session_id", body.alias("body"))
+    pairs = lines.select("row_id", "session_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?=([a-z]+_[a-z]+))[a-z]"), 1))).alias("phrase"))
+    wanted = names.select("project", F.regexp_replace("project", "-", "_").alias("name"))
+    heads = pairs.select("row_id", "session_id", "phrase", F.explode(F.sequence(F.lit(1), F.length("phrase"))).alias("k")).select("row_id", "session_id", F.expr("substr(phrase, 1, k)").alias("name"))
+    grown = heads.distinct().join(wanted, "name")
+    return grown.groupBy("project").agg(F.countDistinct("row_id").alias("lines"), F.countDistinct("session_id").alias("sessions"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(^|[^a-z0-9-])([a-z][a-z0-9]*(-[a-z0-9]+){1,3})($|[^a-z0-9-])', 2)) AS phrase FROM documents WHERE text IS NOT NULL)
+SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1""")
+def kebab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kebab phrases of all documents with their counts."""
+    found = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(text.kebab_phrases(F.col("text"))).alias("phrase"))
+    return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(r"""SELECT row_id, unnest(regexp_extract_all(text, '\]\(([^)\s]+)\)', 1)) AS target FROM chat_messages WHERE text IS NOT NULL""")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link targets in chat messages."""
+    return table(spark, sf_dir, "chat_messages").filter("text is not null").select("row_id", F.explode(text.link_targets(F.col("text"))).alias("target"))
+
+
+# ===================================================== event log, freshness, use ==
+
+LOG_CTE = """
+WITH e AS (SELECT event_id, epoch_us(ts) AS m, 'u' || user_id AS handle, json_extract(props, '$.k')::BIGINT AS k, value,
+  CASE event_type WHEN 'click' THEN 'explicit_recall' WHEN 'view' THEN 'lens_included' WHEN 'error' THEN 'recall_fault' WHEN 'purchase' THEN 'operator_selected' ELSE 'focus' END AS kind FROM events),
+n AS (SELECT max(m) AS now FROM e),
+wt AS (SELECT * FROM (VALUES ('explicit_recall', 1.0::DOUBLE), ('operator_selected', 1.0), ('recall_fault', 0.7), ('lens_included', 0.5)) t(kind, weight))
+"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"click": "explicit_recall", "view": "lens_included", "error": "recall_fault", "purchase": "operator_selected"}
+    kind = F.coalesce(F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("event_type")], F.lit("focus"))
+    e = table(spark, sf_dir, "events")
+    e = e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("m"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("handle"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", kind.alias("kind"))
+    return e.crossJoin(e.agg(F.max("m").alias("now")))  # one row of now
+
+
+def _weight() -> F.Column:
+    from strandloom.schema import ACCESS_WEIGHTS
+
+    return F.create_map(*[F.lit(x) for k, w in ACCESS_WEIGHTS.items() for x in (k, float(w))])[F.col("kind")]
+
+
+@query(LOG_CTE + "SELECT event_id, kind, k FROM e, n WHERE kind <> 'focus' AND m >= now - 2592000000000 AND k IN (SELECT chunk_index FROM ingest_chunks)")
+def access_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access events of the last 30 days on wanted keys."""
+    wanted = table(spark, sf_dir, "ingest_chunks").select(F.col("chunk_index").cast("long").alias("k")).distinct()
+    return _log(spark, sf_dir).filter((F.col("kind") != "focus") & (F.col("m") >= F.col("now") - F.lit(2592000000000))).join(wanted, "k", "left_semi").select("event_id", "kind", "k")
+
+
+FRESH_CTE = LOG_CTE + """, b AS (SELECT k, ln(1 + sum(weight * power(greatest(1, (now - m) // 3600000000), -0.5))) AS base, count(*) AS n FROM e JOIN wt USING (kind), n WHERE m >= now - 2592000000000 GROUP BY 1),
+p AS (SELECT min(round(base, 9)) AS lo, max(round(base, 9)) AS hi FROM b)
+"""
+
+
+@query(FRESH_CTE + "SELECT k, n, round(CASE WHEN hi > lo THEN (round(base, 9) - lo) / (hi - lo) ELSE 0.5 END, 6) AS freshness FROM b, p")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base-level activation of each key from weighted accesses, scaled to the pool."""
+    recent = _log(spark, sf_dir).filter((F.col("kind") != "focus") & (F.col("m") >= F.col("now") - F.lit(2592000000000)))
+    base = recent.groupBy("k").agg(F.round(graph.base_level(F.floor((F.col("now") - F.col("m")) / 3600000000), _weight()), 9).alias("base"), F.count(F.lit(1)).alias("n"))
+    pool = base.agg(F.min("base").alias("lo"), F.max("base").alias("hi"))  # one row
+    return base.crossJoin(pool).select("k", "n", F.round(vec.min_max(F.col("base"), F.col("lo"), F.col("hi"), 0.5), 6).alias("freshness"))
+
+
+USE_CTE = LOG_CTE + """, s AS (SELECT handle, count(*) AS surfaced FROM e WHERE kind = 'lens_included' GROUP BY 1),
+d AS (SELECT DISTINCT handle, k, kind FROM e WHERE kind NOT IN ('lens_included', 'focus')),
+w AS (SELECT handle, round(sum(weight), 6) AS used_weighted, count(DISTINCT k) AS used_queries FROM d JOIN wt USING (kind) GROUP BY 1),
+l AS (SELECT handle, coalesce(surfaced, 0) AS surfaced, coalesce(used_weighted, 0) AS used_weighted, coalesce(used_queries, 0) AS used_queries FROM s FULL JOIN w USING (handle))
+"""
+
+
+def _use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    used = log.filter("kind not in ('lens_included', 'focus')").select("handle", F.col("k").alias("query_key"), "kind")
+    return ledger.use_ledger(log.filter("kind = 'lens_included'").select("handle"), used)
+
+
+@query(USE_CTE + "SELECT * FROM l")
+def use_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each handle surfaced and was used."""
+    return _use(spark, sf_dir)
+
+
+@query(USE_CTE + """, p AS (SELECT surfaced / sum(surfaced) OVER () AS p FROM l WHERE surfaced > 0)
+SELECT (SELECT round(sum(-p * ln(p)) / ln(count(*)), 6) FROM p) AS entropy, count(*) FILTER (used_queries = 0 AND surfaced >= 10) AS never_used, count(*) AS handles FROM l""")
+def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of what surfaces and handles shown ten times but never used."""
+    use = _use(spark, sf_dir)
+    spread = signals.entropy(use, [], "surfaced").select(F.col("normalised").alias("entropy"))
+    counts = use.agg(F.count(F.when((F.col("used_queries") == 0) & (F.col("surfaced") >= 10), 1)).alias("never_used"), F.count(F.lit(1)).alias("handles"))
+    return spread.crossJoin(counts)  # one row each
+
+
+@query(LOG_CTE + "SELECT k, round(0.5 * sum(exp(-((now - m) / 1e6) / 36000.0)), 6) AS penalty, count(*) AS shown FROM e, n WHERE kind = 'lens_included' AND m >= now - 5 * 36000000000 GROUP BY 1")
+def refractory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty on keys that were shown lately (tau of ten hours here)."""
+    shown = _log(spark, sf_dir).filter((F.col("kind") == "lens_included") & (F.col("m") >= F.col("now") - F.lit(5 * 36000000000)))
+    fade = F.exp(-((F.col("now") - F.col("m")) / 1e6) / 36000.0)
+    return shown.groupBy("k").agg(F.round(0.5 * F.sum(fade), 6).alias("penalty"), F.count(F.lit(1)).alias("shown"))
+
+
+@query(LOG_CTE + "SELECT handle AS key, arg_max(value, (m, event_id)) AS value, max(event_id) FILTER (last) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY m DESC, event_id DESC) = 1 AS last FROM e) GROUP BY 1")
+def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last write of each handle."""
+    log = _log(spark, sf_dir)
+    last = log.groupBy(F.col("handle").alias("key")).agg(F.max_by(F.struct("value", "event_id"), F.struct("m", "event_id")).alias("x"))
+    return last.select("key", "x.value", F.col("x.event_id").alias("seq"))
+
+
+@query(LOG_CTE + """, o AS (SELECT handle, value, row_number() OVER (PARTITION BY handle ORDER BY m DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY handle) AS n FROM e)
+SELECT handle, round(sum(value * CASE WHEN back = n - 1 THEN power(0.7, back) ELSE 0.3 * power(0.7, back) END), 6) AS ema, max(n) AS n FROM o GROUP BY 1""")
+def rolling_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling mean of each handle's values after its last event."""
+    return ledger.ema(_log(spark, sf_dir), "handle", ["m", "event_id"], "value")
+
+
+# ============================================================== concept graph ==
+
+GRAPH_CTE = LOG_CTE + """, t AS (SELECT 'c' || lag(k) OVER (PARTITION BY handle ORDER BY m, event_id) AS a, 'c' || k AS b, least(1.0, value / 100) AS confidence, m, event_id FROM e),
+g AS (SELECT a, b, max(confidence) AS confidence, count(*) AS touch_count, max(m) AS last_micros FROM t WHERE a IS NOT NULL AND a <> b GROUP BY 1, 2),
+c AS (SELECT g.*, round(least(1, greatest(0, confidence * exp(-greatest(1.0 / 60, (now - last_micros) / 3.6e9) / 72))), 9) AS w FROM g, n),
+ud AS (SELECT at_, to_, max(w) AS w FROM (SELECT a AS at_, b AS to_, w FROM c UNION ALL SELECT b, a, w FROM c) GROUP BY 1, 2),
+s0 AS (SELECT 'c' || k AS seed, 'c' || k AS handle, 1.0::DOUBLE AS activation FROM (SELECT DISTINCT k FROM e WHERE k < 10)),
+h1 AS (SELECT seed, to_ AS handle, max(round(activation * w * 0.5, 9)) AS activation FROM s0 JOIN ud ON handle = at_ WHERE round(activation * w * 0.5, 9) >= 0.05 GROUP BY 1, 2),
+f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY activation DESC, handle) AS nth FROM h1) WHERE nth <= 16),
+h2 AS (SELECT seed, to_ AS handle, max(round(activation * w * 0.5, 9)) AS activation FROM f1 JOIN ud ON handle = at_ WHERE round(activation * w * 0.5, 9) >= 0.05 GROUP BY 1, 2)
+"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("k").over(Window.partitionBy("handle").orderBy("m", "event_id"))
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    log = _log(spark, sf_dir)
+    touches = log.select(name(before).alias("a"), F.lit("pairs_with").alias("relation"), name(F.col("k")).alias("b"), F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"), F.lit("observed").alias("source"), F.col("m").alias("micros"), F.col("event_id").alias("seq"), "now")
+    now = log.select("now").limit(1)
+    return graph.with_conductance(graph.upserted_edges(touches).crossJoin(now), F.col("now"))
+
+
+@query(GRAPH_CTE + "SELECT a, b, round(confidence, 6) AS confidence, touch_count, w FROM c")
+def edge_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between keys that follow each other, with their conductance."""
+    return _edges(spark, sf_dir).select("a", "b", F.round("confidence", 6).alias("confidence"), "touch_count", "w")
+
+
+@query(GRAPH_CTE + "SELECT seed, handle, round(max(activation), 6) AS activation FROM (SELECT * FROM s0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2")
+def diffusion_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spreading activation over two hops from the first ten keys."""
+    seeds = _log(spark, sf_dir).filter("k < 10").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("seed")).distinct()
+    seeds = seeds.select("seed", F.col("seed").alias("handle"), F.lit(1.0).alias("activation"))
+    return graph.diffuse(seeds, graph.undirected(_edges(spark, sf_dir))).select("seed", "handle", F.round("activation", 6).alias("activation"))
+
+
+@query(GRAPH_CTE + "SELECT handle, round(1 - exp(-sum(confidence)), 6) AS edge_lift, count(*) AS edges FROM (SELECT a AS handle, confidence FROM c UNION ALL SELECT b, confidence FROM c) GROUP BY 1")
+def edge_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lift of each handle from its edges."""
+    return graph.edge_lift(_edges(spark, sf_dir))
+
+
+@query(LOG_CTE + """, a AS (SELECT handle, ln(1 + sum(CASE WHEN kind <> 'focus' THEN power(greatest(1, (now - m) / 3.6e9), -0.5) ELSE 0 END)) AS acc, min((now - m) / 3.6e9) FILTER (kind = 'focus') AS fh, min((now - m) / 3.6e9) FILTER (kind = 'operator_selected') AS nh FROM e, n GROUP BY 1)
+SELECT handle, round(0.1 + 0.5 * acc / (1 + acc) + 0.3 * coalesce(exp(-fh / 24), 0) + 0.2 * coalesce(exp(-nh / 72), 0), 6) AS activation FROM a""")
+def concept_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence plus access, focus and notes of each handle."""
+    log = _log(spark, sf_dir).withColumn("h", vec.age_hours(F.col("now"), F.col("m")))
+    parts = log.groupBy("handle").agg(
+        F.log1p(F.sum(F.when(F.col("kind") != "focus", F.pow(F.greatest("h", F.lit(1.0)), F.lit(-0.5))).otherwise(0.0))).alias("acc"),
+        F.min(F.when(F.col("kind") == "focus", F.col("h"))).alias("fh"), F.min(F.when(F.col("kind") == "operator_selected", F.col("h"))).alias("nh"),
+    )
+    fade = lambda c, tau: F.coalesce(F.exp(-F.col(c) / tau), F.lit(0.0))
+    return parts.select("handle", F.round(graph.activation(F.lit(0.1), F.col("acc"), fade("fh", 24.0), F.lit(0.0), fade("nh", 72.0)), 6).alias("activation"))
+
+
+ANCHOR_CTE = SIGNAL_CTE + """, x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale AND project <> ''), k AS (SELECT project, i, avg(e[i]) AS a FROM x GROUP BY 1, 2 HAVING count(*) >= 10),
+an AS (SELECT project, list(a ORDER BY i) AS mean FROM k GROUP BY 1)
+"""
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.baselines(_signal_rows(spark, sf_dir).filter("not stale and project <> ''"), "project", 64).select("project", "mean")
+
+
+@query(ANCHOR_CTE + ", p AS (SELECT a.project, b.project AS neighbour, round(list_cosine_similarity(a.mean, b.mean), 6) AS cosine FROM an a JOIN an b ON a.project <> b.project) SELECT project, neighbour, cosine, nth FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY cosine DESC, neighbour) AS nth FROM p WHERE cosine >= 0.2) WHERE nth <= 8")
+def latent_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest other anchors of each project's anchor above a floor."""
+    a = _anchors(spark, sf_dir)
+    other = a.select(F.col("project").alias("neighbour"), F.col("mean").alias("theirs"))
+    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
+    pairs = ledger.anchor_matches(a, other, F.lit(0.2), cos).filter("project <> neighbour").withColumn("cosine", cos)
+    return signals.newest(pairs, ["project"], 8, [F.desc("cosine"), F.col("neighbour")]).select("project", "neighbour", "cosine", "nth")
+
+
+@query(ANCHOR_CTE + "SELECT vec_id, an.project AS anchor, round(list_cosine_similarity(e, mean), 6) AS cosine FROM r JOIN an ON round(list_cosine_similarity(e, mean), 6) >= CASE WHEN r.stale THEN 0.45 ELSE 0.4 END AND r.project <> an.project")
+def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks close to another project's anchor; the threshold depends on the row."""
+    a = _anchors(spark, sf_dir).withColumnRenamed("project", "anchor")
+    cos = F.round(vec.cosine(F.col("v"), F.col("mean")), 6)
+    found = ledger.anchor_matches(_signal_rows(spark, sf_dir), a, F.when(F.col("stale"), 0.45).otherwise(0.4), cos)
+    return found.filter("project <> anchor").select("vec_id", "anchor", cos.alias("cosine"))
+
+
+# ================================================================ thread ledger ==
+
+THREAD_CTE = """
+WITH l AS (SELECT handle, coalesce(members, 0)::BIGINT AS members, CASE WHEN cohesion IS NULL OR isnan(cohesion) THEN 0.0 ELSE least(1.0, cohesion::DOUBLE) END AS cohesion, len(samples)::BIGINT AS resonance, epoch_us(surfaced_at) AS m, coalesce(project, '') AS project,
+  row_number() OVER (PARTITION BY handle ORDER BY surfaced_at DESC, members DESC) AS nth FROM emergent_reports),
+n AS (SELECT max(m) AS now FROM l),
+t AS (SELECT *, (now - m) / 8.64e10 AS days, least(1.0, members / 20.0) AS ramp FROM l, n WHERE nth = 1),
+sc AS (SELECT *, (0.1 + 0.9 * ramp) * exp(-(0.05 - 0.045 * ramp) * days) + cohesion + 0.5 * CASE WHEN resonance <= 5 AND cohesion >= 0.3 AND members < 5 THEN (cohesion - 0.3) / 0.7 ELSE 0 END AS score FROM t)
+"""
+
+
+def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = Window.partitionBy("handle").orderBy(F.desc("surfaced_at"), F.desc_nulls_last("members"))
+    reports = table(spark, sf_dir, "emergent_reports").withColumn("nth", F.row_number().over(last)).filter("nth = 1")
+    cohesion = F.when(F.col("cohesion").isNull() | F.isnan("cohesion"), 0.0).otherwise(F.least(F.lit(1.0), F.col("cohesion").cast("double")))
+    rows_ = reports.select("handle", F.coalesce("members", F.lit(0)).cast("long").alias("members"), cohesion.alias("cohesion"), F.size("samples").cast("long").alias("resonance"), F.unix_micros("surfaced_at").alias("m"), F.coalesce("project", F.lit("")).alias("project"))
+    rows_ = rows_.crossJoin(table(spark, sf_dir, "emergent_reports").agg(F.unix_micros(F.max("surfaced_at")).alias("now")))  # one row
+    tension = F.when(F.col("members") < 5, 0.1).otherwise(0.9)
+    days = (F.col("now") - F.col("m")) / 8.64e10
+    score = ledger.thread_score(F.col("members"), F.col("resonance"), tension, days, F.col("cohesion"))
+    return rows_.withColumn("days", days).withColumn("score", score)
+
+
+@query(THREAD_CTE + "SELECT handle, round(score, 6) AS score, round(days, 6) AS days FROM sc WHERE NOT (members >= 50 AND resonance / members::DOUBLE < 0.05)")
+def thread_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each reported thread that is no stop handle."""
+    t = _threads(spark, sf_dir).filter(~ledger.stop_handle(F.col("members"), F.col("resonance")))
+    return t.select("handle", F.round("score", 6).alias("score"), F.round("days", 6).alias("days"))
+
+
+@query(THREAD_CTE + """SELECT handle, CASE WHEN round(score, 6) >= 1.0 - CASE WHEN st = 'active' THEN 0.05 ELSE 0 END THEN 'active' WHEN round(score, 6) >= 0.3 - CASE WHEN st = 'slack' THEN 0.05 ELSE 0 END THEN 'slack' WHEN round(score, 6) >= 0.1 - CASE WHEN st = 'dormant' THEN 0.05 ELSE 0 END THEN 'dormant' ELSE 'archived' END AS next_state,
+  CASE WHEN days >= 60 * (1 + least(resonance, 20) / 20.0) THEN 'dormant' WHEN days >= 14 * (1 + least(resonance, 20) / 20.0) AND st = 'active' THEN 'slack' ELSE st END AS faded
+FROM (SELECT *, CASE WHEN members >= 5 THEN 'active' ELSE 'slack' END AS st FROM sc) WHERE NOT (members >= 50 AND resonance / members::DOUBLE < 0.05)""")
+def curator_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next state by score with hysteresis, and by idleness."""
+    t = _threads(spark, sf_dir).filter(~ledger.stop_handle(F.col("members"), F.col("resonance"))).withColumn("st", F.when(F.col("members") >= 5, "active").otherwise("slack"))
+    return t.select("handle", ledger.curator_state(F.col("st"), F.round("score", 6)).alias("next_state"), ledger.fade_state(F.col("st"), F.col("resonance"), F.col("days")).alias("faded"))
+
+
+@query(THREAD_CTE + "SELECT handle, members, cohesion FROM t WHERE members >= 5 AND cohesion >= 0.9")
+def promote_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals that are large and tight enough."""
+    return _threads(spark, sf_dir).filter("members >= 5 and cohesion >= 0.9").select("handle", "members", "cohesion")
+
+
+@query("""SELECT source_id, count(*) AS pieces, 'proposed-' || left(sha256(string_agg(chunk_id || chr(10), '' ORDER BY chunk_id)), 8) AS handle FROM (SELECT DISTINCT source_id, chunk_id FROM ingest_chunks) GROUP BY 1""")
+def proposed_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each file's group of pieces."""
+    ids = table(spark, sf_dir, "ingest_chunks").groupBy("source_id").agg(F.collect_set("chunk_id").alias("ids"))
+    return ids.select("source_id", F.size("ids").cast("long").alias("pieces"), text.proposed_handle(F.col("ids")).alias("handle"))
+
+
+@query(THREAD_CTE + """, d AS (SELECT project, max(cohesion) AS density, max(members) AS size FROM t GROUP BY 1),
+a AS (SELECT coalesce(project, '') AS project, count(*) AS lines FROM session_messages GROUP BY 1), y AS (SELECT *, lines / (SELECT max(lines) FROM a)::DOUBLE AS activity FROM a)
+SELECT project, round((coalesce(density, 0) + coalesce(activity, 0)) / 3, 6) AS composite, (density IS NOT NULL) AS has_density FROM d FULL JOIN y USING (project) WHERE coalesce(density, 1) >= 0.5""")
+def thread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density and activity of each project in one composite; a missing axis passes its filter and counts 0."""
+    d = _threads(spark, sf_dir).groupBy("project").agg(F.max("cohesion").alias("density"))
+    a = table(spark, sf_dir, "session_messages").groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(F.count(F.lit(1)).alias("lines"))
+    a = a.crossJoin(a.agg(F.max("lines").alias("most"))).select("project", (F.col("lines") / F.col("most")).alias("activity"))  # one row
+    both = d.join(a, "project", "full").filter("coalesce(density, 1) >= 0.5")
+    score = signals.composite({"density": F.col("density"), "activity": F.col("activity"), "novelty": F.lit(None).cast("double")}, {})
+    return both.select("project", score.alias("composite"), F.col("density").isNotNull().alias("has_density"))
+
+
+@query("""WITH c AS (SELECT source, source_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY source, source_id ORDER BY chunk_index, chunk_id) AS first FROM (SELECT DISTINCT source, source_id, chunk_id, chunk_index FROM ingest_chunks)),
+v AS (SELECT DISTINCT chunk_id, NOT stale AS live FROM candidate_vectors WHERE NOT stale)
+SELECT c.chunk_id, CASE WHEN v.chunk_id IS NOT NULL THEN 'valid' WHEN o.chunk_id IS NOT NULL THEN 'moved' ELSE 'orphaned' END AS state FROM c LEFT JOIN v USING (chunk_id)
+LEFT JOIN (SELECT c.source, c.source_id, min(c.chunk_id) AS chunk_id FROM c JOIN v USING (chunk_id) GROUP BY 1, 2) o ON c.source = o.source AND c.source_id = o.source_id""")
+def evidence_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that still resolves, has moved within its file, or is orphaned."""
+    at = table(spark, sf_dir, "ingest_chunks").select("source", "source_id", "chunk_id", "chunk_index").distinct()
+    live = table(spark, sf_dir, "candidate_vectors").filter("not stale").select("chunk_id").distinct().withColumn("live", F.lit(True))
+    found = at.join(live, "chunk_id", "left")
+    any_live = F.max(F.coalesce("live", F.lit(False))).over(Window.partitionBy("source", "source_id"))
+    state = F.when(F.col("live"), "valid").when(any_live, "moved").otherwise("orphaned")
+    return found.select("chunk_id", state.alias("state"))
+
+
+@query(BM25_CTE + "SELECT query_id, source, count(*) AS hits, arg_min(id, place) AS head, round(sum(score), 6) AS total FROM h GROUP BY 1, 2")
+def page_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each query folded to a page a source: head, count and total."""
+    hits = _recall(spark, sf_dir)
+    return hits.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("hits"), F.min_by("id", "place").alias("head"), F.round(F.sum("score"), 6).alias("total"))
+
+
+@query()
+def lens_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seats of each query's best hits under a token budget, no text twice."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.size(F.split("text", r"\s+")).alias("n_tokens"))
+    return ledger.portfolio(_recall(spark, sf_dir).select("query_id", "id", "score").join(docs, "id"), budget=400, least=20)
