@@ -20,22 +20,36 @@ from strandloom.functions.text import tokens
 
 #: Query vectors that one block of the dense lane holds on each executor.
 QUERY_BLOCK = 20_000
+#: Most (query, term) rows that are broadcast.
+QUERY_TERMS = 500_000
 
 
 def postings(chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
-    """(id, term, tf, dl): the inverted index, one row a term and chunk."""
+    """(id, term, tf, dl): the inverted index, one row a term and chunk.
+
+    The rows are partitioned by chunk, which grouping by chunk and term keeps,
+    so that scoring needs no further shuffle.
+    """
     rows = chunks.select(F.col(chunk_id).alias("id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
-    return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    rows = rows.repartition("id").select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25_lane(index: DataFrame, queries: DataFrame, query_id: str, text: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, lane_rank): the best ``limit`` chunks of each query; rank from 0."""
-    stats = index.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(query_id, id, score, lane_rank): the best ``limit`` chunks of each query; rank from 0.
+
+    The terms of the queries are broadcast where their counted number allows,
+    so that each chunk is scored where it lies; else both sides are shuffled.
+    """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    stats = index.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    wanted = asked.select("term").distinct()
+    df = index.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = asked.join(df, "term").crossJoin(stats)  # one row of statistics
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("query_id", "term", idf.alias("idf"), "avgdl")
+    if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
+        terms = F.broadcast(terms)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = index.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, "score", limit)
