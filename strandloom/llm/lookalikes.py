@@ -23,8 +23,8 @@ texts without control characters come back as they are.
 
 from __future__ import annotations
 
+import itertools
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import cut
+
 # Letters of other scripts that have the shape of a Latin letter.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
@@ -50,6 +52,9 @@ LETTERS = CYRILLIC | GREEK | OTHER
 # Characters without a glyph that are not of the format category, and format characters that have one.
 BLANK_MARKS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 SEEN_FORMATS = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x13430, 0x13440)]
+#: Ranges that can hold characters with a rule; left out are unified ideographs,
+#: Hangul syllables, surrogates, private use and planes without either.
+ASSIGNED = (range(0x3400), range(0xA000, 0xAC00), range(0xD7B0, 0xD800), range(0xF900, 0x17000), range(0x1AFF0, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
 # Digraph letters that have a compatibility decomposition but no LIGATURE in their name.
 DIGRAPHS = [*range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4)]
 
@@ -83,8 +88,8 @@ def _plain(ch: str) -> str:
 def transducer() -> tuple[re.Pattern, dict[str, str]]:
     """The compiled pattern and the table of single characters that change."""
     table, trailing = {}, []
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000 or code in (9, 10):
+    for code in itertools.chain(*ASSIGNED):
+        if code in (9, 10):
             continue
         ch = chr(code)
         kind = unicodedata.category(ch)
@@ -175,6 +180,7 @@ def same_look_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = canonical_documents(documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.col(text).isNotNull()))
     digest = lambda c: F.unhex(F.md5(c))
     rows = rows.filter(F.col("canonical").rlike(r"[^\s\p{Z}\p{C}]")).select("id", digest("canonical").alias("form"), digest("text").alias("raw"))
+    rows = cut(rows)  # three passes over small rows instead of three over the texts
     classes = rows.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
     several = classes.groupBy("form").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("form")
     members = rows.join(several, "form")
