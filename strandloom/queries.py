@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strandloom.functions import text, vec
 from strandloom.operators import changes, graph, ledger, retrieval, rows, signals
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files
+from strandloom.plans import recall
 from strandloom.session import fresh_dir, table
 
 QUERIES, ORACLE = {}, {}
@@ -303,10 +304,10 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.fuse({"bm25": _bm25(spark, sf_dir), "dense": _dense(spark, sf_dir)})
-    scored = retrieval.rank(retrieval.features(fused), {"rrf": 1.0, "bm25": 0.5})
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"))
-    return retrieval.diversify(scored.join(docs, "id"), "source")
+    items, stored = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower(F.trim("source")).alias("source"))
+    asked = stored.withColumnRenamed("id", "query_id").join(items.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    return recall.hybrid_recall(chunks, items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("text")), stored, asked, {"rrf": 1.0, "bm25": 0.5})
 
 
 @query(BM25_CTE + "SELECT query_id, id, score, lane_rank FROM b")
