@@ -74,7 +74,7 @@ def _plain(ch: str) -> str:
         return ""
     if kind == "Zs" or code == 0x2800:
         return " "
-    if kind in ("Zl", "Zp"):
+    if kind in ("Zl", "Zp") or ch == "\r":
         return "\n"
     parts = unicodedata.decomposition(ch)
     name = unicodedata.name(ch, "")
@@ -98,9 +98,8 @@ def transducer() -> tuple[re.Pattern, dict[str, str]]:
         to = unicodedata.normalize("NFC", _plain(ch))
         if to != ch:
             table[ch] = to
-        if kind in ("Mn", "Me", "Mc") or to == "":
+        if kind in ("Mn", "Me", "Mc") or to == "" or unicodedata.category(to[0])[0] == "M":
             trailing.append(ch)
-    table["\r"] = "\n"
     for source, to in table.items():
         if any(c in table for c in to):
             raise ValueError(f"conflict in the table: {source!r} gives {to!r}, which is changed again")
