@@ -14,31 +14,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.session import cut
+
 #: Rows that one block of an ordered group is meant to hold.
 BLOCK_ROWS = 200_000
 #: Most blocks of one group.
 MAX_BLOCKS = 512
 
 
-def with_blocks(df: DataFrame, group: Sequence[str], order: str, block_rows: int = BLOCK_ROWS, name: str = "block") -> DataFrame:
+def hot_groups(df: DataFrame, group: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """The groups of more than ``block_rows`` rows, written out; None for none.
+
+    Knowing them beforehand keeps the plans of ordinary groups free of the
+    joins that cutting takes.
+    """
+    hot = cut(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows).select(*group))
+    return None if hot.isEmpty() else hot
+
+
+def with_blocks(df: DataFrame, group: Sequence[str], order: str, block_rows: int = BLOCK_ROWS, name: str = "block", hot: DataFrame | None | str = "find") -> DataFrame:
     """Add ``name``: the number of the row's block, ascending with ``order``.
 
     ``order`` is numeric.  Rows equal in it share a block.  A null in it is
     below all values.  Groups up to ``block_rows`` are block 0 throughout.
+    ``hot``: what ``hot_groups`` gave for the same groups, where it is known.
     """
+    if isinstance(hot, str):
+        hot = hot_groups(df, group, block_rows)
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
     value = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
     keys = [F.col(c) for c in group]
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
     fractions = [i / MAX_BLOCKS for i in range(1, MAX_BLOCKS)]
-    quantiles = (
-        df.join(hot.drop("_n"), list(group), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, fractions, 20_000).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    )
+    quantiles = df.join(hot, list(group), "left_semi").groupBy(*keys).agg(F.percentile_approx(value, fractions, 20_000).alias("_q"), F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(block_rows)))
     step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BLOCKS) / (step + 1))).cast("int")
     cuts = quantiles.select(*keys, F.array_distinct(F.filter("_q", lambda q, i: i % step == step - 1)).alias("_cuts"))
-    found = df.join(cuts, list(group), "left")
+    found = df.join(cut(cuts), list(group), "left")
     block = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < value)))
     return found.withColumn(name, block.cast("int")).drop("_cuts")
 

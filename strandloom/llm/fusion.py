@@ -46,7 +46,7 @@ LOWEST = float("-inf")
 def _percentiles(classes: DataFrame, block_rows: int) -> DataFrame:
     """Add ``p`` (mid-rank percentile) and ``n`` to classes (query, score, v, c)."""
     group = ["query", "score"]
-    rows = with_blocks(classes, group, "v", block_rows)
+    rows = with_blocks(classes, group, "v", block_rows)  # a class is one value: ties are one row
     inside = Window.partitionBy(*group, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("less", F.coalesce(F.sum("c").over(inside), F.lit(0)))
     sizes = rows.groupBy(*group, "block").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
