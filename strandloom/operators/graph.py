@@ -81,3 +81,34 @@ def resolve(names: DataFrame, concepts: DataFrame, aliases: DataFrame, hops: int
         first = first.join(step, F.col("handle") == F.col("at"), "left").select("project", "name", F.coalesce("further", "handle").alias("handle"))
     alive = merged.filter("merged_into is null").select("handle")
     return first.join(alive, "handle", "left_semi").select("project", "name", "handle")
+
+
+def focus_ring(touches: DataFrame, key: str, item: str, order: list[str], size: int = S.FOCUS_HISTORY) -> DataFrame:
+    """Move-to-front history: the last ``size`` different items of a key, newest first."""
+    last = touches.groupBy(key, item).agg(F.max(F.struct(*order)).alias("_at"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at"), item))
+    return last.withColumn("place", nth.cast("long")).filter(F.col("place") <= size).drop("_at")
+
+
+def span_specificity(rows: DataFrame, term: str, project: str) -> DataFrame:
+    """1 - (span - 1) / (N - 1): 1 for a term of one project, 0 for one of all."""
+    spans = rows.groupBy(term).agg(F.countDistinct(project).alias("span"))
+    whole = rows.agg(F.countDistinct(project).alias("projects"))  # one row
+    top = F.greatest("projects", "span")
+    return spans.crossJoin(whole).select(term, "span", F.when(top > 1, F.round(1 - (F.col("span") - 1) / (top - 1), 6)).otherwise(F.lit(1.0)).alias("specificity"))
+
+
+def gazetteer(texts: DataFrame, forms: DataFrame, most_words: int = 6) -> DataFrame:
+    """(id, form): forms that stand in a normalised text as whole words.
+
+    ``texts``: (id, norm); ``forms``: (form).  The word runs of a text up to
+    the longest form are matched by equality, so forms may be many.  A form
+    inside a longer one that matches at the same place gives way to it.
+    """
+    words = texts.select("id", F.split("norm", " ").alias("w")).select("id", "w", F.posexplode("w").alias("at", "_")).drop("_")
+    grams = words.select("id", "at", "w", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("n")).filter(F.col("at") + F.col("n") <= F.size("w"))
+    grams = grams.select("id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("form"))
+    hits = grams.join(forms.select("form").distinct(), "form")
+    before = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.coalesce(F.max(F.col("at") + F.col("n")).over(before), F.lit(0)) <= F.col("at")
+    return hits.withColumn("open", open_).filter("open").select("id", "form").distinct()

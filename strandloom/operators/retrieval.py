@@ -173,3 +173,22 @@ def reciprocal_ranks(hits: DataFrame, relevant: DataFrame, depth: int = 10) -> D
     good = hits.filter(F.col("place") <= depth).join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("found"))
     asked = relevant.select("query_id").distinct().join(good, "query_id", "left")
     return asked.select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.col("first").isNotNull().cast("int").alias("success"), F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+
+
+def overlap_rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Scores replaced by the share of the query's tokens that a text holds.
+
+    ``queries``: (query_id, q); ``texts``: (id, t).  It stands where a model
+    would: a function of both texts; rows without a text keep score 0.
+    """
+    both = hits.select("query_id", "id").join(queries, "query_id").join(texts, "id", "left")
+    asked, held = F.array_distinct(tokens(F.col("q"))), F.array_distinct(tokens(F.coalesce("t", F.lit(" "))))
+    share = F.size(F.array_intersect(asked, held)) / F.greatest(F.lit(1), F.size(asked))
+    return both.select("query_id", "id", F.round(share, 6).alias("score"))
+
+
+def rank_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, id, before, after, delta): places under two weightings."""
+    x = a.select("query_id", "id", F.col("place").alias("before"))
+    y = b.select("query_id", "id", F.col("place").alias("after"))
+    return x.join(y, ["query_id", "id"], "full").withColumn("delta", F.col("before") - F.col("after"))

@@ -713,3 +713,102 @@ def lens_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seats of each query's best hits under a token budget, no text twice."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.size(F.split("text", r"\s+")).alias("n_tokens"))
     return ledger.portfolio(_recall(spark, sf_dir).select("query_id", "id", "score").join(docs, "id"), budget=400, least=20)
+
+
+@query(BM25_CTE + """, qt AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS a FROM eval_items), dt AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(coalesce(text, ' ')), '[a-z0-9]+')) AS t FROM documents)
+SELECT query_id, id, round(len(list_intersect(a, t)) / greatest(1, len(a))::DOUBLE, 6) AS score FROM h JOIN qt USING (query_id) JOIN dt USING (id)""")
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of hybrid recall scored again by shared tokens."""
+    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.col("passage").alias("q"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return retrieval.overlap_rerank(_recall(spark, sf_dir), items, docs)
+
+
+@query(BM25_CTE + """, b10 AS (SELECT query_id, id, lane_rank + 1 AS before FROM b WHERE lane_rank < 10), a10 AS (SELECT query_id, id, place AS after FROM h)
+SELECT query_id, id, before, after, before - after AS delta FROM b10 FULL JOIN a10 USING (query_id, id)""")
+def rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the keyword lane against those of hybrid recall."""
+    words = _bm25(spark, sf_dir).filter("lane_rank < 10").withColumn("place", F.col("lane_rank") + 1)
+    return retrieval.rank_delta(words, _recall(spark, sf_dir))
+
+
+@query(LOG_CTE + ", x AS (SELECT handle, k, max((m, event_id)) AS at_ FROM e GROUP BY 1, 2) SELECT handle, k, place FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY at_ DESC, k) AS place FROM x) WHERE place <= 9")
+def focus_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last nine different keys of each handle."""
+    return graph.focus_ring(_log(spark, sf_dir), "handle", "k", ["m", "event_id"])
+
+
+@query("""WITH s AS (SELECT snippet, count(DISTINCT project) AS span FROM candidate_vectors WHERE snippet IS NOT NULL AND project IS NOT NULL GROUP BY 1), n AS (SELECT count(DISTINCT project) AS n FROM candidate_vectors WHERE snippet IS NOT NULL AND project IS NOT NULL)
+SELECT snippet, span, CASE WHEN greatest(n, span) > 1 THEN round(1 - (span - 1) / (greatest(n, span) - 1)::DOUBLE, 6) ELSE 1.0 END AS specificity FROM s, n""")
+def span_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How specific each snippet is to a project."""
+    return graph.span_specificity(table(spark, sf_dir, "candidate_vectors").filter("snippet is not null and project is not null"), "snippet", "project")
+
+
+@query(ANCHOR_CTE + "SELECT a.project AS a, b.project AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS cosine FROM an a JOIN an b ON a.project < b.project WHERE round(list_cosine_similarity(a.mean, b.mean), 6) >= 0.3")
+def anchor_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of anchors close enough to bridge."""
+    a = _anchors(spark, sf_dir)
+    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
+    pairs = ledger.anchor_matches(a.withColumnRenamed("project", "a"), a.select(F.col("project").alias("b"), F.col("mean").alias("theirs")), F.lit(0.3), cos)
+    return pairs.filter("a < b").select("a", "b", cos.alias("cosine"))
+
+
+@query(ANCHOR_CTE + """, p AS (SELECT a.project, round(list_cosine_similarity(a.mean, b.mean), 6) AS c, row_number() OVER (PARTITION BY a.project ORDER BY round(list_cosine_similarity(a.mean, b.mean), 6) DESC, b.project) AS nth FROM an a JOIN an b ON a.project <> b.project)
+SELECT project, round(avg(c), 6) AS nearness FROM p WHERE nth <= 3 GROUP BY 1""")
+def negative_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each anchor's three highest cosines to the others."""
+    a = _anchors(spark, sf_dir)
+    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
+    pairs = ledger.anchor_matches(a, a.select(F.col("project").alias("other"), F.col("mean").alias("theirs")), F.lit(-2.0), cos).filter("project <> other").withColumn("c", cos)
+    return signals.newest(pairs, ["project"], 3, [F.desc("c"), F.col("other")]).groupBy("project").agg(F.round(F.avg("c"), 6).alias("nearness"))
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling event-time windows; the streaming form is in ``streaming``."""
+    e = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select(F.unix_micros("w.start").alias("start_micros"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '12 hours' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM g) SELECT user_id, epoch_us(min(ts)) AS start_micros, count(*) AS n FROM s GROUP BY user_id, nth""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time sessions with a gap of twelve hours."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return e.select("user_id", F.unix_micros("w.start").alias("start_micros"), "n")
+
+
+@query("""WITH f AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(symbol_name), '_[0-9]+$', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS form FROM emits), t AS (SELECT row_id AS id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS norm FROM chat_messages WHERE text IS NOT NULL)
+SELECT id, form FROM t JOIN f ON contains(norm, ' ' || form || ' ')""".replace("\\\\", "\\"))
+def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbol names that chat messages mention as words."""
+    texts = table(spark, sf_dir, "chat_messages").filter("text is not null").select(F.col("row_id").alias("id"), text.normalize(F.col("text")).alias("norm"))
+    forms = table(spark, sf_dir, "emits").select(text.normalize(F.regexp_replace("symbol_name", "_[0-9]+$", "")).alias("form"))
+    return graph.gazetteer(texts, forms)
+
+
+@query("""WITH a AS (SELECT project, list_distinct(list(handle)) AS h FROM emergent_reports WHERE surfaced_at < TIMESTAMPTZ '2026-04-01 00:00:00+00' AND project IS NOT NULL GROUP BY 1), b AS (SELECT project, list_distinct(list(handle)) AS h FROM emergent_reports WHERE surfaced_at >= TIMESTAMPTZ '2026-04-01 00:00:00+00' AND project IS NOT NULL GROUP BY 1)
+SELECT project, round(1 - len(list_intersect(coalesce(a.h, []), coalesce(b.h, []))) / len(list_distinct(list_concat(coalesce(a.h, []), coalesce(b.h, []))))::DOUBLE, 6) AS drift FROM a FULL JOIN b USING (project)""")
+def jaccard_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each project's handles changed between two spans of time."""
+    when = F.lit("2026-04-01 00:00:00+00:00").cast("timestamp")
+    r = table(spark, sf_dir, "emergent_reports").filter("project is not null")
+    sets = r.groupBy("project").agg(F.collect_set(F.when(F.col("surfaced_at") < when, F.col("handle"))).alias("a"), F.collect_set(F.when(F.col("surfaced_at") >= when, F.col("handle"))).alias("b"))
+    return sets.select("project", F.round(1 - F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("drift"))
+
+
+@query("""SELECT chunk_id, 'missing' AS side FROM (SELECT chunk_id FROM ingest_chunks EXCEPT SELECT chunk_id FROM candidate_vectors) UNION ALL SELECT chunk_id, 'extra' FROM (SELECT chunk_id FROM candidate_vectors EXCEPT SELECT chunk_id FROM ingest_chunks)""")
+def missing_extra_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids on one side only."""
+    a, b = table(spark, sf_dir, "ingest_chunks").select("chunk_id"), table(spark, sf_dir, "candidate_vectors").select("chunk_id")
+    return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("extra")))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{2,})', 1)) AS word FROM documents WHERE text IS NOT NULL AND lower(lang) = 'en')
+SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
+def prose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words inside sentences that three documents share."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null and lower(lang) = 'en'")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z,;] ([A-Z][a-z]{2,})"), 1)).alias("w"))
+    return found.groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).filter("docs >= 3")
