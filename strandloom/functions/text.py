@@ -92,3 +92,13 @@ def proposed_handle(ids: Column) -> Column:
     """The name of a proposed group: a hash of its sorted ids."""
     lines = F.concat(F.array_join(F.array_sort(ids), "\n"), F.lit("\n"))
     return F.concat(F.lit("proposed-"), F.substring(F.sha2(lines, 256), 1, 8))
+
+
+def resolved_path(base: Column, target: Column) -> Column:
+    """A relative link target seen from the file ``base``; ``..`` goes up, anchors fall away."""
+    clean = F.regexp_replace(target, "[#?].*$", "")
+    start = F.when(clean.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(F.split(base, "/"), 1, F.greatest(F.lit(0), F.size(F.split(base, "/")) - 1)))
+    step = lambda acc, s: (
+        F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(s)))
+    )
+    return F.array_join(F.aggregate(F.split(clean, "/"), start, step), "/")

@@ -109,6 +109,8 @@ def gazetteer(texts: DataFrame, forms: DataFrame, most_words: int = 6) -> DataFr
     grams = words.select("id", "at", "w", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("n")).filter(F.col("at") + F.col("n") <= F.size("w"))
     grams = grams.select("id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("form"))
     hits = grams.join(forms.select("form").distinct(), "form")
-    before = Window.partitionBy("id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.coalesce(F.max(F.col("at") + F.col("n")).over(before), F.lit(0)) <= F.col("at")
-    return hits.withColumn("open", open_).filter("open").select("id", "form").distinct()
+    # Leftmost first, the longest at a place; what begins inside a taken one gives way.
+    ordered = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "form"))).alias("hits"))
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("forms"))
+    take = lambda acc, h: F.when(h["at"] >= acc["end"], F.struct((h["at"] - h["m"]).alias("end"), F.concat(acc["forms"], F.array(h["form"])).alias("forms"))).otherwise(acc)
+    return ordered.select("id", F.explode(F.array_distinct(F.aggregate("hits", nothing, take)["forms"])).alias("form"))

@@ -152,3 +152,29 @@ def threads(spark: SparkSession, root: str, config: str = "") -> DataFrame:
     evidence = F.size(F.regexp_extract_all(F.regexp_extract(block, r"(?ms)^evidence:[ \t]*\r?\n((?:[ \t]+-.*\n?)*)", 1), F.lit(r"(?m)^[ \t]+-"), 0))
     extra = F.to_json(F.struct(handle.alias("handle"), tension.alias("tension"), matter_value(block, "familiarity").cast("long").alias("familiarity"), F.coalesce(evidence, F.lit(0)).alias("evidence_count"), matter_value(block, "last_touched").alias("last_touched")))
     return as_chunks(rows.select("source_id", "ts", F.trim(body).alias("text"), extra.alias("extra")), "thread", ["source_id"], config=config)
+
+
+def link_edges(texts: DataFrame) -> DataFrame:
+    """(a, relation, b) between files: Markdown links to other ``.md`` files.
+
+    ``texts``: (source_id, text); targets are resolved against the file.
+    """
+    from strandloom.functions.text import link_targets, resolved_path
+
+    found = texts.select("source_id", F.explode(link_targets(F.col("text"))).alias("t"))
+    found = found.filter(~F.col("t").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") & F.regexp_replace("t", "[#?].*$", "").rlike(r"(?i)\.md$"))
+    edges = found.select(F.col("source_id").alias("a"), F.lit("references").alias("relation"), resolved_path(F.col("source_id"), F.col("t")).alias("b"))
+    return edges.filter("a <> b").distinct()
+
+
+def typed_edges(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """(a, relation, b) from front matter: each named key's value or list of values."""
+    block, _ = front_matter(F.col("text"))
+    rows, out = texts.select("source_id", block.alias("block")).filter("block is not null"), None
+    for field in fields:
+        listed = F.regexp_extract_all(F.regexp_extract("block", rf"(?m)^{field}:[ \t]*\r?\n((?:[ \t]+-.*(?:\n|$))*)", 1), F.lit(r"(?m)^[ \t]+-[ \t]*[\"']?([^\"'\r\n]+?)[\"']?[ \t]*$"), 1)
+        inline = F.transform(F.split(F.regexp_replace(matter_value(F.col("block"), field), r"^\[|\]$", ""), r"\s*,\s*"), lambda x: F.trim(x))
+        values = F.filter(F.concat(listed, F.coalesce(inline, F.array().cast("array<string>"))), lambda x: x != "")
+        one = rows.select(F.col("source_id").alias("a"), F.lit(field).alias("relation"), F.explode(values).alias("b"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
