@@ -40,7 +40,7 @@ from strandloom.session import cut
 
 WIDTH = 64
 TABLES, PROBES = 2, 2
-BUCKET_ROWS, EXACT_ROWS, CELL_ROWS = 1_500, 4_096, 8_192
+BUCKET_ROWS, EXACT_ROWS, CELL_ROWS = 3_000, 4_096, 8_192
 #: Elements of a matrix product at a time.
 CHUNK = 4_000_000
 #: Most oversized buckets the driver holds; beyond it their bound is raised.
