@@ -8,8 +8,9 @@ of a matrix product, and only the best of each vector leave it.
 
 Sizes: the number of buckets follows the number of rows so that a bucket of an
 even spread holds ``BUCKET_ROWS``; up to ``EXACT_ROWS`` there is one bucket, so
-the result is exact.  A bucket beyond ``CELL_ROWS`` is dealt to cells, one for
-each pair of its parts, so that no task holds more than two parts and every
+the result is exact.  More buckets need longer codes, which part more of the
+close vectors, so the number of tables follows the number of buckets.  A bucket
+beyond ``CELL_ROWS`` is dealt to cells, one for each pair of its parts, so that no task holds more than two parts and every
 pair is still compared.  Equal vectors are one representative before any of
 this and expanded at the end.
 
@@ -39,8 +40,9 @@ from pyspark.sql.window import Window
 from strandloom.session import cut
 
 WIDTH = 64
-TABLES, PROBES = 2, 2
-BUCKET_ROWS, EXACT_ROWS, CELL_ROWS = 3_000, 4_096, 8_192
+#: Tables for codes of up to one hash, and those that each further hash adds.
+TABLES, MORE_TABLES, PROBES = 2, 5, 3
+BUCKET_ROWS, EXACT_ROWS, CELL_ROWS = 4_500, 4_096, 8_192
 #: Elements of a matrix product at a time.
 CHUNK = 4_000_000
 #: Most oversized buckets the driver holds; beyond it their bound is raised.
@@ -64,6 +66,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, d) / np.float32(math.sqrt(d))
 
 
+def tables_for(width: int, buckets: int) -> int:
+    """Tables that keep the recall of links as the codes grow longer."""
+    one = 1 + max(0, (width - 1).bit_length())  # bits of a whole hash
+    bits = math.ceil(math.log2(max(1, buckets)))
+    return TABLES + max(0, math.ceil(MORE_TABLES * (bits - one) / one))
+
+
 class CrossPolytope:
     """Hash functions of all tables for a number of buckets a table."""
 
@@ -144,16 +153,16 @@ def _finger(v: str):
 class Cells:
     """The buckets of a table of vectors, ready for work within each.
 
-    ``probes`` may differ from table to table of hashing; all other parameters
+    ``tables`` follow the number of buckets if not given; all other parameters
     are the module's constants by default.
     """
 
-    def __init__(self, df: DataFrame, vec_id: str, vector: str, width: int = WIDTH, tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, exact_rows: int = EXACT_ROWS, cell_rows: int = CELL_ROWS):
+    def __init__(self, df: DataFrame, vec_id: str, vector: str, width: int = WIDTH, tables: int | None = None, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, exact_rows: int = EXACT_ROWS, cell_rows: int = CELL_ROWS):
         self.spark, self.width, self.cell_rows = df.sparkSession, width, cell_rows
         self.base = wide_rows(df, vec_id, vector, width)
         rows = self.base.count()
         buckets = 1 if rows <= exact_rows else max(2, rows * probes // bucket_rows)
-        self.hashing = CrossPolytope(width, buckets, tables, probes)
+        self.hashing = CrossPolytope(width, buckets, tables or tables_for(width, buckets), probes)
         self._copies = self._find_copies()
         #: Representatives (rep, n, v): one row for each different vector.
         self.reps = self._representatives()
