@@ -172,6 +172,17 @@ def leak_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def quoting(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
+    """(query_id, id): documents that quote any part of a passage, ``min_words`` words
+    or more of it, or the whole of a passage that is shorter."""
+    spans = leak_spans(documents, items, doc_id, text, item_id, passage, min_words).select("doc", "item")
+    n_words = F.pandas_udf(lambda x: x.map(lambda t: len(words(t or ""))), "int", F.PandasUDFType.SCALAR)(F.col(passage))
+    lengths = items.select(n_words.alias("n")).filter(F.col("n").between(1, min_words - 1)).distinct().collect()
+    for r in sorted(lengths):
+        spans = spans.unionByName(leak_spans(documents, items.filter(n_words == r.n), doc_id, text, item_id, passage, r.n).select("doc", "item"))
+    return spans.select(F.col("item").alias("query_id"), F.col("doc").alias("id")).distinct()
+
+
 def leaks(spans: DataFrame) -> DataFrame:
     """One row for each document and item: longest span, words covered, share of the document."""
     covered = F.sum(F.col("end_word") - F.col("first_word"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom import queries as core
 from strandloom.llm import clusters, conversations, fusion, leaks, lookalikes, markup, mixing, splitting, vectors
+from strandloom.operators import retrieval
 from strandloom.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -141,6 +143,13 @@ def p8_without_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(documents, leaks.leak_spans(documents, table(spark, sf_dir, "eval_items")))
 
 
+@query()
+def p8_recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank, success and hits of each passage of which documents quote any part."""
+    quoted = leaks.quoting(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return retrieval.reciprocal_ranks(core._recall(spark, sf_dir), quoted)
+
+
 # -- 9: mixing sources -----------------------------------------------------------
 
 P9_SQL = """

@@ -1,7 +1,7 @@
 import random
 import unicodedata
 
-from strandloom.llm.leaks import Automaton, leak_spans, leaks, without_leaks, words
+from strandloom.llm.leaks import Automaton, leak_spans, leaks, quoting, without_leaks, words
 from strandloom.llm.lookalikes import canonical, same_look_pairs, transducer
 from strandloom.llm.mixing import entropy, exponent_for_entropy, mix_plan, mix_report, realise, temperature, token_sizes
 
@@ -76,6 +76,14 @@ def test_leaks_and_removal(spark):
     assert words("L’état_2—Ｘ") == ["l", "état", "2", "x"]
 
 
+def test_quoting_any_part_of_a_passage(spark):
+    passage = " ".join(WORDS[:40])
+    docs = [(1, passage[:60] + " " + " ".join(WORDS[10:14])), (2, "x " + " ".join(WORDS[20:36]) + " y"), (3, " ".join(WORDS[20:30])), (4, "a Short one b"), (5, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(7, passage), (8, "short one"), (9, None), (10, "")], "item_id long, passage string")
+    assert {(r.query_id, r.id) for r in quoting(d, e).collect()} == {(7, 1), (7, 2), (8, 4)}
+
+
 # -- mixing -----------------------------------------------------------------------
 
 
