@@ -2,8 +2,9 @@
 
 Weights come from a temperature: shares raised to an exponent and normalised.
 The exponent is bisected until the weights reach a target entropy or until no
-source has to be repeated more than its limit.  Weights are then realised as
-budgeted block permutations: a source gives whole passes over its records while
+source has to be repeated more than its limit; they are reported beside the
+budgets, which are the target shares as far as repeats allow.  Budgets are realised
+as block permutations: a source gives whole passes over its records while
 its budget lasts, and the last pass takes a pseudo-random permutation of blocks
 and, in the one block where the budget ends, of records.
 
@@ -88,24 +89,29 @@ def exponent_for_entropy(shares: dict[str, float], target: float, steps: int = 6
     return (low + high) / 2
 
 
-def exponent_for_repeats(shares: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: int, steps: int = 60) -> float:
-    """The exponent nearest to 1 at which no source exceeds its repeats.
+def exponent_for_repeats(shares: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: int, steps: int = 60, tries: int = 64) -> tuple[float, float]:
+    """The exponent nearest to 1 at which no source exceeds its repeats, and the
+    total that they allow there.
 
     The weights are natural shares times (target over natural) to the exponent:
-    1 gives the targets, 0 the natural shares, which ask for no repeats.
+    1 gives the targets, 0 the natural shares.  Where no exponent reaches
+    ``total``, the one that allows the largest total is taken.
     """
 
-    def fits(x: float) -> bool:
-        got = tempered(shares, sizes, x)
-        return all(got[k] * total <= repeats[k] * sizes.get(k, 0) + 1e-9 for k in got)
+    def most(x: float) -> float:
+        at = tempered(shares, sizes, x)
+        return min((repeats[k] * sizes[k] / v for k, v in at.items() if v > 0), default=0.0)
 
-    if fits(1.0):
-        return 1.0
-    low, high = 0.0, 1.0
+    # What a source may give is no monotone function of the exponent.
+    grid = [1 - i / tries for i in range(tries + 1)]
+    fits = next((i for i, x in enumerate(grid) if most(x) >= total - 1e-6), None)
+    if fits is None:
+        return max(((x, most(x)) for x in grid), key=lambda p: p[1])
+    low, high = grid[fits], grid[max(0, fits - 1)]
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (mid, high) if fits(mid) else (low, mid)
-    return low
+        low, high = (mid, high) if most(mid) >= total - 1e-6 else (low, mid)
+    return low, most(low)
 
 
 def tempered(shares: dict[str, float], sizes: dict[str, int], exponent: float) -> dict[str, float]:
@@ -123,10 +129,11 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     """The budget of each target source.
 
     (source, target_share, max_repeats, tokens, wanted, budget, short,
-    feasible_share): ``wanted`` is the target share of ``total`` (all records,
-    if not given), ``budget`` what the repeats allow of it, ``short`` whether
-    that falls short, and ``feasible_share`` the tempered share at which no
-    source is short.
+    feasible_share, infeasible): ``wanted`` is the target share of ``total`` (all
+    records, if not given), ``budget`` what the repeats allow of it, ``short``
+    whether that falls short, and ``feasible_share`` the tempered share at which no
+    source is short.  Where no exponent reaches the total, the tempered mix is
+    ``infeasible`` and the share is that of the largest total that repeats allow.
     """
     spark = sizes.sparkSession
     by_source = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -141,13 +148,14 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     norm = sum(r["share"] for r in asked.values()) or 1.0
     shares = {k: r["share"] / norm for k, r in asked.items()}
     repeats = {k: int(r["repeats"]) for k, r in asked.items()}
-    exponent = exponent_for_repeats(shares, have, repeats, everything)
+    exponent, most_total = exponent_for_repeats(shares, have, repeats, everything)
+    infeasible = most_total < everything - 1e-6
     at = tempered(shares, have, exponent)
     rows = []
     for k, v in sorted(shares.items()):
         need, most = v * everything, repeats[k] * have.get(k, 0)
-        rows.append((k, v, repeats[k], have.get(k, 0), int(round(need)), int(min(round(need), most)), need > most, at[k]))
-    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, wanted long, budget long, short boolean, feasible_share double")
+        rows.append((k, v, repeats[k], have.get(k, 0), int(round(need)), int(min(round(need), most)), need > most, at[k], infeasible))
+    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, wanted long, budget long, short boolean, feasible_share double, infeasible boolean")
 
 
 def realise(sizes: DataFrame, plan: DataFrame, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -96,6 +96,17 @@ def test_temperature():
     assert abs(entropy(temperature(shares, x)) - 0.9) < 1e-6
 
 
+def test_tempered_weights_and_no_feasible_exponent(spark):
+    sizes = spark.createDataFrame([(1, "a", 700), (2, "b", 200), (3, "c", 100)], "id long, source string, tokens long")
+    t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    plan = mix_plan(sizes, t).collect()
+    assert {r.source for r in plan if r.short} == {"c"} and not any(r.infeasible for r in plan)
+    assert all(1000 * r.feasible_share <= r.max_repeats * r.tokens + 1e-3 for r in plan)
+    # Records without a target count for the total: once each, the targets' sources cannot fill it.
+    once = mix_plan(sizes, t.filter("source <> 'a'").selectExpr("source", "target_share", "1 as max_repeats")).collect()
+    assert all(r.infeasible for r in once)
+
+
 def test_mix_reaches_its_shares_within_repeats(spark):
     docs = [(i, "word " * (1 + i % 9), [" Big", "small", "other", "TINY "][0 if i < 700 else 1 if i < 900 else 2 if i < 990 else 3]) for i in range(1000)] + [(1001, None, "big"), (1002, " ", "big"), (1003, "x", None)]
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, source string, tokens string")
