@@ -98,15 +98,18 @@ def span_specificity(rows: DataFrame, term: str, project: str) -> DataFrame:
     return spans.crossJoin(whole).select(term, "span", F.when(top > 1, F.round(1 - (F.col("span") - 1) / (top - 1), 6)).otherwise(F.lit(1.0)).alias("specificity"))
 
 
-def gazetteer(texts: DataFrame, forms: DataFrame, most_words: int = 6) -> DataFrame:
+def gazetteer(texts: DataFrame, forms: DataFrame, most_words: int | None = None) -> DataFrame:
     """(id, form): forms that stand in a normalised text as whole words.
 
     ``texts``: (id, norm); ``forms``: (form).  The word runs of a text up to
-    the longest form are matched by equality, so forms may be many.  A form
-    inside a longer one that matches at the same place gives way to it.
+    the longest form (or ``most_words``) are matched by equality, so forms may
+    be many.  A form inside a longer one that matches at the same place gives
+    way to it.
     """
     words = texts.select("id", F.split("norm", " ").alias("w")).select("id", "w", F.posexplode("w").alias("at", "_")).drop("_")
-    grams = words.select("id", "at", "w", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("n")).filter(F.col("at") + F.col("n") <= F.size("w"))
+    held = forms.agg(F.sort_array(F.collect_set(F.size(F.split("form", " "))))).first()[0]  # lengths that occur
+    lengths = [n for n in held if n > 0 and (most_words is None or n <= most_words)]
+    grams = words.select("id", "at", "w", F.explode(F.lit(lengths or [1])).alias("n")).filter(F.col("at") + F.col("n") <= F.size("w"))
     grams = grams.select("id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("form"))
     hits = grams.join(forms.select("form").distinct(), "form")
     # Leftmost first, the longest at a place; what begins inside a taken one gives way.

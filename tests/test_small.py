@@ -31,6 +31,14 @@ def test_links_and_front_matter(spark):
     assert {(r.relation, r.b) for r in documents.typed_edges(df, ["likes", "uses", "tags"]).collect()} == {("likes", "one"), ("uses", "two"), ("uses", "three"), ("tags", "p"), ("tags", "q")}
 
 
+def test_gazetteer_long_forms(spark):
+    long = "one two three four five six seven eight"
+    texts = spark.createDataFrame([(1, f"so {long} nine"), (2, "one two")], "id long, norm string")
+    forms = spark.createDataFrame([(long,), ("one two",)], "form string")
+    assert {(r.id, r.form) for r in graph.gazetteer(texts, forms).collect()} == {(1, long), (2, "one two")}
+    assert graph.gazetteer(texts, forms.limit(0)).count() == 0
+
+
 def test_gazetteer_longest_first(spark):
     texts = spark.createDataFrame([(1, "the fold map and fold"), (2, "nothing"), (3, None), (4, "fold map and fold map")], "id long, norm string")
     forms = spark.createDataFrame([("fold",), ("fold map",), ("map and",), ("and fold",), ("fold",)], "form string")
