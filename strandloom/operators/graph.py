@@ -98,6 +98,25 @@ def span_specificity(rows: DataFrame, term: str, project: str) -> DataFrame:
     return spans.crossJoin(whole).select(term, "span", F.when(top > 1, F.round(1 - (F.col("span") - 1) / (top - 1), 6)).otherwise(F.lit(1.0)).alias("specificity"))
 
 
+#: Names that are broadcast and looked for in whole texts.
+BROADCAST_NAMES = 2_000
+
+
+def containing(texts: DataFrame, names: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
+    """Rows of ``texts`` (body, ...) with those of ``names`` (name, ...) that their body holds anywhere.
+
+    Beyond ``broadcast_names`` the pieces of a body that are as long as a name
+    are matched by equality.
+    """
+    if names.count() <= broadcast_names:
+        return texts.join(F.broadcast(names), F.contains("body", "name"))
+    lengths = [n for n in names.agg(F.sort_array(F.collect_set(F.length("name")))).first()[0]]
+    sized = texts.withColumn("n", F.explode(F.lit(lengths))).filter(F.col("n") <= F.length("body"))
+    starts = F.sequence(F.lit(1), F.length("body") - F.col("n") + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda at: F.substr("body", at, F.col("n"))))
+    return sized.withColumn("name", F.explode(pieces)).drop("n").join(names, "name")
+
+
 def gazetteer(texts: DataFrame, forms: DataFrame, most_words: int | None = None) -> DataFrame:
     """(id, form): forms that stand in a normalised text as whole words.
 

@@ -419,13 +419,9 @@ def phrase_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "emergent_reports").select("project").filter("project is not null").distinct()
     blocks = F.filter("message.content", lambda b: (b["type"] == "text") & b["text"].isNotNull())
     body = F.lower(F.coalesce(F.array_join(F.transform(blocks, lambda b: b["text"]), " "), F.lit("")))
-    # Project names look like two words joined: the word pairs of a line are matched by equality.
-    lines = table(spark, sf_dir, "session_messages").select("row_id", "session_id", body.alias("body"))
-    pairs = lines.select("row_id", "session_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?=([a-z]+_[a-z]+))[a-z]"), 1))).alias("phrase"))
-    wanted = names.select("project", F.regexp_replace("project", "-", "_").alias("name"))
-    heads = pairs.select("row_id", "session_id", "phrase", F.explode(F.sequence(F.lit(1), F.length("phrase"))).alias("k")).select("row_id", "session_id", F.expr("substr(phrase, 1, k)").alias("name"))
-    grown = heads.distinct().join(wanted, "name")
-    return grown.groupBy("project").agg(F.countDistinct("row_id").alias("lines"), F.countDistinct("session_id").alias("sessions"))
+    lines = table(spark, sf_dir, "session_messages").select("session_id", body.alias("body"))
+    found = graph.containing(lines, names.select("project", F.replace("project", F.lit("-"), F.lit("_")).alias("name")))
+    return found.groupBy("project").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("session_id").alias("sessions"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(^|[^a-z0-9-])([a-z][a-z0-9]*(-[a-z0-9]+){1,3})($|[^a-z0-9-])', 2)) AS phrase FROM documents WHERE text IS NOT NULL)

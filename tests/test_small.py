@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import guards, text
 from strandloom.operators import graph
 from strandloom.plans import files
+from strandloom.queries import QUERIES
 from strandloom.sources import documents
 
 
@@ -39,6 +40,23 @@ def test_gazetteer_long_forms(spark):
     assert graph.gazetteer(texts, forms.limit(0)).count() == 0
 
 
+def test_phrase_names_of_any_shape(spark, tmp_path):
+    names = ["orrery", "fold-map", "a-b-c", "lane2", "größe", None]
+    spark.createDataFrame([("h", n) for n in names], "handle string, project string").write.parquet(f"{tmp_path}/emergent_reports.parquet")
+    bodies = [(1, "s", "the Orrery2 and xa_b_c"), (2, "s", "orrery LANE2 fold_map"), (3, "t", "die größe"), (4, "t", None)]
+    kind = "row_id long, session_id string, message struct<content: array<struct<type: string, text: string>>>"
+    spark.createDataFrame([(i, s, ([("text", b)],)) for i, s, b in bodies], kind).write.parquet(f"{tmp_path}/session_messages.parquet")
+    got = {tuple(r) for r in QUERIES["phrase_cooccurrence"](spark, str(tmp_path)).collect()}
+    assert got == {("orrery", 2, 1), ("fold-map", 1, 1), ("a-b-c", 1, 1), ("lane2", 1, 1), ("größe", 1, 1)}
+
+
+def test_names_in_texts_both_ways(spark):
+    texts = spark.createDataFrame([(1, "abcabc"), (2, "c"), (3, ""), (4, None)], "id long, body string")
+    names = spark.createDataFrame([("abc",), ("c",), ("cd",)], "name string")
+    few, many = ({(r.id, r.name) for r in graph.containing(texts, names, n).collect()} for n in (10, 0))
+    assert few == many == {(1, "abc"), (1, "c"), (2, "c")}
+
+
 def test_gazetteer_longest_first(spark):
     texts = spark.createDataFrame([(1, "the fold map and fold"), (2, "nothing"), (3, None), (4, "fold map and fold map")], "id long, norm string")
     forms = spark.createDataFrame([("fold",), ("fold map",), ("map and",), ("and fold",), ("fold",)], "form string")
