@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom import schema as S
 from strandloom.functions import text, vec
 from strandloom.operators import changes, graph, ledger, retrieval, rows, signals
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files
@@ -303,11 +304,13 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_lane(stored, "vec_id", "embedding", asked, "vec_id", "embedding", 60)
 
 
-def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _recall(spark: SparkSession, sf_dir: str, group: Column | None = None, limit: int = S.LIMIT) -> DataFrame:
+    """Hits of hybrid recall, capped per ``group``: by default the source's name, as the SQL has it."""
+    group = F.lower(F.trim("source")) if group is None else group
     items, stored = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lower(F.trim("source")).alias("source"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", group.alias("source"))
     asked = stored.withColumnRenamed("id", "query_id").join(items.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
-    return recall.hybrid_recall(chunks, items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("text")), stored, asked, {"rrf": 1.0, "bm25": 0.5})
+    return recall.hybrid_recall(chunks, items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("text")), stored, asked, {"rrf": 1.0, "bm25": 0.5}, limit)
 
 
 @query(BM25_CTE + "SELECT query_id, id, score, lane_rank FROM b")
@@ -708,7 +711,8 @@ def page_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lens_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seats of each query's best hits under a token budget, no text twice."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.size(F.split("text", r"\s+")).alias("n_tokens"))
-    return ledger.portfolio(_recall(spark, sf_dir).select("query_id", "id", "score").join(docs, "id"), budget=400, least=20)
+    hits = _recall(spark, sf_dir, F.coalesce("source_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))), S.LENS_K)
+    return ledger.portfolio(hits.select("query_id", "id", "score").join(docs, "id"))
 
 
 @query(BM25_CTE + """, qt AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS a FROM eval_items), dt AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(coalesce(text, ' ')), '[a-z0-9]+')) AS t FROM documents)

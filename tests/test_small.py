@@ -40,6 +40,15 @@ def test_gazetteer_long_forms(spark):
     assert graph.gazetteer(texts, forms.limit(0)).count() == 0
 
 
+def test_lens_takes_more_than_three_of_a_source(spark, tmp_path):
+    docs = [(i, f"amber stone {i} " + "word " * 97, "notes", "same" if i < 8 else f"file {i}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, source_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "amber stone")], "item_id long, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(i, [1.0, i / 100]) for i in range(60)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids = [r.id for r in QUERIES["lens_portfolio"](spark, str(tmp_path)).collect()]
+    assert len(ids) == 32 and sum(i < 8 for i in ids) == 3
+
+
 def test_phrase_names_of_any_shape(spark, tmp_path):
     names = ["orrery", "fold-map", "a-b-c", "lane2", "größe", None]
     spark.createDataFrame([("h", n) for n in names], "handle string, project string").write.parquet(f"{tmp_path}/emergent_reports.parquet")
