@@ -5,8 +5,9 @@ paired markup tokens (tags, environments, double brackets and braces, wiki
 tables) and keeps, for each token, its occurrence vector over the texts as a
 sum of hashes.  Tokens of one vector are an equivalence class.  A class is
 valid where opening and closing tokens have the same vector (up to a stated
-share of texts that are cut short) and the opening one comes first; valid
-classes nest into the host's template.  ``Vec<u8>`` or ``<ops at desk 7>``
+share of texts that are cut short) and the opening one comes first; the tag
+names of valid classes are the host's template (classes are not nested, and
+tokens other than tags are decided by the grammar of pass two).  ``Vec<u8>`` or ``<ops at desk 7>``
 form no valid class, since nothing closes them.
 
 Pass two reads the texts that hold a character markup needs, hides code blocks,
