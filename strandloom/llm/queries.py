@@ -234,8 +234,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(P4_SQL + "SELECT x AS id, y AS other, c AS cosine FROM k WHERE nth <= 5 AND x % 20 = 0")
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every row whose id is divisible by 20, with cosines."""
-    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82)
-    return near.filter("id % 20 = 0")
+    return vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82, asked=vectors.F.col("id") % 20 == 0)
+
+
+@query(P4_SQL + "SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM k WHERE nth <= 5")
+def p4_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4_found with buckets of 60 rows and 16 tables, so that few rows are hashed too."""
+    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82, bucket_rows=60, tables=16)
+    return vectors.similar_pairs(near, 0.82)
 
 
 # -- 3: similarity clusters ------------------------------------------------------
@@ -253,8 +259,8 @@ k AS (SELECT cluster_id, vec_id FROM c WHERE cluster_id IN (SELECT cluster_id FR
 """
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clusters.clusters(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", 0.82)
+def _clusters(spark: SparkSession, sf_dir: str, **sizes) -> DataFrame:
+    found = clusters.clusters(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", 0.82, **sizes)
     return found.withColumnRenamed("id", "vec_id")
 
 
@@ -264,6 +270,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir)
 
 
+@query(P3_SQL + "SELECT cluster_id, vec_id FROM k")
+def p3_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found with buckets of 60 rows and 16 tables, so that few rows are hashed too."""
+    return _clusters(spark, sf_dir, bucket_rows=60, tables=16)
+
+
 @query(P3_SQL + """
 , p AS (SELECT k.cluster_id, k.vec_id AS x, w.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c
   FROM k JOIN k w ON k.cluster_id = w.cluster_id AND k.vec_id <> w.vec_id JOIN v a ON a.vec_id = k.vec_id JOIN v b ON b.vec_id = w.vec_id),
