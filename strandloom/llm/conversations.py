@@ -2,15 +2,18 @@
 
 Rows arrive as fragments: a session file, or one export of a chat.  A message's
 hash stands for it in every fragment, so a fragment is a path over hashes.  Two
-fragments overlap where a suffix of the one equals a prefix of the other: all
-messages they share then have one and the same shift of place, and as many are
-shared as that shift leaves room for.  Unambiguous overlaps are the edges of the
-overlap graph; following them each fragment gets its offset on a longer path,
-and messages at one place of a path are merged.  An exact check follows: a hash
-that two paths of a conversation still hold (fragments whose shared messages
-disagree on the shift stay paths of their own) is one message too.  The merged
-messages are put in order of time, and a conversation with a gap (an unanswered
-user message), an unknown speaker or no messages is dropped.
+fragments overlap where a suffix of the one equals a prefix of the other, that
+is where the messages they share have one shift of place.  Shared messages of
+one shift are a run, within which the two paths are one without ambiguity: a
+place of the later fragment is the place, moved by the shift, of the earlier
+one.  The runs are the edges of the overlap graph; followed to the end they give
+each message a place on a path, and rows at one place of a path are one message.
+Fragments whose shared messages disagree on the shift (an export that lacks a
+message in the middle) are merged run by run.  Nothing but the overlap graph
+merges rows of different fragments: without its edges every export's messages
+count anew.  The merged messages are put in order of time, and a conversation
+with a gap (an unanswered user message), an unknown speaker or no messages is
+dropped.
 
 Defined results for odd input:
 
@@ -94,59 +97,72 @@ def _placed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at.select(*key, "node", "twin", (F.col("before") + F.col("nth") - 1).alias("place")), sizes.groupBy(*key).agg(F.sum("size").alias("len"))
 
 
-def _links(placed: DataFrame, lengths: DataFrame) -> DataFrame:
+def _links(placed: DataFrame) -> DataFrame:
+    """(conv, fragment_a, place_a, fragment_b, place_b): each message's place in the
+    next fragment by name that holds it, so that n fragments give n - 1 links."""
     next_one = Window.partitionBy(*CONV, "node", "twin").orderBy("fragment")
     links = placed.withColumn("fragment_b", F.lead("fragment").over(next_one)).withColumn("place_b", F.lead("place").over(next_one)).filter("fragment_b is not null")
-    links = links.groupBy(*CONV, F.col("fragment").alias("fragment_a"), "fragment_b", (F.col("place") - F.col("place_b")).alias("shift")).agg(F.count(F.lit(1)).alias("shared"))
-    links = links.withColumn("shifts", F.count(F.lit(1)).over(Window.partitionBy(*CONV, "fragment_a", "fragment_b")))
-    a, b = (lengths.select(*CONV, F.col("fragment").alias(f"fragment_{x}"), F.col("len").alias(f"len_{x}")) for x in "ab")
-    links = links.join(a, [*CONV, "fragment_a"]).join(b, [*CONV, "fragment_b"])
-    room = F.least(F.col("len_a") - F.greatest("shift", F.lit(0)), F.col("len_b") - F.greatest(-F.col("shift"), F.lit(0)))
-    return links.select(*CONV, "fragment_a", "fragment_b", "shift", "shared", ((F.col("shifts") > 1) | (F.col("shared") < room)).alias("ambiguous"))
+    return links.select(*CONV, F.col("fragment").alias("fragment_a"), F.col("place").alias("place_a"), "fragment_b", "place_b")
+
+
+def runs(placed: DataFrame) -> DataFrame:
+    """(conv, fragment_a, fragment_b, place_b, shift): the places of ``fragment_b``
+    that overlap ``fragment_a``, with the shift of their run."""
+    return _links(placed).select(*CONV, "fragment_a", "fragment_b", "place_b", (F.col("place_a") - F.col("place_b")).alias("shift"))
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
-    """Suffix-prefix overlaps of the fragments of a conversation.
+    """The overlap graph of the fragments of a conversation, without the edges that
+    follow from others (all shared messages of which a fragment between holds too).
 
-    Each message is compared only with its occurrence in the next fragment by
-    name, so that the links of a message held by n fragments are n - 1.  Gives
-    (conv, fragment_a, fragment_b, shift, shared, ambiguous): ``shift`` is the
-    place in a of b's first message; ``ambiguous`` where the shared messages
-    disagree or the runs are not a suffix and a prefix.
+    (conv, fragment_a, fragment_b, shift, shared, ambiguous): ``shift`` is the place
+    in a of b's first message, ``shared`` the messages that both hold at this shift;
+    ``ambiguous`` where both share messages at another shift too, or the shared ones
+    are not a whole suffix and prefix.
     """
-    return _links(*_placed(_nodes(rows)))
+    placed, lengths = _placed(_nodes(rows))
+    placed = cut(placed)
+    pairs = _links(placed).select(*CONV, "fragment_a", "fragment_b").distinct()
+    mine, theirs = (placed.select(*CONV, F.col("fragment").alias(f"fragment_{x}"), "node", "twin", F.col("place").alias(f"place_{x}")) for x in "ab")
+    both = pairs.join(mine, [*CONV, "fragment_a"]).join(theirs, [*CONV, "fragment_b", "node", "twin"])
+    edges = both.groupBy(*CONV, "fragment_a", "fragment_b", (F.col("place_a") - F.col("place_b")).alias("shift")).agg(F.count(F.lit(1)).alias("shared"))
+    edges = edges.withColumn("shifts", F.count(F.lit(1)).over(Window.partitionBy(*CONV, "fragment_a", "fragment_b")))
+    a, b = (lengths.select(*CONV, F.col("fragment").alias(f"fragment_{x}"), F.col("len").alias(f"len_{x}")) for x in "ab")
+    edges = edges.join(a, [*CONV, "fragment_a"]).join(b, [*CONV, "fragment_b"])
+    room = F.least(F.col("len_a") - F.greatest("shift", F.lit(0)), F.col("len_b") - F.greatest(-F.col("shift"), F.lit(0)))
+    return edges.select(*CONV, "fragment_a", "fragment_b", "shift", "shared", ((F.col("shifts") > 1) | (F.col("shared") < room)).alias("ambiguous"))
 
 
-def _offsets(links: DataFrame) -> DataFrame:
-    """(conv, fragment, path, offset): the path each fragment lies on.
+def _paths(found: DataFrame) -> DataFrame:
+    """(conv, fragment, place, path, at): where the runs lead each overlapping place.
 
-    A fragment hangs on the last fragment before it that it overlaps without
-    ambiguity; pointers are doubled until all point at the head of their path.
+    A place points at an earlier fragment's; pointers are doubled until all point
+    at the first fragment of their path.
     """
-    best = links.filter("not ambiguous").groupBy(*CONV, F.col("fragment_b").alias("fragment")).agg(F.max(F.struct(F.col("fragment_a").alias("path"), F.col("shift").alias("offset"))).alias("x"))
-    up = cut(best.select(*CONV, "fragment", "x.path", "x.offset"))
+    up = cut(found.select(*CONV, F.col("fragment_b").alias("fragment"), F.col("place_b").alias("place"), F.col("fragment_a").alias("path"), (F.col("place_b") + F.col("shift")).alias("at")))
     while True:
-        above = up.select(*CONV, F.col("fragment").alias("path"), F.col("path").alias("head"), F.col("offset").alias("more"))
-        if up.join(above, [*CONV, "path"], "left_semi").isEmpty():
+        above = up.select(*CONV, F.col("fragment").alias("path"), F.col("place").alias("at"), F.col("path").alias("head"), F.col("at").alias("there"))
+        if up.join(above, [*CONV, "path", "at"], "left_semi").isEmpty():
             return up
-        step = up.join(above, [*CONV, "path"], "left")
-        up = cut(step.select(*CONV, "fragment", F.coalesce("head", "path").alias("path"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset")))
+        step = up.join(above, [*CONV, "path", "at"], "left")
+        up = cut(step.select(*CONV, "fragment", "place", F.coalesce("head", "path").alias("path"), F.coalesce("there", "at").alias("at")))
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:
-    """One row for each message of a conversation: that of the smallest row id."""
+    """One row for each message of a conversation: that of the smallest row id.
+
+    A fragment's own repeats of a message are one by their hash; rows of several
+    fragments are one where they have one place on one path.
+    """
     first = F.min(F.struct("row_id", "pos", "role", "ts", "visible")).alias("m")
     nodes = _nodes(rows)
     several = cut(nodes.groupBy(*CONV).agg(F.min("fragment").alias("a"), F.max("fragment").alias("b")).filter("a < b").select(*CONV))
     parts = nodes.join(several, CONV, "left_semi")
-    placed, lengths = _placed(parts)
-    placed = cut(placed)
-    offsets = _offsets(_links(placed, lengths))
-    on_path = placed.join(offsets, [*CONV, "fragment"], "left").select(*CONV, "fragment", "node", "twin", F.coalesce("path", "fragment").alias("path"), (F.col("place") + F.coalesce("offset", F.lit(0))).alias("place"))
-    along = parts.join(on_path, [*CONV, "fragment", "node", "twin"]).groupBy(*CONV, "path", "place", "node", "twin").agg(first)
-    whole = nodes.join(several, CONV, "left_anti").select(*CONV, "node", "twin", F.struct("row_id", "pos", "role", "ts", "visible").alias("m"))
-    both = along.select(*CONV, "node", "twin", "m").unionByName(whole)
-    return both.groupBy(*CONV, "node", "twin").agg(F.min("m").alias("m")).select(*CONV, "node", "m.*")
+    placed = cut(_placed(parts)[0])
+    on_path = placed.join(_paths(runs(placed)), [*CONV, "fragment", "place"], "left").select(*CONV, "fragment", "node", "twin", F.coalesce("path", "fragment").alias("path"), F.coalesce("at", "place").alias("at"))
+    along = parts.join(on_path, [*CONV, "fragment", "node", "twin"]).groupBy(*CONV, "path", "at").agg(first)
+    whole = nodes.join(several, CONV, "left_anti").groupBy(*CONV, "node", "twin").agg(first)
+    return along.select(*CONV, "m.*").unionByName(whole.select(*CONV, "m.*"))
 
 
 def _carry_time(nodes: DataFrame, block_rows: int, hot: DataFrame | None) -> DataFrame:

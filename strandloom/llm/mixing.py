@@ -1,12 +1,16 @@
 """Mixing sources to target weights of the total size in tokens.
 
-Weights come from a temperature: shares raised to an exponent and normalised.
-The exponent is bisected until the weights reach a target entropy or until no
-source has to be repeated more than its limit; they are reported beside the
-budgets, which are the target shares as far as repeats allow.  Budgets are realised
-as block permutations: a source gives whole passes over its records while
-its budget lasts, and the last pass takes a pseudo-random permutation of blocks
-and, in the one block where the budget ends, of records.
+A source's weight is its token share moved to its target by an exponent: share
+times (target over share) to the exponent, so that 1 gives the target and 0 the
+natural share.  Where a source cannot give that much even if each record is
+used as often as it may be, its exponent is bisected until the weight meets the
+repetition limit; such a source falls short.  The weights of all sources are the
+budgets (times the total) and, normalised, the shares of the mix.  Targets may
+first be tempered as a whole: raised to one exponent, bisected until they have a
+wanted entropy.  Budgets are realised as block permutations: a source gives
+whole passes over its records while its budget lasts, and the last pass takes a
+pseudo-random permutation of blocks and, in the one block where the budget ends,
+of records.
 
 Defined results for odd input:
 
@@ -31,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.session import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Blocks of a source's permutation; a block of the largest source stays below a task's size.
 BLOCK_TOKENS = 20_000_000
-#: Sources (targets) that the driver may hold; they are names of corpora, not data.
-MAX_SOURCES = 100_000
+#: Halvings of an interval of exponents, and how far from 1 an exponent may go.
+STEPS, FAR = 60, 64.0
 
 
 def source_name(c: Column) -> Column:
@@ -89,73 +95,62 @@ def exponent_for_entropy(shares: dict[str, float], target: float, steps: int = 6
     return (low + high) / 2
 
 
-def exponent_for_repeats(shares: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: int, steps: int = 60, tries: int = 64) -> tuple[float, float]:
-    """The exponent nearest to 1 at which no source exceeds its repeats, and the
-    total that they allow there.
+def fitting_exponent(have: Column, target: Column, most: Column, steps: int = STEPS) -> Column:
+    """The exponent nearest to 1 at which the weight is at most ``most``.
 
-    The weights are natural shares times (target over natural) to the exponent:
-    1 gives the targets, 0 the natural shares.  Where no exponent reaches
-    ``total``, the one that allows the largest total is taken.
+    The weight grows with the exponent where the target is above the natural
+    share ``have`` and falls where it is below, so one of the two ways from 1 leads
+    to smaller weights.  Null where the source has no records.
     """
+    ratio = target / have
+    way = F.when(ratio > 1, -1.0).otherwise(1.0) * FAR
+    fits = lambda far: have * F.pow(ratio, 1 + way * far) <= most
+    start = F.struct(F.lit(0.0).alias("over"), F.lit(1.0).alias("fits"))
 
-    def most(x: float) -> float:
-        at = tempered(shares, sizes, x)
-        return min((repeats[k] * sizes[k] / v for k, v in at.items() if v > 0), default=0.0)
-
-    # What a source may give is no monotone function of the exponent.
-    grid = [1 - i / tries for i in range(tries + 1)]
-    fits = next((i for i, x in enumerate(grid) if most(x) >= total - 1e-6), None)
-    if fits is None:
-        return max(((x, most(x)) for x in grid), key=lambda p: p[1])
-    low, high = grid[fits], grid[max(0, fits - 1)]
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if most(mid) >= total - 1e-6 else (low, mid)
-    return low, most(low)
-
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["over"] + s["fits"]) / 2
+        return F.struct(F.when(fits(mid), s["over"]).otherwise(mid).alias("over"), F.when(fits(mid), mid).otherwise(s["fits"]).alias("fits"))
 
-def tempered(shares: dict[str, float], sizes: dict[str, int], exponent: float) -> dict[str, float]:
-    """Natural shares moved towards the targets by the exponent, normalised."""
-    natural = sum(sizes.get(k, 0) for k in shares) or 1
-    raw = {}
-    for k, v in shares.items():
-        have = sizes.get(k, 0) / natural
-        raw[k] = have * (v / have) ** exponent if have > 0 and v > 0 else 0.0
-    total = sum(raw.values())
-    return {k: v / total if total else 0.0 for k, v in raw.items()}
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: 1 + way * s["fits"])
+    return F.when(have > 0, F.when(target <= most, F.lit(1.0)).otherwise(found))
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, target_entropy: float | None = None) -> DataFrame:
     """The budget of each target source.
 
-    (source, target_share, max_repeats, tokens, wanted, budget, short,
-    feasible_share, infeasible): ``wanted`` is the target share of ``total`` (all
-    records, if not given), ``budget`` what the repeats allow of it, ``short``
-    whether that falls short, and ``feasible_share`` the tempered share at which no
-    source is short.  Where no exponent reaches the total, the tempered mix is
-    ``infeasible`` and the share is that of the largest total that repeats allow.
+    (source, target_share, max_repeats, tokens, wanted, exponent, weight, budget,
+    short, mix_share): ``wanted`` is the target share of ``total`` (all records, if
+    not given), ``exponent`` the one nearest to 1 that keeps the repetition limit,
+    ``weight`` the tempered share at it, ``budget`` that weight's tokens, ``short``
+    whether the exponent had to leave 1 (or there are no records) and ``mix_share``
+    the weight normalised over all sources.  ``target_entropy`` (in nats): the
+    targets, being configuration, are first tempered to it.
     """
-    spark = sizes.sparkSession
     by_source = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    wanted = targets.select(source_name(F.col("source")).alias("source"), F.coalesce(F.col("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats"), F.lit(1)).alias("repeats"))
-    wanted = wanted.filter("source is not null").groupBy("source").agg(F.max("share").alias("share"), F.max("repeats").alias("repeats"))
-    joined = by_source.join(wanted, "source", "full").limit(MAX_SOURCES + 1).collect()
-    if len(joined) > MAX_SOURCES:
-        raise ValueError("more sources than a mix is meant for")
-    have = {r["source"]: r["tokens"] or 0 for r in joined if r["source"] is not None}
-    everything = sum(r["tokens"] or 0 for r in joined) if total is None else total
-    asked = {r["source"]: r for r in joined if r["share"] is not None}
-    norm = sum(r["share"] for r in asked.values()) or 1.0
-    shares = {k: r["share"] / norm for k, r in asked.items()}
-    repeats = {k: int(r["repeats"]) for k, r in asked.items()}
-    exponent, most_total = exponent_for_repeats(shares, have, repeats, everything)
-    infeasible = most_total < everything - 1e-6
-    at = tempered(shares, have, exponent)
-    rows = []
-    for k, v in sorted(shares.items()):
-        need, most = v * everything, repeats[k] * have.get(k, 0)
-        rows.append((k, v, repeats[k], have.get(k, 0), int(round(need)), int(min(round(need), most)), need > most, at[k], infeasible))
-    return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens long, wanted long, budget long, short boolean, feasible_share double, infeasible boolean")
+    asked = targets.select(source_name(F.col("source")).alias("source"), F.greatest(F.coalesce(F.col("target_share"), F.lit(0.0)), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats"), F.lit(1)).alias("max_repeats"))
+    asked = asked.filter("source is not null").groupBy("source").agg(F.max("share").alias("share"), F.max("max_repeats").alias("max_repeats"))
+    if target_entropy is not None:
+        shares = {r["source"]: r["share"] for r in asked.collect()}
+        norm = sum(shares.values()) or 1.0
+        x = exponent_for_entropy({k: v / norm for k, v in shares.items()}, target_entropy)
+        asked = asked.withColumn("share", F.when(F.col("share") > 0, F.pow(F.col("share"), F.lit(x))).otherwise(F.lit(0.0)))
+    joined = asked.join(by_source, "source", "full").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    joined = cut(joined)  # a row a source; the texts are tokenised once
+    sums = joined.agg(F.sum("share").alias("share"), F.sum("tokens").alias("all"), F.sum(F.when(F.col("share").isNotNull(), F.col("tokens"))).alias("mine")).first()
+    everything = float((sums["all"] or 0) if total is None else total)
+    target = F.col("share") / F.lit(sums["share"] or 1.0)
+    have, most = F.col("tokens") / F.lit(float(sums["mine"] or 1)), F.col("max_repeats") * F.col("tokens") / F.lit(everything or 1.0)
+    rows = joined.filter("share is not null").withColumn("target_share", target).withColumn("have", have).withColumn("most", most)
+    rows = rows.withColumn("exponent", fitting_exponent(F.col("have"), F.col("target_share"), F.col("most")))
+    rows = rows.withColumn("weight", F.when(F.col("have") > 0, F.col("have") * F.pow(F.col("target_share") / F.col("have"), F.col("exponent"))).otherwise(F.lit(0.0)))
+    # What no exponent brings below the limit (the target is the natural share) is cut at it.
+    rows = rows.withColumn("weight", F.least("weight", "most"))
+    weights = rows.agg(F.sum("weight")).first()[0] or 1.0
+    short = (F.col("target_share") > 0) & (F.col("exponent").isNull() | (F.col("exponent") != 1))
+    return rows.select(
+        "source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), F.col("tokens").cast("long").alias("tokens"), F.round(F.col("target_share") * everything).cast("long").alias("wanted"),
+        "exponent", "weight", F.round(F.col("weight") * everything).cast("long").alias("budget"), short.alias("short"), (F.col("weight") / weights).alias("mix_share"),
+    )
 
 
 def realise(sizes: DataFrame, plan: DataFrame, seed: int = 7, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -185,8 +180,8 @@ def realise(sizes: DataFrame, plan: DataFrame, seed: int = 7, block_tokens: int
 
 
 def mix_report(plan: DataFrame, mix: DataFrame) -> DataFrame:
-    """Target and actual shares of each target source."""
+    """Target, planned and actual shares of each target source."""
     used = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
     rows = plan.join(used, "source", "left").na.fill(0, ["used", "most_copies"])
-    whole = Window.partitionBy(F.lit(1))
-    return rows.withColumn("actual_share", F.col("used") / F.greatest(F.lit(1), F.sum("used").over(whole)))
+    rows = cut(rows)  # a row a source
+    return rows.withColumn("actual_share", F.col("used") / F.lit(max(1, rows.agg(F.sum("used")).first()[0] or 0)))

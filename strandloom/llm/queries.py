@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom import queries as core
 from strandloom.llm import clusters, conversations, fusion, leaks, lookalikes, markup, mixing, splitting, vectors
 from strandloom.operators import retrieval
-from strandloom.session import table
+from strandloom.session import cut, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -99,7 +99,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conv_table", "conv_id", "turn_no", "row_id")
 
 
-@query()
+@query(r"""
+WITH m AS (
+  SELECT conv_uuid AS conv_id, coalesce(export_id, '') AS fragment, msg_pos AS pos, coalesce('m' || message_uuid, 'r' || row_id) AS node
+  FROM chat_messages WHERE conv_uuid IS NOT NULL AND lower(regexp_replace(coalesce(sender, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) NOT IN ('system', 'tool')),
+n AS (SELECT conv_id, fragment, node, min(pos) AS pos FROM m GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, fragment ORDER BY pos, node) - 1 AS place, count(*) OVER (PARTITION BY conv_id, fragment) AS len FROM n),
+l AS (SELECT conv_id, fragment AS fragment_a, lead(fragment) OVER (PARTITION BY conv_id, node ORDER BY fragment) AS fragment_b FROM p),
+d AS (SELECT DISTINCT * FROM l WHERE fragment_b IS NOT NULL),
+e AS (
+  SELECT d.conv_id, d.fragment_a, d.fragment_b, a.place - b.place AS shift, count(*) AS shared, any_value(a.len) AS len_a, any_value(b.len) AS len_b
+  FROM d JOIN p a ON a.conv_id = d.conv_id AND a.fragment = d.fragment_a JOIN p b ON b.conv_id = d.conv_id AND b.fragment = d.fragment_b AND b.node = a.node
+  GROUP BY ALL)
+SELECT 'chat_messages' AS conv_table, conv_id, fragment_a, fragment_b, shift, shared,
+       count(*) OVER (PARTITION BY conv_id, fragment_a, fragment_b) > 1 OR shared < least(len_a - greatest(shift, 0), len_b - greatest(-shift, 0)) AS ambiguous
+FROM e
+""")
 def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlap graph of the fragments of exported chats."""
     return conversations.overlaps(conversations.chat_rows(table(spark, sf_dir, "chat_messages")))
@@ -170,11 +185,33 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of the realised mix."""
-    sizes = mixing.token_sizes(table(spark, sf_dir, "documents"))
+    sizes = cut(mixing.token_sizes(table(spark, sf_dir, "documents")))
     plan = mixing.mix_plan(sizes, table(spark, sf_dir, "mix_targets"))
     return mixing.mix_report(plan, mixing.realise(sizes, plan))
 
 
+P9_PLAN_SQL = """
+WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(max_repeats) AS repeats FROM mix_targets GROUP BY 1),
+n AS (
+  SELECT t.source, share / (SELECT sum(share) FROM t) AS target_share, repeats::INT AS max_repeats, coalesce(size, 0)::BIGINT AS size, (SELECT sum(size) FROM d) AS total
+  FROM t LEFT JOIN d USING (source))
+SELECT source, round(target_share, 9) AS target_share, max_repeats, size, round(target_share * total)::BIGINT AS wanted,
+       least(round(target_share * total), max_repeats * size)::BIGINT AS budget, target_share * total > max_repeats * size AS short,
+       round(least(target_share, max_repeats * size / total) / sum(least(target_share, max_repeats * size / total)) OVER (), 9) AS mix_share
+FROM n
+"""
+
+
+@query(P9_PLAN_SQL)
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets and shares of the mix where a record's size is its characters."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    sizes = rows.select(mixing.source_name(rows["source"]).alias("source"), mixing.F.length("text").cast("long").alias("tokens"))
+    plan = mixing.mix_plan(sizes, table(spark, sf_dir, "mix_targets"))
+    return plan.selectExpr("source", "round(target_share, 9) AS target_share", "max_repeats", "tokens AS size", "wanted", "budget", "short", "round(mix_share, 9) AS mix_share")
+
+
 # -- 10: visually identical text -------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import strandloom.llm.conversations as conversations_module
 from strandloom.llm.conversations import assemble, chat_rows, conversations, overlaps, session_rows
 
 T0 = dt.datetime(2026, 1, 1)
@@ -85,11 +86,39 @@ def test_overlap_graph(spark):
 
     rows = export("e1", range(5)) + export("e2", range(3, 9)) + export("e3", range(9)) + export("e4", [20, 1, 21])
     got = {(r.fragment_a, r.fragment_b): (r["shift"], r.shared, r.ambiguous) for r in overlaps(chat_rows(spark.createDataFrame(rows, CHAT))).collect()}
-    assert got[("e1", "e3")] == (0, 3, True)  # only messages that e2 lacks are compared
+    assert got[("e1", "e3")] == (0, 5, False)  # all messages that both hold, e2's too
     assert got[("e1", "e2")] == (3, 2, False)
     assert got[("e2", "e3")] == (-3, 6, False)
     assert got[("e3", "e4")][2] is True
 
 
+def exports(held):
+    """Chat rows of one conversation: messages by number, an even one a user's."""
+    rows = []
+    for name, ids in held:
+        rows += [(len(rows) + k, name, "c", k, f"m{i}", f"text {i}", ["human", "assistant"][i % 2], at(i)) for k, i in enumerate(ids)]
+    return rows
+
+
+def test_paths_of_many_exports(spark):
+    whole = list(range(12))
+    for held in (
+        [("e1", whole[:6]), ("e2", whole[4:10]), ("e3", whole[8:])],
+        [("e1", whole), ("e2", whole[2:5]), ("e3", whole[:8]), ("e4", whole[6:])],
+        [("e1", [0, 1, 4, 5, 6, 7]), ("e2", whole), ("e3", [2, 3, 10, 11])],  # e1 lacks messages in the middle: two runs
+    ):
+        rows = exports(held)
+        want = brute(rows)
+        assert want and kept(assemble(chat_rows(spark.createDataFrame(rows, CHAT)))) == want
+
+
+def test_the_overlap_graph_decides(spark, monkeypatch):
+    rows = spark.createDataFrame(exports([("e1", range(6)), ("e2", range(2, 10))]), CHAT)
+    assert kept(assemble(chat_rows(rows))) == {"c": [0, 1, 2, 3, 4, 5, 10, 11, 12, 13]}
+    whole = conversations_module.runs
+    monkeypatch.setattr(conversations_module, "runs", lambda placed: whole(placed).limit(0))
+    assert kept(assemble(chat_rows(rows))) != {"c": [0, 1, 2, 3, 4, 5, 10, 11, 12, 13]}
+
+
 def test_empty(spark):
     assert conversations(spark.createDataFrame([], SESSION), spark.createDataFrame([], CHAT)).count() == 0

@@ -1,6 +1,8 @@
 import random
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from strandloom.llm.leaks import Automaton, leak_spans, leaks, quoting, without_leaks, words
 from strandloom.llm.lookalikes import canonical, same_look_pairs, transducer
 from strandloom.llm.mixing import entropy, exponent_for_entropy, mix_plan, mix_report, realise, temperature, token_sizes
@@ -96,15 +98,24 @@ def test_temperature():
     assert abs(entropy(temperature(shares, x)) - 0.9) < 1e-6
 
 
-def test_tempered_weights_and_no_feasible_exponent(spark):
-    sizes = spark.createDataFrame([(1, "a", 700), (2, "b", 200), (3, "c", 100)], "id long, source string, tokens long")
+def test_exponents_decide_the_budgets(spark, monkeypatch):
+    sizes = spark.createDataFrame([(1, "a", 700), (2, "b", 200), (3, "c", 100), (4, "x", 500)], "id long, source string, tokens long")
     t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
-    plan = mix_plan(sizes, t).collect()
-    assert {r.source for r in plan if r.short} == {"c"} and not any(r.infeasible for r in plan)
-    assert all(1000 * r.feasible_share <= r.max_repeats * r.tokens + 1e-3 for r in plan)
-    # Records without a target count for the total: once each, the targets' sources cannot fill it.
-    once = mix_plan(sizes, t.filter("source <> 'a'").selectExpr("source", "target_share", "1 as max_repeats")).collect()
-    assert all(r.infeasible for r in once)
+    plan = {r.source: r for r in mix_plan(sizes, t).collect()}
+    assert {k for k, r in plan.items() if r.short} == {"b", "c"} and plan["a"].exponent == 1 and plan["a"].budget == 600
+    for k in "bc":  # the weight at the exponent is what the repeats allow
+        have = plan[k].tokens / 1000
+        assert plan[k].exponent < 1 and plan[k].budget == plan[k].max_repeats * plan[k].tokens
+        assert abs(have * (plan[k].target_share / have) ** plan[k].exponent - plan[k].weight) < 1e-12
+    assert abs(sum(r.mix_share for r in plan.values()) - 1) < 1e-12
+    # A target below the natural share that does not fit either needs an exponent above 1.
+    once = {r.source: r for r in mix_plan(sizes, t.selectExpr("source", "if(source = 'a', 0.9, target_share) target_share", "1 as max_repeats")).collect()}
+    assert once["a"].target_share < 0.7 and once["a"].exponent > 1 and once["a"].budget == 700
+    even = {r.source: r.target_share for r in mix_plan(sizes, t, target_entropy=5.0).collect()}
+    assert max(even.values()) - min(even.values()) < 1e-3
+    monkeypatch.setattr("strandloom.llm.mixing.fitting_exponent", lambda have, target, most: F.lit(0.0))
+    natural = {r.source: r for r in mix_plan(sizes, t).collect()}
+    assert all(r.short for r in natural.values()) and natural["c"].budget == 150
 
 
 def test_mix_reaches_its_shares_within_repeats(spark):
