@@ -383,9 +383,10 @@ def _nearest(k: int, least: float, asked: bool):
     kind = pa.list_(pa.struct([("c", pa.int32()), ("id", pa.int64())]))
 
     def work(unit: np.ndarray, reps: np.ndarray, copies: np.ndarray, home: np.ndarray, own: np.ndarray | None, ask: np.ndarray) -> pa.Table:
-        names, sizes, cos, ids = [], [], [], []
+        names, sizes, cos, ids, guests = [], [], [], [], []
 
-        def best(rows: np.ndarray, cols: np.ndarray, micro: np.ndarray) -> None:
+        def best(rows: np.ndarray, cols: np.ndarray, micro: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(row, millionths, column) of the k best of each row."""
             # One number that orders by cosine, then by the smaller id (columns ascend by id).
             rank = np.where(micro >= 0, micro * len(unit) + (len(unit) - 1 - cols)[None, :], -1)
             if rank.shape[1] > k:
@@ -394,11 +395,15 @@ def _nearest(k: int, least: float, asked: bool):
                 at = np.broadcast_to(np.arange(rank.shape[1]), rank.shape)
             got = np.take_along_axis(micro, at, 1)
             good = got >= 0
-            per = good.sum(axis=1)
-            names.append(reps[rows][per > 0])
-            sizes.append(per[per > 0])
-            cos.append(got[good])
-            ids.append(reps[cols[at]][good])
+            return np.repeat(rows, good.sum(axis=1)), got[good], cols[at][good]
+
+        def put(row: np.ndarray, micro: np.ndarray, column: np.ndarray) -> None:
+            """Lists of rows, each row's items being neighbours in the arrays."""
+            firsts = np.flatnonzero(np.diff(row, prepend=-1))
+            names.append(reps[row[firsts]])
+            sizes.append(np.diff(firsts, append=len(row)))
+            cos.append(micro)
+            ids.append(reps[column])
 
         def millionths(fine: np.ndarray) -> np.ndarray:
             micro = np.rint(fine * MILLION).astype(np.int64)
@@ -409,15 +414,22 @@ def _nearest(k: int, least: float, asked: bool):
         if asked:  # lists of the asked rows only, whether they live here or visit
             for left, right in ((np.flatnonzero(home & ask), everyone), (np.flatnonzero(~home & ask), here)):
                 for rows, cols, fine in _close(unit, reps, left, right, own, least) if len(left) and len(right) else ():
-                    best(rows, cols, millionths(fine))
+                    put(*best(rows, cols, millionths(fine)))
         else:
             for rows, cols, fine in _close(unit, reps, here, everyone, own, least) if len(here) else ():
                 micro = millionths(fine)
-                best(rows, cols, micro)
-                guests = np.flatnonzero(~home[cols])
-                if len(guests):
-                    best(cols[guests], rows, np.ascontiguousarray(micro[:, guests].T))
-        if not names:
+                put(*best(rows, cols, micro))
+                visiting = np.flatnonzero(~home[cols])
+                if len(visiting):
+                    guests.append(best(cols[visiting], rows, np.ascontiguousarray(micro[:, visiting].T)))
+            if guests:  # the best of each guest over all blocks
+                row, micro, column = (np.concatenate(x) for x in zip(*guests))
+                order = np.lexsort((column, -micro, row))
+                row = row[order]
+                firsts = np.flatnonzero(np.diff(row, prepend=-1))
+                nth = np.arange(len(row)) - np.repeat(firsts, np.diff(firsts, append=len(row)))
+                put(row[nth < k], micro[order][nth < k], column[order][nth < k])
+        if not sum(map(len, cos)):
             return pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], kind)})
         ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
         items = pa.StructArray.from_arrays([pa.array(np.concatenate(cos).astype(np.int32)), pa.array(np.concatenate(ids))], ["c", "id"])
@@ -444,7 +456,7 @@ def nearest(df: DataFrame, vec_id: str, vector: str, k: int = 5, least: float =
     k + 1 rows are kept, as one of them may be the row itself.
     """
     cells = Cells(df, vec_id, vector, asked=asked, **sizes)
-    near = nearest_reps(cells, k, least)
+    near = cut(nearest_reps(cells, k, least))  # read twice below
     copies = cells.copies()
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     few = copies.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
