@@ -1,20 +1,20 @@
 """Markup in texts: template classes by equal occurrence, then slots as clean text.
 
-Pass one reads every text of a host (here: a table) in the JVM, takes its
-paired markup tokens (tags, environments, double brackets and braces, wiki
-tables) and keeps, for each token, its occurrence vector over the texts as a
-sum of hashes.  Tokens of one vector are an equivalence class.  A class is
-valid where opening and closing tokens have the same vector (up to a stated
-share of texts that are cut short) and the opening one comes first; the tag
-names of valid classes are the host's template (classes are not nested, and
-tokens other than tags are decided by the grammar of pass two).  ``Vec<u8>`` or ``<ops at desk 7>``
-form no valid class, since nothing closes them.
-
-Pass two reads the texts that hold a character markup needs, hides code blocks,
-code spans and wiki tables (what stands in them counts for no other kind), and
-finds the tokens of the template and of one-sided markup with its own grammar
-(headings, lists, emphasis, commands, formulas).  What lies between the
-template's tokens are the slots; they are the clean text.
+One pass lexes the texts of a host (here: a table) that hold a character markup
+needs.  Code blocks, code spans and wiki tables are hidden first (what stands in
+them counts for no other kind).  A token is an element, an environment, a pair of
+marks, a line mark; its openings and closings are counted apart.  For each page
+the lexer gives a token's counts and the token around its first occurrence.
+
+Over a host these make occurrence vectors (sums of hashes of page and count), of
+the openings and of the closings of a token.  A token is valid where the two
+agree, up to a stated share of pages that are cut short, and the opening one
+comes first: ``Vec<u8>`` or ``<ops at desk 7>`` are not, since nothing closes
+them.  Tokens of one vector are an equivalence class; a class lies in the class of
+the token that most often encloses its tokens, so the classes nest into the
+host's template.  Only tokens of the template are markup, of whatever kind: a page
+holds the kinds of its valid tokens, and what lies between them are the slots,
+which are the clean text; each token has its own way to be written between them.
 
 Defined results for odd input:
 
@@ -28,24 +28,44 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import cut
+
 KINDS = ("html", "markdown", "wiki", "latex")
-#: Share of a token's texts in which its counts must agree with its partner's.
+#: Share of a token's pages in which its counts must agree with its partner's.
 AGREE = 0.8
-#: Most token names of all hosts that the driver holds (about 60 bytes each).
-MAX_TOKENS = 500_000
+#: Most valid tokens of all hosts that are broadcast (about 60 bytes each); beyond
+#: it each text is joined with its own.
+BROADCAST_TOKENS = 500_000
 # Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+# Elements that stand on lines of their own.
+BLOCKS = ("p", "div", "tr", "table", "ul", "ol", "section", "article", "header", "footer", "blockquote", "br", "hr")
 
 #: Characters and line beginnings without which a text holds no markup.
 CANDIDATE = r"""[<`\[{\\$&|]|\*\S|__|~~|''|(?m:^[ \t]*(?:[-*+>#]|\d{1,9}[.)])[ \t>#])|(?m:^[ \t]*[=-]{2,})"""
-#: Paired tokens, as the JVM takes them from a text.
-PAIRED = r"(</?[A-Za-z][A-Za-z0-9-]{0,30}(?=[\s/>])|\\(?:begin|end)\{[A-Za-z]{1,30}\*?\}|\[\[|\]\]|\{\{|\}\}|\{\||\|\})"
+
+
+class Mark(NamedTuple):
+    """A place in a text that belongs to a token; ``put`` is written in its stead.
+
+    ``side``: 1 opens, -1 closes, 0 stands alone.
+    """
+
+    start: int
+    end: int
+    token: str
+    side: int
+    put: str
+
+
+# -- the lexer --------------------------------------------------------------------
 
 # Code and wiki tables, leftmost first.
 _HIDDEN = re.compile(
@@ -55,139 +75,343 @@ _HIDDEN = re.compile(
     r"|(?P<span>(?<!`)(?P<t>`{1,2})(?!`)(?:[^`\n]|(?!(?P=t))`|\n(?!\s*\n))+?(?P=t)(?!`))",
     re.M | re.I,
 )
+_FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})([^\n]*)\n?([\s\S]*?)(?:^[ \t]*\1[`~]*[ \t\r]*$|\Z)", re.M)
+_HOLE = re.compile(r"( ?)\x1a(\d+)\x1a( ?)")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]{0,30})((?:\s[^<>]*)?)/?>")
 _COMMENT = re.compile(r"<!--[\s\S]*?-->|<!DOCTYPE[^>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-_MARKDOWN = re.compile(
-    r"^[ ]{0,3}#{1,6}[ \t]+\S"
-    r"|^[ \t]*[-*+][ \t]+\S"
-    r"|^[ ]{0,3}\d{1,9}[.)][ \t]+\S"
-    r"|^[ ]{0,3}>[ \t]?\S"
-    r"|(?<=\n)[ ]{0,3}(?:={3,}|-{3,})[ \t]*$"
-    r"|^[ ]{0,3}(?:\*[ \t]*){3,}$"
-    r"|^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$"
-    r"|!?\[[^\]\n]+\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"
-    r"|(?<![*\w])\*\*(?=[^\s*])[^\n]*?(?<=[^\s*])\*\*(?!\*)"
-    r"|(?<![_\w])__(?=[^\s_])[^\n]*?(?<=[^\s_])__(?![_\w])"
-    r"|(?<![*\w])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![*\w])"
-    r"|(?<![~\w])~~(?=[^\s~])[^\n]*?(?<=[^\s~])~~(?!~)",
-    re.M,
-)
-_WIKI = re.compile(
-    r"'''(?=[^\s'])[^\n]*?'''|(?<!')''(?=[^\s'])[^'\n]*?''(?!')"
-    r"|^(={2,6})[ \t]*[^=\s][^\n]*?\1[ \t]*$"
-    r"|\[\[[^\[\]\s][^\[\]\n]*\]\]"
-    r"|\{\{[A-Za-z#][^{}]*\}\}",
-    re.M,
-)
-_LATEX = re.compile(
-    r"\\(?:begin|end)\{[A-Za-z]+\*?\}"
-    r"|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{[^{}\n]*"
-    r"|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)"
-    r"|\$\$[\s\S]+?\$\$"
-    r"|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}])[^$\n]*?(?<=[^\s\\$])\$(?![\d$])"
+_NEXT_CELL = re.compile(r"\s*<t[dh]\b", re.I)
+
+
+class Construct(NamedTuple):
+    """A token of a grammar: ``whole`` finds it from its opening to its closing, its
+    group ``in``, if any, being the slot; ``opens`` and ``closes`` count either side
+    alone, also where the other is missing."""
+
+    kind: str
+    name: str
+    needs: str
+    whole: re.Pattern
+    opens: re.Pattern | None = None
+    closes: re.Pattern | None = None
+    put: Callable[[re.Match], tuple[str, str]] = lambda m: ("", "")
+    #: The slot is kept as it stands: no token counts in it.
+    verbatim: bool = False
+
+
+def _pair(kind: str, name: str, needs: str, opens: str, slot: str, closes: str, sides: tuple[str, str] | None = None, **more) -> Construct:
+    one, other = sides or (opens, closes)
+    return Construct(kind, f"{kind}:{name}", needs, re.compile(f"(?:{opens})(?P<in>{slot})(?:{closes})", re.M), re.compile(one, re.M), re.compile(other, re.M), **more)
+
+
+def _line(name: str, needs: str, mark: str, **more) -> Construct:
+    return Construct("markdown", f"markdown:{name}", needs, re.compile(mark, re.M), **more)
+
+
+def _same(m: re.Match) -> tuple[str, str]:
+    a, b = m.span("in")
+    return m.string[m.start() : a], m.string[b : m.end()]
+
+
+GRAMMARS = (
+    _line("heading", "#", r"^[ ]{0,3}(?P<m>#{1,6})[ \t]+(?=\S)", put=lambda m: (m["m"] + " ", "")),
+    _line("item", "", r"^(?P<m>[ \t]*)[-*+][ \t]+(?=\S)", put=lambda m: (m["m"] + "- ", "")),
+    _line("number", "", r"^[ ]{0,3}\d{1,9}[.)][ \t]+(?=\S)", put=lambda m: (m[0], "")),
+    _line("quote", ">", r"^[ ]{0,3}>[ \t]?(?=\S)"),
+    _line("underline", "", r"(?:(?<=\n)|^(?P<line>[^\n]*\S[^\n]*)\n)[ ]{0,3}(?P<m>={3,}|-{3,})[ \t]*$"),
+    _line("rule", "*", r"^[ ]{0,3}(?:\*[ \t]*){3,}$", put=lambda m: (m[0], "")),
+    _line("table", "|", r"^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*(?:\n|$)"),
+    _pair("markdown", "link", "](", r"!?\[(?=[^\]\n]+\]\()", r"[^\]\n]+", r"\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
+    _pair("markdown", "strong", "**", r"(?<![*\w])\*\*(?=[^\s*])", r"[^\n]*?", r"(?<=[^\s*])\*\*(?!\*)", (r"(?<![*\w])\*\*(?=[^\s*])", r"(?<=[^\s*])\*\*(?![*\w])")),
+    _pair("markdown", "under", "__", r"(?<![_\w])__(?=[^\s_])", r"[^\n]*?", r"(?<=[^\s_])__(?![_\w])"),
+    _pair("markdown", "emphasis", "*", r"(?<![*\w])\*(?=[^\s*])", r"[^*\n]*?", r"(?<=[^\s*])\*(?![*\w])"),
+    _pair("markdown", "strike", "~~", r"(?<![~\w])~~(?=[^\s~])", r"[^\n]*?", r"(?<=[^\s~])~~(?!~)", (r"(?<![~\w])~~(?=[^\s~])", r"(?<=[^\s~])~~(?![~\w])")),
+    _pair("wiki", "bold", "'''", r"'''(?=[^\s'])", r"[^\n]*?", r"'''", (r"(?<!')'''(?=[^\s'])", r"(?<=[^\s'])'''(?!')")),
+    _pair("wiki", "italic", "''", r"(?<!')''(?=[^\s'])", r"[^'\n]*?", r"''(?!')", (r"(?<!')''(?=[^\s'])", r"(?<=[^\s'])''(?!')")),
+    _pair("wiki", "heading", "==", r"^(?P<eq>={2,6})[ \t]*(?=[^=\s])", r"[^=\s\n][^\n]*?", r"[ \t]*(?P=eq)[ \t]*$", (r"^={2,6}(?=[ \t]*[^=\s])", r"[^=\s][ \t]*={2,6}[ \t]*$"), put=lambda m: ("#" * len(m["eq"]) + " ", "")),
+    Construct("wiki", "wiki:category", "[[", re.compile(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]")),
+    _pair("wiki", "link", "[[", r"\[\[(?!(?:Category|File|Image):)(?=[^\[\]\s])(?:[^\[\]|\n]*\|)*", r"[^\[\]|\n]*", r"\]\]", (r"\[\[(?=[^\s\[\]])", r"(?<=[^\s\[])\]\]")),
+    Construct("wiki", "wiki:template", "{{", re.compile(r"\{\{(?=[A-Za-z#])[^{}]*?(?:\|(?P<in>[^{}|=]+))?\}\}"), re.compile(r"\{\{(?=[A-Za-z#])"), re.compile(r"\}\}")),
+    Construct("latex", "latex:formula", "$$", re.compile(r"\$\$(?P<in>[\s\S]+?)\$\$"), put=_same, verbatim=True),
+    Construct("latex", "latex:inline", "$", re.compile(r"(?<![\\$\w])\$(?=[^\s$])(?P<in>(?=[^$\n]*[\\^_={}])[^$\n]*?)(?<=[^\s\\$])\$(?![\d$])"), re.compile(r"(?<![\\$\w])\$(?=[^\s$\d])"), re.compile(r"(?<=[^\s\\$])\$(?![\d$\w])"), put=_same, verbatim=True),
+    _pair("latex", "display", "\\[", r"\\\[", r"[\s\S]+?", r"\\\]", put=lambda m: ("$$", "$$"), verbatim=True),
+    _pair("latex", "parentheses", "\\(", r"\\\(", r"[\s\S]+?", r"\\\)", put=_same, verbatim=True),
+)
+_ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?")
+_COMMAND = re.compile(r"(?P<tie>~?)\\(?!(?:begin|end)\{)(?P<name>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{(?=[^{}\n]*)")
+_ITEM = re.compile(r"^[ \t]*\\item\b[ \t]*", re.M)
+_BRACE = re.compile(r"[{}\n]")
+# Environments that hold a formula, commands that head a part, commands that only refer.
+FORMULAS = ("equation", "align", "displaymath", "math")
+HEADS = {"part": 1, "chapter": 1, "section": 1, "subsection": 1, "subsubsection": 1}
+REFERS = ("cite", "ref", "label")
+#: All tokens that are not elements of HTML.
+GRAMMAR = frozenset(
+    ("html:code", "html:comment", "html:entity", "markdown:fence", "markdown:span", "wiki:table", "latex:environment", "latex:command", *(g.name for g in GRAMMARS)),
 )
 
 
-def _known_entity(m: re.Match) -> bool:
-    return html.unescape(m[0]) != m[0]
+def _kind(token: str) -> str:
+    return token.partition(":")[0] if ":" in token else "html"
 
 
-def hide(text: str) -> tuple[str, set[str]]:
-    """The text without code and wiki tables, and the kinds those are of."""
-    kinds = set()
+def _code(body: str) -> str:
+    return "\n```\n" + body.strip("\n") + "\n```\n"
 
-    def gone(m: re.Match) -> str:
-        if m["fence"] is not None or m["span"] is not None:
-            kinds.add("markdown")
-        else:
-            kinds.add("wiki" if m["table"] is not None else "html")
-        return "\x1a" if m["span"] is not None else "\x1a\n" if m["fence"] is not None or m["table"] is not None else " \x1a "
 
-    return _HIDDEN.sub(gone, text), kinds
+def _shown(m: re.Match) -> str:
+    """How a hidden piece is written in a clean text."""
+    if m["fence"] is not None:
+        f = _FENCE.match(m[0])
+        return _code(f[3] if f else m[0])
+    if m["pre"] is not None:
+        body = html.unescape(re.sub(r"<[^<>]*>", "", m[0]))
+        return _code(body) if m["tag"].lower() == "pre" else body if m["tag"].lower() == "code" else ""
+    if m["table"] is not None:
+        rows = re.split(r"^\|-[^\n]*$", re.sub(r"^\{\|[^\n]*\n?|^\|\}", "", m[0], flags=re.M), flags=re.M)
+        cells = [re.sub(r"\s*\n[!|]\s*|\s*(?:!!|\|\|)\s*", " | ", r.strip().lstrip("!|").strip()) for r in rows if r.strip()]
+        return "\n" + "\n".join(cells) + "\n"
+    return m[0].strip("`")
+
+
+def hide(text: str) -> tuple[str, list[tuple[str, re.Match]]]:
+    """The text with a numbered hole for each piece of code or wiki table, and these
+    with their tokens."""
+    held: list[tuple[str, re.Match]] = []
+
+    def hole(m: re.Match) -> str:
+        token = "markdown:fence" if m["fence"] is not None else "html:code" if m["pre"] is not None else "wiki:table" if m["table"] is not None else "markdown:span"
+        held.append((token, m))
+        here = f"\x1a{len(held) - 1}\x1a"
+        return f" {here} " if token == "html:code" else here if token == "markdown:span" else here + "\n"
+
+    return _HIDDEN.sub(hole, text.replace("\x1a", "")), held
+
+
+def _closing(rest: str, at: int) -> int:
+    """Where the brace closes that opened before ``at``, within the line; -1 if it does not."""
+    depth = 1
+    for m in _BRACE.finditer(rest, at):
+        depth += {"{": 1, "}": -1, "\n": 99}[m[0]]
+        if not depth:
+            return m.start()
+        if depth > 50:
+            break
+    return -1
+
+
+def _html_marks(rest: str) -> Iterator[Mark]:
+    if "<" in rest:
+        for m in _COMMENT.finditer(rest):
+            yield Mark(*m.span(), "html:comment", 0, "")
+        for m in _TAG.finditer(rest):
+            name, closes = m[2].lower(), bool(m[1])
+            put = "\n" if name in BLOCKS else ""
+            if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+                put = "\n" if closes else "\n" + "#" * int(name[1]) + " "
+            elif name == "li" and not closes:
+                put = "\n- "
+            elif name in ("td", "th") and closes and _NEXT_CELL.match(rest, m.end()):
+                put = " | "
+            yield Mark(*m.span(), name, 0 if name in VOID else -1 if closes else 1, put)
+    if "&" in rest:
+        for m in _ENTITY.finditer(rest):
+            if (plain := html.unescape(m[0])) != m[0]:
+                yield Mark(*m.span(), "html:entity", 0, plain)
+
+
+def _latex_marks(rest: str) -> Iterator[Mark]:
+    for m in _ENVIRONMENT.finditer(rest):
+        (start, end), opens = m.span(), m[1] == "begin"
+        formula = m[2].rstrip("*") in FORMULAS
+        if formula:  # without the white space at the ends of the slot
+            start = start if opens else len(rest[:start].rstrip())
+            end = len(rest) - len(rest[end:].lstrip()) if opens else end
+        yield Mark(start, end, "latex:environment", 1 if opens else -1, ("\n$$" if opens else "$$\n") if formula else "")
+    for m in _COMMAND.finditer(rest):
+        end, name = _closing(rest, m.end()), m["name"]
+        refers = any(name == r or name.startswith(r) for r in REFERS)
+        start = m.start() if refers else m.start("name") - 1
+        if refers and end >= 0:
+            yield Mark(start, end + 1, "latex:command", 0, "")
+            continue
+        head = HEADS.get(name)
+        yield Mark(start, m.end(), "latex:command", 1, "\n# " if head else "")
+        if end >= 0:
+            yield Mark(end, end + 1, "latex:command", -1, "\n" if head else "")
+    for m in _ITEM.finditer(rest):
+        yield Mark(*m.span(), "latex:environment", 0, "- ")
+
+
+def _marks(c: Construct, rest: str) -> Iterator[Mark]:
+    for m in c.whole.finditer(rest):
+        before, after = c.put(m)
+        if c.name == "markdown:underline":
+            if m["line"] is not None:
+                yield Mark(m.start(), m.start(), c.name, 0, "# " if m["m"][0] == "=" else "## ")
+                yield Mark(m.end("line"), m.end(), c.name, 0, "")
+            else:
+                yield Mark(*m.span(), c.name, 0, m[0])
+        elif m.re.groupindex.get("in") is None or m["in"] is None:
+            yield Mark(*m.span(), c.name, 0, before)
+        else:
+            a, b = m.span("in")
+            yield Mark(m.start(), a, c.name, 1, before)
+            yield Mark(b, m.end(), c.name, -1, after)
+
+
+class Page(NamedTuple):
+    """A lexed text: the text with holes, the hidden pieces, its marks in order, the
+    counts (opened, closed, first opens, whole) of each token and the token around
+    it.  A token of which only one side was found is not whole."""
+
+    rest: str
+    held: list[tuple[str, re.Match]]
+    marks: list[Mark]
+    counts: dict[str, tuple[int, int, bool, bool]]
+    around: dict[str, str]
+
+
+def lex(text: str) -> Page:
+    """The tokens of a text, valid or not."""
+    rest, held = hide(text)
+    marks: list[Mark] = []
+    spans: list[tuple[int, int]] = []  # slots kept as they stand
+    sides: dict[str, list] = {}
+    for c in GRAMMARS:
+        if c.needs not in rest:
+            continue
+        found = [x for x in _marks(c, rest) if not spans or not any(a < x.start < b for a, b in spans)]
+        if c.verbatim:
+            spans += [(x.end, y.start) for x, y in zip(found[::2], found[1::2]) if x.side == 1 and y.side == -1]
+        if c.opens is not None:
+            sides[c.name] = [len(c.opens.findall(rest)), len(c.closes.findall(rest)), True, bool(found)]
+        marks += found
+    more = list(_html_marks(rest)) if "<" in rest or "&" in rest else []
+    if "\\" in rest:
+        more += _latex_marks(rest)
+    marks += [x for x in more if not any(a < x.start < b for a, b in spans)] if spans else more
+    marks.sort(key=lambda x: (x.start, -x.side, -x.end))
+    counts: dict[str, list] = {}
+    for token, _ in held:
+        got = counts.setdefault(token, [0, 0, True, True])
+        got[0] += 1
+        got[1] += 1  # an unclosed fence ends with the text
+    around: dict[str, str] = {}
+    stack: list[str] = []
+    for x in marks:
+        got = counts.setdefault(x.token, [0, 0, x.side >= 0, True])
+        got[0] += x.side >= 0
+        got[1] += x.side <= 0
+        if x.side < 0:
+            if x.token in stack:
+                while stack.pop() != x.token:
+                    pass
+        else:
+            around.setdefault(x.token, stack[-1] if stack else "")
+            if x.side > 0:
+                stack.append(x.token)
+    counts |= {k: v for k, v in sides.items() if v[0] or v[1]}
+    return Page(rest, held, marks, {k: tuple(v) for k, v in counts.items()}, around)
 
 
 def kinds_of(text: str, tokens: frozenset[str] | set[str]) -> set[str]:
     """The kinds of markup a text holds, given its host's template tokens."""
-    rest, kinds = hide(text)
-    if "html" not in kinds and ("<" in rest or "&" in rest):
-        if _COMMENT.search(rest) or any(m[2].lower() in tokens or m[2].lower() in VOID for m in _TAG.finditer(rest)) or any(map(_known_entity, _ENTITY.finditer(rest))):
-            kinds.add("html")
-    if "markdown" not in kinds and _MARKDOWN.search(rest):
-        kinds.add("markdown")
-    if "wiki" not in kinds and ("''" in rest or "[[" in rest or "{{" in rest or "==" in rest) and _WIKI.search(rest):
-        kinds.add("wiki")
-    if ("\\" in rest or "$" in rest) and _LATEX.search(rest):
-        kinds.add("latex")
-    return kinds
+    return {_kind(t) for t, c in lex(text).counts.items() if c[3] and t in tokens}
+
+
+def slots(text: str, tokens: frozenset[str] | set[str]) -> list[tuple[str, str]]:
+    """(before, slot): what lies between the template's tokens of a text, with what is
+    written for the token before it."""
+    page, out, at, put = lex(text), [], 0, ""
+    table = "markdown:table" in page.counts and "markdown:table" in tokens
+    # Block elements that are cut short go too where the page holds HTML for certain.
+    loose = BLOCKS if any(t in tokens and _kind(t) == "html" for t in page.counts) else ()
+    for x in page.marks:
+        if x.start < at or x.token not in tokens and x.token not in loose:
+            continue
+        out.append((put, page.rest[at : x.start]))
+        at, put = x.end, x.put
+    out.append((put, page.rest[at:]))
+    if table:  # bars at the ends of a row
+        out = [(p, re.sub(r"^[ ]{0,3}\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", r"\1", s, flags=re.M)) for p, s in out]
+
+    def shown(m: re.Match) -> str:
+        token, piece = page.held[int(m[2])]
+        kept = _shown(piece) if token in tokens else piece[0]
+        return kept if token == "html:code" else m[1] + kept + m[3]
+
+    return [(p, _HOLE.sub(shown, s)) for p, s in out]
+
+
+def clean(text: str, tokens: frozenset[str] | set[str]) -> str:
+    """The text without markup: headings as ``#`` lines, list items as ``-``
+    lines, code between fences, formulas between dollars, cells between bars."""
+    if not text.strip():
+        return text
+    return re.sub(r"\n{3,}", "\n\n", "".join(p + s for p, s in slots(text, tokens))).strip()
 
 
-# -- pass one: template classes ---------------------------------------------------
+# -- the template -----------------------------------------------------------------
+
+LEXED = "host string, row_id long, page long, token string, opened long, closed long, in_order boolean, whole boolean, around string"
+
+
+def _lexer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for host, row, page, text in zip(batch["host"], batch["row_id"], batch["page"], batch["text"]):
+            found = lex(text)
+            rows += [(host, row, page, t, *found.counts[t], found.around.get(t, "")) for t in found.counts]
+        yield pd.DataFrame(rows, columns=["host", "row_id", "page", "token", "opened", "closed", "in_order", "whole", "around"])
+
+
+def lexed(texts: DataFrame) -> DataFrame:
+    """The tokens of each page, as ``LEXED``; ``texts``: (host, row_id, page, text)."""
+    may = texts.filter(F.col("text").rlike(CANDIDATE))
+    return may.select("host", F.col("row_id").cast("long").alias("row_id"), F.col("page").cast("long").alias("page"), "text").mapInPandas(_lexer, LEXED)
 
 
 def token_vectors(texts: DataFrame) -> DataFrame:
-    """Occurrence vectors of the paired tokens of each host.
+    """Occurrence vectors of the tokens of each host, from (host, page, text)."""
+    return vectors_of(lexed(texts.select("host", F.lit(0).alias("row_id"), "page", "text")))
 
-    ``texts``: (host, page, text).  Gives (host, token, pages, agreeing,
-    open_vector, close_vector); the counts of a text are taken within its row,
-    so that only one small row for each token name leaves the map side.
-    """
-    found = F.regexp_extract_all("text", F.lit(PAIRED), 1)
-    side = lambda t: ~(t.startswith("</") | t.startswith("\\end") | t.isin("]]", "}}", "|}"))
-    name = lambda t: (
-        F.when(t.startswith("<"), F.lower(F.regexp_replace(t, "[</]", "")))
-        .when(t.startswith("\\"), F.regexp_replace(t, r"^\\(begin|end)", "\\\\env"))
-        .when(t.isin("[[", "]]"), "[[ ]]").when(t.isin("{{", "}}"), "{{ }}").otherwise("{| |}")
-    )
-    marks = F.transform(found, lambda t: F.struct(name(t).alias("token"), side(t).alias("opens")))
-    rows = texts.filter(F.col("text").rlike(PAIRED)).select("host", "page", marks.alias("marks"))
-    rows = rows.select("host", "page", "marks", F.explode(F.array_distinct(F.transform("marks", lambda m: m["token"]))).alias("token"))
-    of = lambda opens: F.size(F.filter("marks", lambda m: (m["token"] == F.col("token")) & (m["opens"] == opens)))
-    first = F.element_at(F.filter("marks", lambda m: m["token"] == F.col("token")), 1)["opens"]
-    rows = rows.select("host", "page", "token", of(True).alias("opened"), of(False).alias("closed"), first.alias("in_order"))
+
+def vectors_of(tokens: DataFrame) -> DataFrame:
+    """(host, token, pages, agreeing, open_vector, close_vector, around): ``around`` is
+    the token that most often encloses it, empty for none."""
     vector = lambda c: F.bit_xor(F.when(F.col(c) > 0, F.xxhash64("page", F.col(c))).otherwise(F.lit(0).cast("long")))
     agree = ((F.col("opened") == F.col("closed")) & F.col("in_order")).cast("long")
-    return rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(agree).alias("agreeing"), vector("opened").alias("open_vector"), vector("closed").alias("close_vector"))
+    each = tokens.groupBy("host", "token", "around").agg(F.count(F.lit(1)).alias("pages"), F.sum(agree).alias("agreeing"), vector("opened").alias("open_vector"), vector("closed").alias("close_vector"))
+    most = F.max_by("around", F.struct("pages", "around")).alias("around")
+    return each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("agreeing").alias("agreeing"), F.bit_xor("open_vector").alias("open_vector"), F.bit_xor("close_vector").alias("close_vector"), most)
 
 
 def template(vectors: DataFrame, agree: float = AGREE) -> DataFrame:
-    """Valid tokens with the equivalence class each belongs to.
+    """Valid tokens with the equivalence class each belongs to and the token it lies in.
 
     The class is named by the vector; where an opening and a closing vector
     differ in a few texts the token stands in the class of its opening one.
     """
     valid = (F.col("open_vector") == F.col("close_vector")) | (F.col("agreeing") >= agree * F.col("pages"))
-    return vectors.filter(valid & (F.col("agreeing") > 0)).select("host", "token", "pages", F.col("open_vector").alias("class"))
+    return vectors.filter(valid & (F.col("agreeing") > 0)).select("host", "token", "pages", F.col("open_vector").alias("class"), "around")
 
 
 def template_classes(vectors: DataFrame, agree: float = AGREE) -> DataFrame:
-    """The classes of each host: tokens of one vector, largest support first."""
-    return template(vectors, agree).groupBy("host", "class").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_set("token")).alias("tokens")).drop("class")
+    """(host, pages, tokens, inside): the classes of each host, ``inside`` being the
+    tokens of the class around its outermost one, null where it lies in none."""
+    valid = template(vectors, agree)
+    parent = valid.select("host", F.col("token").alias("around"), F.col("class").alias("of"))
+    placed = valid.join(parent, ["host", "around"], "left")
+    placed = placed.withColumn("inner", F.coalesce(F.col("of") == F.col("class"), F.lit(False)))
+    outer = F.max_by("of", F.struct(~F.col("inner"), F.col("of").isNull(), "pages", "token")).alias("of")
+    classes = placed.groupBy("host", "class").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_set("token")).alias("tokens"), outer)
+    around = classes.select("host", F.col("class").alias("of"), F.col("tokens").alias("inside"))
+    classes = classes.withColumn("of", F.when(F.col("of") != F.col("class"), F.col("of")))
+    return classes.join(around, ["host", "of"], "left").select("host", "pages", "tokens", "inside")
 
 
-def _tokens_by_host(valid: DataFrame) -> dict[str, frozenset[str]]:
-    rows = valid.select("host", "token").limit(MAX_TOKENS + 1).collect()
-    if len(rows) > MAX_TOKENS:
-        raise ValueError("more markup tokens than the driver is meant to hold")
-    out: dict[str, set[str]] = {}
-    for r in rows:
-        out.setdefault(r["host"], set()).add(r["token"])
-    return {k: frozenset(v) for k, v in out.items()}
-
-
-# -- pass two: kinds and slots ----------------------------------------------------
-
-
-def _finder(held):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = held.value
-        for batch in batches:
-            rows = []
-            for host, row, text in zip(batch["host"], batch["row_id"], batch["text"]):
-                rows += [(host, row, k) for k in kinds_of(text, tokens.get(host, frozenset()))]
-            yield pd.DataFrame(rows, columns=["host", "row_id", "markup"])
-
-    return run
+# -- kinds and slots --------------------------------------------------------------
 
 
 def markup_rows(texts: DataFrame, agree: float = AGREE) -> DataFrame:
@@ -195,120 +419,29 @@ def markup_rows(texts: DataFrame, agree: float = AGREE) -> DataFrame:
 
     ``texts``: (host, row_id, block_no, text).
     """
-    spark = texts.sparkSession
-    paged = texts.select("host", F.xxhash64("row_id", "block_no").alias("page"), "text")
-    held = spark.sparkContext.broadcast(_tokens_by_host(template(token_vectors(paged), agree)))
-    may = texts.filter(F.col("text").rlike(CANDIDATE)).select("host", "row_id", "text")
-    return may.mapInPandas(_finder(held), "host string, row_id long, markup string").distinct()
-
+    tokens = cut(lexed(texts.select("host", "row_id", F.xxhash64("row_id", "block_no").alias("page"), "text")))
+    kind = F.when(F.col("token").contains(":"), F.substring_index("token", ":", 1)).otherwise("html")
+    valid = template(vectors_of(tokens), agree).select("host", "token")
+    return tokens.filter("whole").join(valid, ["host", "token"], "left_semi").select("host", "row_id", kind.alias("markup")).distinct()
 
-_FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})([^\n]*)\n?([\s\S]*?)(?:^[ \t]*\1[`~]*[ \t\r]*$|\Z)", re.M)
-_BLOCK_TAGS = re.compile(r"</?(?:p|div|tr|table|ul|ol|section|article|header|footer|blockquote|br|hr)\b[^>]*>", re.I)
-
-
-def _code(body: str) -> str:
-    return "\n```\n" + body.strip("\n") + "\n```\n"
-
-
-def _clean_html(text: str, tokens) -> str:
-    text = _COMMENT.sub("", text)
-    text = re.sub(r"<h([1-6])\b[^>]*>([\s\S]*?)</h\1\s*>", lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", text, flags=re.I)
-    text = re.sub(r"<li\b[^>]*>", "\n- ", text, flags=re.I)
-    text = re.sub(r"</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ", text, flags=re.I)
-    text = _BLOCK_TAGS.sub("\n", text)
-    return _TAG.sub(lambda m: "" if m[2].lower() in tokens or m[2].lower() in VOID else m[0], text)
-
-
-def _clean_wiki(text: str) -> str:
-    text = re.sub(r"^(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text, flags=re.M)
-    text = re.sub(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]", "", text)
-    text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", text)
-    text = re.sub(r"\{\{[A-Za-z#][^{}]*?(?:\|([^{}|=]+))?\}\}", lambda m: m[1] or "", text)
-    return re.sub(r"'''(?=[^\s'])([^\n]*?)'''|(?<!')''(?=[^\s'])([^'\n]*?)''(?!')", lambda m: m[1] or m[2] or "", text)
-
-
-def _clean_latex(text: str) -> str:
-    text = re.sub(r"\\(?:part|chapter|(sub)*section)\*?\{([^{}\n]*)\}", lambda m: "\n# " + m[2] + "\n", text)
-    text = re.sub(r"\\begin\{(equation|align|displaymath|math)\*?\}([\s\S]*?)\\end\{\1\*?\}", lambda m: "\n$$" + m[2].strip() + "$$\n", text)
-    text = re.sub(r"\\\[([\s\S]+?)\\\]", r"$$\1$$", text)
-    text = re.sub(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?", "", text)
-    text = re.sub(r"^[ \t]*\\item\b[ \t]*", "- ", text, flags=re.M)
-    text = re.sub(r"~?\\(?:cite|ref|label)[a-z]*(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
-    parts = re.split(r"(\$\$[\s\S]+?\$\$|(?<![\\$\w])\$[^$\n]+\$)", text)
-    return "".join(p if i % 2 else re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", p) for i, p in enumerate(parts))
-
-
-def _clean_markdown(text: str) -> str:
-    text = re.sub(r"^([^\n]*\S[^\n]*)\n[ ]{0,3}={3,}[ \t]*$", r"# \1", text, flags=re.M)
-    text = re.sub(r"^([^\n]*\S[^\n]*)\n[ ]{0,3}-{3,}[ \t]*$", r"## \1", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*\n?", "", text, flags=re.M)
-    text = re.sub(r"^[ ]{0,3}\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", r"\1", text, flags=re.M)
-    text = re.sub(r"!?\[([^\]\n]+)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", text)
-    text = re.sub(r"^[ ]{0,3}>[ \t]?", "", text, flags=re.M)
-    text = re.sub(r"^([ \t]*)[*+][ \t]+(?=\S)", r"\1- ", text, flags=re.M)
-    for mark in (r"\*\*", "__", "~~", r"\*"):
-        c = mark[-1]
-        text = re.sub(rf"(?<![{c}\w]){mark}(?=[^\s{c}])([^\n]*?)(?<=[^\s{c}]){mark}(?![{c}\w])", r"\1", text)
-    return text
 
-
-def clean(text: str, tokens: frozenset[str] | set[str]) -> str:
-    """The text without markup: headings as ``#`` lines, list items as ``-``
-    lines, code between fences, formulas between dollars, cells between bars."""
-    if not text.strip():
-        return text
-    found, kept = kinds_of(text, tokens), []
-
-    def put(s: str) -> str:
-        kept.append(s)
-        return f"\x1a{len(kept) - 1}\x1a"
-
-    def hidden(m: re.Match) -> str:
-        if m["fence"] is not None:
-            f = _FENCE.match(m[0])
-            return put(_code(f[3] if f else m[0]))
-        if m["pre"] is not None:
-            body = html.unescape(re.sub(r"<[^<>]*>", "", m[0]))
-            return put(_code(body) if m["tag"].lower() == "pre" else body if m["tag"].lower() == "code" else "")
-        if m["table"] is not None:
-            rows = re.split(r"^\|-[^\n]*$", re.sub(r"^\{\|[^\n]*\n?|^\|\}", "", m[0], flags=re.M), flags=re.M)
-            cells = [re.sub(r"\s*\n[!|]\s*|\s*(?:!!|\|\|)\s*", " | ", r.strip().lstrip("!|").strip()) for r in rows if r.strip()]
-            return put("\n" + "\n".join(cells) + "\n")
-        return put(m[0].strip("`"))
-
-    text = _HIDDEN.sub(hidden, text.replace("\x1a", ""))
-    if "html" in found:
-        text = _clean_html(text, tokens)
-    if "wiki" in found:
-        text = _clean_wiki(text)
-    if "latex" in found:
-        text = _clean_latex(text)
-    if "markdown" in found:
-        text = _clean_markdown(text)
-    if "html" in found:
-        text = html.unescape(text)
-    text = re.sub(r"\x1a(\d+)\x1a", lambda m: kept[int(m[1])], text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
-
-
-def _cleaner(held):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = held.value
-        for batch in batches:
-            yield batch.assign(text=[clean(t, tokens.get(h, frozenset())) for h, t in zip(batch["host"], batch["text"])])
-
-    return run
+def _cleaner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[["host", "row_id", "block_no"]].assign(text=[clean(t, frozenset(v)) for t, v in zip(batch["text"], batch["tokens"])])
 
 
 def clean_texts(texts: DataFrame, agree: float = AGREE) -> DataFrame:
     """(host, row_id, block_no, text) with clean texts; texts that can hold no
     markup pass by within the JVM."""
-    spark = texts.sparkSession
     texts = texts.select("host", "row_id", F.col("block_no").cast("int").alias("block_no"), "text")
-    paged = texts.select("host", F.xxhash64("row_id", "block_no").alias("page"), "text")
-    held = spark.sparkContext.broadcast(_tokens_by_host(template(token_vectors(paged), agree)))
     may: Column = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    done = texts.filter(may).mapInPandas(_cleaner(held), "host string, row_id long, block_no int, text string")
+    paged = texts.select("host", F.lit(0).alias("row_id"), F.xxhash64("row_id", "block_no").alias("page"), "text")
+    valid = cut(template(vectors_of(lexed(paged)), agree).select("host", "token"))
+    by_host = valid.groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    if valid.count() <= BROADCAST_TOKENS:
+        by_host = F.broadcast(by_host)
+    done = texts.filter(may).join(by_host, "host", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    done = done.mapInPandas(_cleaner, "host string, row_id long, block_no int, text string")
     return done.unionByName(texts.filter(~may))
 
 

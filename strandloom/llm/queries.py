@@ -244,7 +244,7 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equivalence classes of markup tokens of each table."""
     texts = _texts(spark, sf_dir).selectExpr("host", "xxhash64(row_id, block_no) AS page", "text")
-    return markup.template_classes(markup.token_vectors(texts)).selectExpr("host", "pages", "array_join(tokens, ' ') AS tokens")
+    return markup.template_classes(markup.token_vectors(texts)).selectExpr("host", "pages", "array_join(tokens, ' ') AS tokens", "array_join(inside, ' ') AS inside")
 
 
 # -- 4: most similar vectors -----------------------------------------------------

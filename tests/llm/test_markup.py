@@ -1,8 +1,8 @@
 import pytest
 
-from strandloom.llm.markup import clean, clean_texts, kinds_of, markup_rows, template_classes, token_vectors
+from strandloom.llm.markup import GRAMMAR, clean, clean_texts, kinds_of, markup_rows, slots, template_classes, token_vectors
 
-TOKENS = {"p", "b", "table", "tr", "td", "th", "li", "ul", "a", "i", "div"}
+TOKENS = {"p", "b", "table", "tr", "td", "th", "li", "ul", "a", "i", "div", "br", *GRAMMAR}
 REAL = {
     "<p>one</p>": {"html"}, "a<br/>b": {"html"}, "R&amp;D": {"html"}, "x <!-- note --> y": {"html"}, "<pre><code>if a &lt; b\n**x**</code></pre>": {"html"},
     "# Head": {"markdown"}, "a\n- one\n- two": {"markdown"}, "1. one": {"markdown"}, "> said": {"markdown"}, "**b** it": {"markdown"}, "say __b__": {"markdown"}, "Head\n=====": {"markdown"},
@@ -54,3 +54,31 @@ def test_templates_decide_what_is_a_tag(spark):
     kept = {r.row_id: r.text for r in clean_texts(df).collect()}
     assert kept[0] == "a <z>" and kept[4] == "x" and kept[2] == "mail <ops at desk 1>" and kept[6] is None
     assert markup_rows(df.limit(0)).count() == 0
+
+
+def test_the_template_decides_every_kind(spark, monkeypatch):
+    texts = [("h", i, 0, t) for i, t in enumerate(REAL)]
+    df = spark.createDataFrame(texts, "host string, row_id long, block_no int, text string")
+    found = {}
+    for r in markup_rows(df).collect():
+        found.setdefault(r.row_id, set()).add(r.markup)
+    assert found == {i: k for i, k in enumerate(REAL.values())}
+    assert all(kinds_of(t, set()) == set() and clean(t, set()) == t.strip() for t in REAL)
+    # A mark that is mostly not closed on its host is no markup there.
+    loose = spark.createDataFrame([("h", i, 0, "**a and b") for i in range(9)] + [("h", 9, 0, "**a** and b")], df.schema)
+    assert markup_rows(loose).count() == 0
+    monkeypatch.setattr("strandloom.llm.markup.template", lambda vectors, agree: vectors.limit(0))
+    assert markup_rows(df).count() == 0
+
+
+def test_classes_nest_and_slots(spark):
+    df = spark.createDataFrame([("h", i, f"<note>a <box><row><cell>{i}</cell></row></box></note> <x>") for i in range(4)] + [("h", 9, "<note>**b**</note>")], "host string, page long, text string")
+    got = {tuple(r.tokens): r.inside for r in template_classes(token_vectors(df)).collect()}
+    assert got == {("box", "cell", "row"): ["note"], ("markdown:strong",): ["note"], ("note",): None}
+    assert slots("<p>a <b>c</b></p>d", TOKENS) == [("", ""), ("\n", "a "), ("", "c"), ("", ""), ("\n", "d")]
+
+
+def test_odd_texts():
+    for text in ("", " ", "\x1a0\x1a", "<" * 3000, "{{" * 2000, "\\begin{a" * 900, "`" * 4001, "[" * 2000 + "](x)" * 2000, "**a" * 3000, "\n> " * 2000):
+        kinds_of(text, TOKENS)
+        clean(text, TOKENS)
