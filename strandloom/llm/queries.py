@@ -144,7 +144,46 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 8: evaluation texts in training text ----------------------------------------
 
 
-@query()
+def _form_sql(text: str) -> str:
+    """SQL of the one form of a text: what vanishes, then what one character stands
+    for, then ligatures, then composed letters."""
+    table = lookalikes.transducer()[1]
+    quoted = lambda s: s.replace("'", "''")
+    gone = "".join(f"\\x{{{ord(c):X}}}" for c, to in table.items() if to == "" and ord(c) > 127)
+    single = [(c, to) for c, to in table.items() if len(to) == 1 and c != "\r"]
+    out = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    out = f"regexp_replace({out}, '[\\x00-\\x08\\x0E-\\x1F\\x7F{gone}]', '', 'g')"
+    out = f"translate({out}, '{quoted(''.join(c for c, _ in single))}', '{quoted(''.join(to for _, to in single))}')"
+    for c, to in table.items():
+        if len(to) > 1 and c < "\u0590" or "\ufb00" <= c <= "\ufb06":
+            out = f"replace({out}, '{quoted(c)}', '{quoted(to)}')"
+    return f"nfc_normalize({out})"
+
+
+def _words_sql(text: str) -> str:
+    folded = f"replace(replace(replace(lower({_form_sql(text)}), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's')"
+    return f"list_filter(regexp_split_to_array({folded}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+P8_SQL = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, {_words_sql("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM d)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM e))
+"""
+
+
+@query(P8_SQL + """
+, c AS (SELECT DISTINCT item_id, doc_id, k + n AS word FROM (SELECT item_id, doc_id, k, unnest(range(0, 13)) AS n FROM eg JOIN dg USING (gram)))
+SELECT item_id, doc_id, count(*) AS covered, any_value(len(w))::INT AS n_words FROM c JOIN d USING (doc_id) GROUP BY ALL
+""")
+def p8_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of a document an item covers in runs of 13 or more."""
+    spans = leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(spans).selectExpr("item AS item_id", "doc AS doc_id", "covered", "n_words")
+
+
+@query(P8_SQL + "SELECT DISTINCT item_id, doc_id FROM eg JOIN dg USING (gram)")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 13 consecutive words or more of an item."""
     spans = leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -215,7 +254,11 @@ def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 10: visually identical text -------------------------------------------------
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT doc_id, text, {_form_sql("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b
+FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text WHERE regexp_matches(a.form, '[^\\s\\p{{Z}}\\p{{C}}]')
+""")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     return lookalikes.same_look_pairs(table(spark, sf_dir, "documents"))

@@ -78,6 +78,27 @@ def test_leaks_and_removal(spark):
     assert words("L’état_2—Ｘ") == ["l", "état", "2", "x"]
 
 
+def test_spans_of_an_item_do_not_overlap(spark):
+    item = " ".join(WORDS[:14]) + " q " + " ".join(WORDS[4:18])
+    assert Automaton([(1, item)]).matches(WORDS[:18]) == [(1, 0, 18)]
+    d = spark.createDataFrame([(1, " ".join(WORDS[:18])), (2, " ".join(WORDS[:15]) + " z" * 60)], "doc_id long, text string")
+    spans = leak_spans(d, spark.createDataFrame([(1, item), (2, " ".join(WORDS[:16]))], "item_id long, passage string"))
+    assert {(r.doc, r.item): (r.longest, r.covered) for r in leaks(spans).collect()} == {(1, 1): (18, 18), (1, 2): (16, 16), (2, 1): (14, 14), (2, 2): (15, 15)}
+    # By length 15 only the 18 and 16 words go; by share also what covers most of a document.
+    kept = {r.doc: r.removed_words for r in without_leaks(d, spans, max_words=15, max_share=1.0).collect()}
+    assert kept == {1: 18, 2: 0}
+    assert {r.doc: r.removed_words for r in without_leaks(d, spans, max_words=99, max_share=0.5).collect()} == {1: 18, 2: 0}
+    assert {r.doc: r.removed_words for r in without_leaks(d, spans, max_words=99, max_share=0.19).collect()} == {1: 18, 2: 15}
+
+
+def test_several_automata(spark, monkeypatch):
+    d = spark.createDataFrame([(i, " ".join(WORDS[i : i + 16])) for i in range(12)], "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(WORDS[i : i + 20])) for i in range(0, 20, 3)], "item_id long, passage string")
+    whole = sorted(leak_spans(d, e).collect())
+    monkeypatch.setattr("strandloom.llm.leaks.ITEM_BYTES", 150)
+    assert whole and sorted(leak_spans(d, e).collect()) == whole
+
+
 def test_quoting_any_part_of_a_passage(spark):
     passage = " ".join(WORDS[:40])
     docs = [(1, passage[:60] + " " + " ".join(WORDS[10:14])), (2, "x " + " ".join(WORDS[20:36]) + " y"), (3, " ".join(WORDS[20:30])), (4, "a Short one b"), (5, None)]
