@@ -54,6 +54,41 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_files(log)
 
 
+@query("""
+WITH good AS (SELECT run_id, started_at FROM ingest_runs WHERE status = 'ok' AND finished_at IS NOT NULL),
+stamp AS (
+  SELECT source, source_id, source_config_id, mtime_micros, size_bytes, cfg_overlay_hash,
+         row_number() OVER (PARTITION BY source, source_id, source_config_id ORDER BY started_at DESC, mtime_micros DESC, size_bytes DESC) AS rn
+  FROM ingest_sources JOIN good ON last_run_id = run_id),
+look AS (
+  SELECT *, row_number() OVER (PARTITION BY source, source_id, source_config_id ORDER BY observed_at DESC, mtime_micros DESC, size_bytes DESC) AS rn
+  FROM source_listing),
+cut AS (SELECT (min(epoch_us(observed_at)) + max(epoch_us(observed_at))) // 2 AS middle FROM source_listing)
+SELECT l.source, l.source_id, l.source_config_id, (epoch_us(l.observed_at) >= middle)::INT AS listing,
+  l.present AND (s.rn IS NULL OR l.mtime_micros IS DISTINCT FROM s.mtime_micros OR l.size_bytes IS DISTINCT FROM s.size_bytes OR l.cfg_overlay_hash IS DISTINCT FROM s.cfg_overlay_hash) AS changed
+FROM cut, look l LEFT JOIN stamp s ON s.rn = 1 AND l.source IS NOT DISTINCT FROM s.source
+  AND l.source_id IS NOT DISTINCT FROM s.source_id AND l.source_config_id IS NOT DISTINCT FROM s.source_config_id
+WHERE l.rn = 1
+""")
+def p7_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's judgement after two listings and a run that failed between them."""
+    log = ChangeLog(spark, fresh_dir(spark, "changes"))
+    looks, stamps, runs = (table(spark, sf_dir, n) for n in ("source_listing", "ingest_sources", "ingest_runs"))
+    middle = looks.agg(F.expr("(min(unix_micros(observed_at)) + max(unix_micros(observed_at))) div 2")).first()[0] or 0
+    second = F.unix_micros("observed_at") >= middle
+
+    def dies(batch: DataFrame) -> DataFrame:
+        raise ConnectionError("lost between plan and commit")
+
+    log.append(changes.looks_of(looks.filter(~second)), 0)
+    try:
+        log.run(dies)
+    except ConnectionError:
+        changes.judge_next(log, stamps, runs)  # replays the plan
+    capture_changes(log, looks.filter(second), stamps, runs, 1)
+    return log.state().select(*changes.KEY, second.cast("int").alias("listing"), "changed")
+
+
 # ================================================================ text and ids ==
 
 

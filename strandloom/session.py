@@ -30,14 +30,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests, local mode) one temporary folder per
-    application is made and set as the checkpoint folder.
+    Where the setting is absent in local mode (tests) one temporary folder per
+    application is made and set as the checkpoint folder; anywhere else that is
+    refused, as a machine's own folder is lost with it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="strandloom-")

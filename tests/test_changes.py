@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+
+import strandloom.operators.changes as changes_module
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files, judge_looks
 from strandloom.session import fresh_dir
 
@@ -69,6 +72,58 @@ def test_failed_run_replays_its_plan(spark):
     assert log.run(work) is None
 
 
+def test_work_follows_the_change(spark):
+    log = ChangeLog(spark, fresh_dir(spark, "t"), buckets=64)
+    _, stamps, runs = tables(spark, [])
+    many = spark.range(3000).selectExpr("'s' source", "concat('f', id) source_id", "'c' source_config_id", "timestamp'2026-01-06' observed_at", "1L mtime_micros", "1L size_bytes", "'' cfg_overlay_hash", "true present")
+    assert capture_changes(log, many, stamps, runs, 0) == 0
+    news = tables(spark, [look("f5", 8, mtime=2), look("new", 8)])[0]
+    log.append(changes_module.looks_of(news), 1)
+    batch = log.batch(log.plan())
+    assert batch.count() == 2 and all("/log/1/" in f for f in batch.inputFiles() if "/log/" in f)
+    assert log.state(batch).count() < 300  # two buckets of 64
+    assert changes_module.judge_next(log, stamps, runs) == 1
+    assert log.state().count() == 3001 and log.state().filter("mtime_micros = 2").count() == 1
+    assert len(log._places()) == 64 and sorted(set(log._places().values())) == [0, 1]
+    assert sum(n == 1 for n in log._places().values()) <= 2
+    # A listing that is repeated later in the same words judges nothing anew.
+    log.append(changes_module.looks_of(news), 2)
+    assert changes_module.judge_next(log, stamps, runs) == 2 and log.sink(log.key).count() == 3002
+
+
+def test_death_at_every_step(spark, monkeypatch):
+    _, stamps, runs = tables(spark, [])
+    listings = [tables(spark, [look("a"), look("b")])[0], tables(spark, [look("a", 7, mtime=9), look("c", 7)])[0]]
+    for step in ("batch", "_fold", "_places"):
+        log = ChangeLog(spark, fresh_dir(spark, "t"))
+        capture_changes(log, listings[0], stamps, runs, 0)
+
+        def dies(*_):
+            raise ConnectionError
+
+        with monkeypatch.context() as m:
+            m.setattr(log, step, dies)
+            with pytest.raises(ConnectionError):
+                capture_changes(log, listings[1], stamps, runs, 1)
+        assert changes_module.judge_next(log, stamps, runs) == 1 and changes_module.judge_next(log, stamps, runs) is None
+        assert sorted((r.source_id, r.mtime_micros) for r in log.state().collect()) == [("a", 9), ("b", 1), ("c", 1)]
+
+
+def test_no_machine_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        fresh_dir(Session(), "t")
+
+
 def test_empty_tables(spark):
     log = ChangeLog(spark, fresh_dir(spark, "t"))
     capture_changes(log, *tables(spark, []), segment=0)
