@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.llm.blocks import BLOCK_ROWS, block_offsets, with_blocks
+from strandloom.llm.blocks import BLOCK_ROWS, block_offsets, hot_groups, with_blocks
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,10 @@ class Score:
 LOWEST = float("-inf")
 
 
-def _percentiles(classes: DataFrame, block_rows: int) -> DataFrame:
+def _percentiles(classes: DataFrame, block_rows: int, hot: DataFrame | None) -> DataFrame:
     """Add ``p`` (mid-rank percentile) and ``n`` to classes (query, score, v, c)."""
     group = ["query", "score"]
-    rows = with_blocks(classes, group, "v", block_rows)  # a class is one value: ties are one row
+    rows = with_blocks(classes, group, "v", block_rows, hot=hot)  # a class is one value: ties are one row
     inside = Window.partitionBy(*group, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("less", F.coalesce(F.sum("c").over(inside), F.lit(0)))
     sizes = rows.groupBy(*group, "block").agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
@@ -57,16 +57,15 @@ def _percentiles(classes: DataFrame, block_rows: int) -> DataFrame:
     return rows.select(*group, "v", "c", "n", "kinds", ((F.col("before") + F.col("less") + F.col("c") / 2) / F.col("n")).alias("p"))
 
 
-def _flows(ranked: DataFrame, q: float, s: float, block_rows: int) -> DataFrame:
+def _flows(ranked: DataFrame, q: float, s: float, block_rows: int, hot: DataFrame | None) -> DataFrame:
     """The net flow of each class (query, score, v) from prefix sums over ``p``."""
     group = ["query", "score"]
     probe = lambda at, x: F.struct(F.lit(at).alias("at"), x.alias("x"), F.lit(0).cast("long").alias("w"))
     p = F.col("p")
     points = F.array(F.struct(F.lit(0).alias("at"), p.alias("x"), F.col("c").alias("w")), probe(1, p - s), probe(2, p - q), probe(3, p + q), probe(4, p + s))
     rows = ranked.select(*group, "v", "c", "n", "kinds", "p", F.explode(points).alias("t")).select("*", "t.*").drop("t")
-    # Percentiles are even by nature: equal slices of [0, 1] hold about equal numbers of classes.
-    slices = F.greatest(F.lit(1), F.ceil(F.col("kinds") / block_rows))
-    rows = rows.withColumn("block", F.least(slices - 1, F.greatest(F.lit(0), F.floor(F.col("x") * slices))).cast("int"))
+    # Cut at quantiles of the points, as ties can crowd them at one end of [0, 1].
+    rows = with_blocks(rows, group, "x", block_rows, hot=hot)
     upto = Window.partitionBy(*group, "block").orderBy("x", F.when(F.col("at") == 0, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("w_in", F.sum("w").over(upto)).withColumn("s_in", F.sum(F.col("w") * F.col("x")).over(upto))
     sizes = rows.groupBy(*group, "block").agg(F.sum("w").alias("w_all"), F.sum(F.col("w") * F.col("x")).alias("s_all"))
@@ -102,7 +101,8 @@ def outranking(df: DataFrame, query: str, item: str, scores: Sequence[Score], q:
     each = F.array(*[F.struct(F.lit(i).alias("score"), F.coalesce(F.col(f"v{i}"), F.lit(LOWEST)).alias("v"), F.col(f"v{i}").isNull().cast("int").alias("gone")) for i in range(len(scores))])
     long = rows.select("query", "item", F.explode(each).alias("t")).select("query", "item", "t.*")
     classes = long.groupBy("query", "score", "v").agg(F.count(F.lit(1)).alias("c"))
-    flows = _flows(_percentiles(classes, block_rows), q, s, block_rows)
+    hot = hot_groups(classes, ["query", "score"], block_rows)
+    flows = _flows(_percentiles(classes, block_rows, hot), q, s, block_rows, hot)
     weight = F.create_map(*[F.lit(y) for i, x in enumerate(scores) for y in (i, float(x.weight))])
     total = sum(x.weight for x in scores)
     out = long.join(flows, ["query", "score", "v"]).groupBy("query", "item").agg((F.sum(weight[F.col("score")] * F.col("flow")) / total).alias("net_flow"), F.sum("gone").alias("missing"))

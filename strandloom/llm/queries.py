@@ -137,8 +137,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every oversized item with its text, overlap included."""
-    items = _items(spark, sf_dir)
-    return splitting.with_text(splitting.split_items(items, oversized_only=True), items)
+    return splitting.split_items(_items(spark, sf_dir), oversized_only=True, with_text=True)
 
 
 # -- 8: evaluation texts in training text ----------------------------------------
@@ -264,6 +263,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_look_pairs(table(spark, sf_dir, "documents"))
 
 
+@query(f"""
+WITH f AS (SELECT doc_id, text, {_form_sql("text")} AS form FROM documents WHERE text IS NOT NULL),
+k AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS writings FROM f WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]') GROUP BY 1)
+SELECT doc_id, class_id, writings FROM f JOIN k USING (form) WHERE writings > 1
+""")
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose form is written in several ways, with their class."""
+    return lookalikes.same_look_classes(table(spark, sf_dir, "documents"))
+
+
 # -- 5: markup residue -----------------------------------------------------------
 
 

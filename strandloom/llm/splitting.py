@@ -18,7 +18,9 @@ Defined results for odd input:
 * items up to the limit are one piece and never leave the JVM;
 * a text without any boundary is cut at character starts, never inside one;
 * a limit below 4 bytes is refused, as a character may take 4;
-* repeated rows give repeated pieces; extra columns are ignored.
+* repeated rows give repeated pieces; extra columns are ignored;
+* an item is cut by one task, which takes about 20 bytes of memory for each of its
+  bytes.
 """
 
 from __future__ import annotations
@@ -38,25 +40,28 @@ def _last_at(marks: np.ndarray, size: int) -> np.ndarray:
     """For each position 0..size the last mark at or before it, 0 if none."""
     at = np.zeros(size + 1, dtype=np.int32)
     at[marks] = marks
-    return np.maximum.accumulate(at)
+    return np.maximum.accumulate(at, out=at)
 
 
-def boundaries(raw: np.ndarray) -> list[np.ndarray]:
-    """Positions above 0 that may open a piece, a list of four ranks, best first."""
+def boundaries(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions above 0 that may open a piece, in four ranks, best first."""
     size = raw.size
     starts = np.concatenate(([0], np.flatnonzero(raw == 10) + 1))
     starts = starts[starts < size]
-    seen = np.flatnonzero((raw != 32) & (raw != 9) & (raw != 13) & (raw != 10))
+    seen = np.flatnonzero((raw != 32) & (raw != 9) & (raw != 13) & (raw != 10)).astype(np.int32)
     nth = np.searchsorted(seen, starts)
     first = np.append(seen, size)[nth]
+    del seen
     blank = first >= np.append(starts[1:], size)
-    tick = np.append(raw, [0, 0, 0]) == 96
-    fence = ~blank & tick[first] & tick[np.minimum(first + 1, size)] & tick[np.minimum(first + 2, size)]
+    tick = lambda at: np.append(raw, np.uint8(0))[np.minimum(at, size)] == 96
+    fence = ~blank & tick(first) & tick(first + 1) & tick(first + 2)
     outside = (np.cumsum(fence) - fence) % 2 == 0
     opens = np.flatnonzero(~blank[1:] & blank[:-1] & outside[1:]) + 1
+    yield starts[opens]
+    yield starts[1:]
     spaces = np.flatnonzero(raw == 32) + 1
-    chars = np.flatnonzero((raw & 0xC0) != 0x80)
-    return [starts[opens], starts[1:], spaces[spaces < size], chars[chars > 0]]
+    yield spaces[spaces < size]
+    yield np.flatnonzero((raw[1:] & 0xC0) != 0x80).astype(np.int32) + 1
 
 
 def cuts(text: bytes, limit: int = LIMIT) -> np.ndarray:
@@ -69,9 +74,9 @@ def cuts(text: bytes, limit: int = LIMIT) -> np.ndarray:
     jump = np.full(size + 1, size, dtype=np.int32)
     best = np.zeros(here.size, dtype=np.int32)
     for marks in boundaries(raw):
-        last = _last_at(marks, size)[limit:size]
-        best = np.where(best > here, best, last)
+        np.copyto(best, _last_at(marks, size)[limit:size], where=best <= here)
     jump[: here.size] = best
+    del here, best
     reached = np.zeros(1, dtype=np.int32)
     while True:
         ahead = jump[reached]
@@ -81,7 +86,9 @@ def cuts(text: bytes, limit: int = LIMIT) -> np.ndarray:
         jump = jump[jump]
 
 
-def _pieces(limit: int, overlap: int):
+def _pieces(limit: int, overlap: int, with_text: bool):
+    names = ["item_table", "item_id", "block_no", "piece_no", "cut_byte", "end_byte", "from_byte"] + ["text"] * with_text
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -93,37 +100,35 @@ def _pieces(limit: int, overlap: int):
                     back = max(0, int(a) - overlap) if i else int(a)
                     while i and back < a and data[back] & 0xC0 == 0x80:
                         back += 1
-                    rows.append((table, item, block, i, int(a), int(b), back))
-            yield pd.DataFrame(rows, columns=["item_table", "item_id", "block_no", "piece_no", "cut_byte", "end_byte", "from_byte"])
+                    own = (data[back:b].decode("utf-8", "surrogatepass"),) if with_text else ()
+                    rows.append((table, item, block, i, int(a), int(b), back, *own))
+                if len(rows) > 4_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = False) -> DataFrame:
+def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, oversized_only: bool = False, with_text: bool = False) -> DataFrame:
     """Pieces of items (item_table, item_id, block_no, text).
 
     A piece spans bytes ``cut_byte`` to ``end_byte`` of its own and begins to
-    repeat at ``from_byte``.
+    repeat at ``from_byte``.  ``with_text``: each piece's text, overlap included,
+    is cut where the item is, so that no text is shuffled.
     """
     if limit < 4:
         raise ValueError("limit must be at least 4 bytes")
     items = items.select("item_table", F.col("item_id").cast("long").alias("item_id"), F.col("block_no").cast("int").alias("block_no"), "text").filter(F.col("text").isNotNull())
     size = F.octet_length("text")
-    large = items.filter(size > limit).mapInPandas(_pieces(limit, overlap), PIECES)
+    large = items.filter(size > limit).mapInPandas(_pieces(limit, overlap, with_text), PIECES + ", text string" * with_text)
     if oversized_only:
         return large
     zero = F.lit(0).cast("long")
-    small = items.filter(size <= limit).select("item_table", "item_id", "block_no", F.lit(0).alias("piece_no"), zero.alias("cut_byte"), size.cast("long").alias("end_byte"), zero.alias("from_byte"))
+    small = items.filter(size <= limit).select("item_table", "item_id", "block_no", F.lit(0).alias("piece_no"), zero.alias("cut_byte"), size.cast("long").alias("end_byte"), zero.alias("from_byte"), *["text"] * with_text)
     return large.unionByName(small)
 
 
-def with_text(pieces: DataFrame, items: DataFrame) -> DataFrame:
-    """Add each piece's text, overlap included, cut from the item's bytes."""
-    data = F.encode("text", "UTF-8")
-    part = F.substring(data, F.col("from_byte") + 1, F.col("end_byte") - F.col("from_byte"))
-    return pieces.join(items, ["item_table", "item_id", "block_no"]).withColumn("text", F.decode(part, "UTF-8"))
-
-
 def session_blocks(sessions: DataFrame) -> DataFrame:
     """Text blocks of user and assistant lines."""
     rows = sessions.filter(F.col("line_type").isin("user", "assistant")).select("row_id", F.posexplode("message.content").alias("block_no", "b"))

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandloom.llm.splitting import cuts, session_blocks, split_items, symbol_bodies, with_text
+from strandloom.llm.splitting import cuts, session_blocks, split_items, symbol_bodies
 
 
 def greedy(text: str, limit: int) -> list[int]:
@@ -42,8 +42,8 @@ def test_cuts_match_the_rule(parts, limit):
 def test_pieces_overlap_and_come_back_together(spark):
     texts = ["", " ", "x" * 30, "wörd " * 40, None, "a\n\nb\n\n" * 20, "漢" * 50]
     items = spark.createDataFrame([("t", i, 0, x, "clash") for i, x in enumerate(texts)], "item_table string, item_id long, block_no int, text string, piece_no string")
-    pieces = split_items(items, limit=20, overlap=5)
-    rows = with_text(pieces, items.drop("piece_no").withColumnRenamed("text", "text")).collect()
+    rows = split_items(items, limit=20, overlap=5, with_text=True).collect()
+    assert split_items(items.union(items), limit=20, overlap=5, with_text=True).count() == 2 * len(rows)
     by = {}
     for r in rows:
         by.setdefault(r.item_id, []).append(r)

@@ -1,10 +1,11 @@
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm.leaks import Automaton, leak_spans, leaks, quoting, without_leaks, words
-from strandloom.llm.lookalikes import canonical, same_look_pairs, transducer
+from strandloom.llm.lookalikes import Transducer, canonical, confusables, kept, same_look_classes, same_look_pairs, transducer
 from strandloom.llm.mixing import entropy, exponent_for_entropy, mix_plan, mix_report, realise, temperature, token_sizes
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -33,6 +34,34 @@ def test_one_pass_is_enough():
     assert all(unicodedata.normalize("NFC", t) == t for t in table.values())
 
 
+def test_tables_compose_as_unicode_does_and_conflicts_are_told(tmp_path):
+    built = Transducer({})
+    rng = random.Random(9)
+    marks = ["\u0301", "\u0308", "\u0323", "\u0345", "\u0300", "\u0327", "\u031b", "\u0302"]
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "e", "o", "ω", "и", "é", "ё", "ǟ", "ậ", *marks, *marks]) for _ in range(rng.randrange(1, 7)))
+        if text[0] not in marks:
+            assert built.run(text) == unicodedata.normalize("NFC", text), ascii(text)
+    for letters in ({"é": "e"}, {"\u00a0": "x"}, {"а": "ｂ", "ｂ": "а"}):
+        with pytest.raises(ValueError):
+            Transducer(letters)
+    file = tmp_path / "confusables.txt"
+    file.write_text("# head\n0501 ;\t0064 ;\tMA\t# d\n0430 ; 0061 ; MA\n006D ; 0072 006E ; MA\n13A0 ; 0044 ; MA\n")
+    found = confusables(str(file))
+    assert found["Ꭰ"] == "D" and "m" not in found and canonical("Ꭰay", found) == "Day" and canonical("Ꭰay") == "Ꭰay"
+
+
+def test_words_of_another_script_are_kept_for_reading():
+    assert kept("привет сАРЕ Ｗorld ρόδο") == "привет cAPE World ρόδο" and canonical("привет") != "привет"
+    assert kept(None) is None and kept("a\u00a0b") == "a b" and kept("сора") == "copa"
+
+
+def test_classes(spark):
+    texts = ["same", "same", "ѕame", "sаme", "other", "other", None, "\u200b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.writings) for r in same_look_classes(df).collect()} == {(i, 0, 3) for i in range(4)}
+
+
 def test_pairs(spark):
     texts = ["same", "same", "ѕame", "sаme", "other", None, "\u200b ", " ", "Same", "same "]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, form string")
