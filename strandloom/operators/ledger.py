@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom import schema as S
+from strandloom.operators.products import products
 
 
 def _ramp(familiarity: Column) -> Column:
@@ -77,15 +78,11 @@ def latest_rows(events: DataFrame, key: list[str], order: list[str]) -> DataFram
     return events.withColumn("_n", last).filter("_n = 1").drop("_n")
 
 
-def anchor_matches(chunks: DataFrame, anchors: DataFrame, threshold: Column, cosine: Column, most: int = 100_000) -> DataFrame:
-    """Chunks joined to the anchors they are close to.
-
-    ``anchors`` are the ledger's threads: their number is checked and they are
-    broadcast; more than ``most`` are refused.
-    """
-    if anchors.limit(most + 1).count() > most:
-        raise ValueError("more anchors than may be broadcast")
-    return chunks.join(F.broadcast(anchors), cosine >= threshold)
+def anchor_matches(chunks: DataFrame, anchors: DataFrame, least: float) -> DataFrame:
+    """(anchor, id, cosine): chunks (id, v) at cosine ``least`` or more to an anchor
+    (anchor, v), compared in blocks."""
+    asked = anchors.select(F.col("anchor").alias("query_id"), "v")
+    return products(chunks, asked, "similarity", least=least).select(F.col("query_id").alias("anchor"), "id", F.col("score").alias("cosine"))
 
 
 def portfolio(hits: DataFrame, budget: int = S.LENS_BUDGET, least: int = S.LENS_MIN, seats: int = S.LENS_K) -> DataFrame:

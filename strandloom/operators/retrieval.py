@@ -7,19 +7,17 @@ that results do not depend on the order of partial sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom import schema as S
 from strandloom.functions.text import tokens
+from strandloom.operators.products import products
+from strandloom.session import cut
 
-#: Query vectors that one block of the dense lane holds on each executor.
-QUERY_BLOCK = 20_000
 #: Most (query, term) rows that are broadcast.
 QUERY_TERMS = 500_000
 
@@ -66,53 +64,12 @@ def dense_lane(chunks: DataFrame, chunk_id: str, vector: str, queries: DataFrame
     """(query_id, id, score, lane_rank): exhaustive nearest chunks by squared
     distance (``l2``) or 1 - cosine (``cosine``), smallest first.
 
-    A stated query set against all rows: query vectors are held in blocks of a
-    bounded size, each row batch is one matrix product, and only the best of
-    each batch go on.
+    A stated query set against all rows, in blocks (``products``); only the best
+    of each batch of rows go on.
     """
-    spark = chunks.sparkSession
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).filter("q is not null and v is not null")
-    blocks, names, rows = [], [], []
-    for r in asked.toLocalIterator():
-        names.append(r["q"])
-        rows.append(np.asarray(r["v"], dtype=np.float64))
-        if len(names) == QUERY_BLOCK:
-            blocks.append((names, np.stack(rows)))
-            names, rows = [], []
-    if names:
-        blocks.append((names, np.stack(rows)))
-    base = chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    q_type, id_type = dict(asked.dtypes)["q"], dict(base.dtypes)["id"]
-    schema = f"query_id {q_type}, id {id_type}, score double"
-    out = spark.createDataFrame([], schema)
-    for names, matrix in blocks:
-        held = spark.sparkContext.broadcast((names, matrix))
-        out = out.unionByName(base.filter(F.size("v") == matrix.shape[1]).mapInArrow(_search(held, limit, metric), schema))
-    return ranked(out, "score", limit, ascending=True)
-
-
-def _search(held, limit: int, metric: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = held.value
-        if metric == "cosine":
-            asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-        name = pa.array(names)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            if metric == "cosine":
-                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            for s in range(0, len(asked), 256):
-                q = asked[s : s + 256]
-                away = 1 - q @ rows.T if metric == "cosine" else ((q[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2) if len(rows) * len(q) < 40_000 else (q * q).sum(1)[:, None] + (rows * rows).sum(1)[None] - 2 * q @ rows.T
-                away = np.round(away, 6) + 0.0
-                k = min(limit, away.shape[1])
-                last = np.partition(away, k - 1, axis=1)[:, k - 1]
-                i, j = np.nonzero(away <= last[:, None])  # ties at the edge go on
-                yield pa.RecordBatch.from_arrays([name.take(pa.array(i + s)), batch["id"].take(pa.array(j)), pa.array(away[i, j])], ["query_id", "id", "score"])
-
-    return run
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"))
+    base = chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("v"))
+    return ranked(products(base, asked, metric, limit=limit), "score", limit, ascending=True)
 
 
 def fuse(lanes: Mapping[str, DataFrame]) -> DataFrame:

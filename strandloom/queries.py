@@ -10,6 +10,7 @@ from strandloom import schema as S
 from strandloom.functions import text, vec
 from strandloom.operators import changes, graph, ledger, retrieval, rows, signals
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files
+from strandloom.operators.products import products
 from strandloom.plans import recall
 from strandloom.session import fresh_dir, table
 
@@ -641,19 +642,18 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latent_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest other anchors of each project's anchor above a floor."""
     a = _anchors(spark, sf_dir)
-    other = a.select(F.col("project").alias("neighbour"), F.col("mean").alias("theirs"))
-    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
-    pairs = ledger.anchor_matches(a, other, F.lit(0.2), cos).filter("project <> neighbour").withColumn("cosine", cos)
+    pairs = ledger.anchor_matches(a.selectExpr("project AS id", "mean AS v"), a.selectExpr("project AS anchor", "mean AS v"), 0.2).filter("anchor <> id")
+    pairs = pairs.select(F.col("anchor").alias("project"), F.col("id").alias("neighbour"), "cosine")
     return signals.newest(pairs, ["project"], 8, [F.desc("cosine"), F.col("neighbour")]).select("project", "neighbour", "cosine", "nth")
 
 
 @query(ANCHOR_CTE + "SELECT vec_id, an.project AS anchor, round(list_cosine_similarity(e, mean), 6) AS cosine FROM r JOIN an ON round(list_cosine_similarity(e, mean), 6) >= CASE WHEN r.stale THEN 0.45 ELSE 0.4 END AND r.project <> an.project")
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks close to another project's anchor; the threshold depends on the row."""
-    a = _anchors(spark, sf_dir).withColumnRenamed("project", "anchor")
-    cos = F.round(vec.cosine(F.col("v"), F.col("mean")), 6)
-    found = ledger.anchor_matches(_signal_rows(spark, sf_dir), a, F.when(F.col("stale"), 0.45).otherwise(0.4), cos)
-    return found.filter("project <> anchor").select("vec_id", "anchor", cos.alias("cosine"))
+    rows_ = _signal_rows(spark, sf_dir)
+    found = ledger.anchor_matches(rows_.selectExpr("vec_id AS id", "v"), _anchors(spark, sf_dir).selectExpr("project AS anchor", "mean AS v"), 0.4)
+    found = found.withColumnRenamed("id", "vec_id").join(rows_.select("vec_id", "project", "stale"), "vec_id")
+    return found.filter((F.col("cosine") >= F.when(F.col("stale"), 0.45).otherwise(0.4)) & (F.col("project") != F.col("anchor"))).select("vec_id", "anchor", "cosine")
 
 
 # ================================================================ thread ledger ==
@@ -784,9 +784,8 @@ def span_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchor_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of anchors close enough to bridge."""
     a = _anchors(spark, sf_dir)
-    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
-    pairs = ledger.anchor_matches(a.withColumnRenamed("project", "a"), a.select(F.col("project").alias("b"), F.col("mean").alias("theirs")), F.lit(0.3), cos)
-    return pairs.filter("a < b").select("a", "b", cos.alias("cosine"))
+    pairs = ledger.anchor_matches(a.selectExpr("project AS id", "mean AS v"), a.selectExpr("project AS anchor", "mean AS v"), 0.3)
+    return pairs.filter("anchor < id").select(F.col("anchor").alias("a"), F.col("id").alias("b"), "cosine")
 
 
 @query(ANCHOR_CTE + """, p AS (SELECT a.project, round(list_cosine_similarity(a.mean, b.mean), 6) AS c, row_number() OVER (PARTITION BY a.project ORDER BY round(list_cosine_similarity(a.mean, b.mean), 6) DESC, b.project) AS nth FROM an a JOIN an b ON a.project <> b.project)
@@ -794,9 +793,9 @@ SELECT project, round(avg(c), 6) AS nearness FROM p WHERE nth <= 3 GROUP BY 1"""
 def negative_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each anchor's three highest cosines to the others."""
     a = _anchors(spark, sf_dir)
-    cos = F.round(vec.cosine(F.col("mean"), F.col("theirs")), 6)
-    pairs = ledger.anchor_matches(a, a.select(F.col("project").alias("other"), F.col("mean").alias("theirs")), F.lit(-2.0), cos).filter("project <> other").withColumn("c", cos)
-    return signals.newest(pairs, ["project"], 3, [F.desc("c"), F.col("other")]).groupBy("project").agg(F.round(F.avg("c"), 6).alias("nearness"))
+    near = products(a.selectExpr("project AS id", "mean AS v"), a.selectExpr("project AS query_id", "mean AS v"), "similarity", limit=4)  # itself and three
+    near = near.filter("query_id <> id").withColumnRenamed("query_id", "project")
+    return signals.newest(near, ["project"], 3, [F.desc("score"), F.col("id")]).groupBy("project").agg(F.round(F.avg("score"), 6).alias("nearness"))
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_micros, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
