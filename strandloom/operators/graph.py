@@ -62,10 +62,15 @@ def activation(confidence: Column, access: Column, focus: Column, edge: Column,
     return confidence + w["access"] * squash(access) + w["focus"] * focus + w["edge"] * edge + w["note"] * note
 
 
-def edge_lift(edges: DataFrame) -> DataFrame:
+def support_at(evidence: DataFrame, activation: DataFrame) -> DataFrame:
+    """(source, source_id, value): the highest activation of a handle with evidence there."""
+    return evidence.join(activation.select("handle", "activation"), "handle").groupBy("source", "source_id").agg(F.max("activation").alias("value"))
+
+
+def edge_lift(edges: DataFrame, digits: int = 6) -> DataFrame:
     """1 - exp(-sum of confidences) over both directions."""
     ends = edges.select(F.col("a").alias("handle"), "confidence").unionByName(edges.select(F.col("b").alias("handle"), "confidence"))
-    return ends.groupBy("handle").agg(F.round(1 - F.exp(-F.sum(F.greatest("confidence", F.lit(0.0)))), 6).alias("edge_lift"), F.count(F.lit(1)).alias("edges"))
+    return ends.groupBy("handle").agg(F.round(1 - F.exp(-F.sum(F.greatest("confidence", F.lit(0.0)))), digits).alias("edge_lift"), F.count(F.lit(1)).alias("edges"))
 
 
 def resolve(names: DataFrame, concepts: DataFrame, aliases: DataFrame, hops: int = 8) -> DataFrame:

@@ -85,6 +85,6 @@ def products(rows: DataFrame, asked: DataFrame, metric: str = "l2", limit: int |
         return pa.Table.from_batches(out) if out else pa.table({"query_id": q["query_id"].slice(0, 0), "id": r["id"].slice(0, 0), "score": pa.array([], pa.float64())})
 
     blocks, parts = -(-many // block), max(1, -(-rows.count() // part))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, schema)

@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 from strandloom import schema as S
 from strandloom.functions.text import tokens
 from strandloom.operators.products import products
-from strandloom.session import cut
 
 #: Most (query, term) rows that are broadcast.
 QUERY_TERMS = 500_000
@@ -33,9 +32,11 @@ def postings(chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
-def bm25_lane(index: DataFrame, queries: DataFrame, query_id: str, text: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_lane(index: DataFrame, queries: DataFrame, query_id: str, text: str, limit: int, k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, lane_rank): the best ``limit`` chunks of each query; rank from 0.
 
+    ``among``: the ids that may be hits; statistics are those of the whole index.
+
     The terms of the queries are broadcast where their counted number allows,
     so that each chunk is scored where it lies; else both sides are shuffled.
     """
@@ -49,7 +50,8 @@ def bm25_lane(index: DataFrame, queries: DataFrame, query_id: str, text: str, li
     if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
         terms = F.broadcast(terms)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = index.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    held = index if among is None else index.join(among, "id", "left_semi")
+    scored = held.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored, "score", limit)
 
 

@@ -616,19 +616,6 @@ def edge_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_lift(_edges(spark, sf_dir))
 
 
-@query(LOG_CTE + """, a AS (SELECT handle, ln(1 + sum(CASE WHEN kind <> 'focus' THEN power(greatest(1, (now - m) / 3.6e9), -0.5) ELSE 0 END)) AS acc, min((now - m) / 3.6e9) FILTER (kind = 'focus') AS fh, min((now - m) / 3.6e9) FILTER (kind = 'operator_selected') AS nh FROM e, n GROUP BY 1)
-SELECT handle, round(0.1 + 0.5 * acc / (1 + acc) + 0.3 * coalesce(exp(-fh / 24), 0) + 0.2 * coalesce(exp(-nh / 72), 0), 6) AS activation FROM a""")
-def concept_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence plus access, focus and notes of each handle."""
-    log = _log(spark, sf_dir).withColumn("h", vec.age_hours(F.col("now"), F.col("m")))
-    parts = log.groupBy("handle").agg(
-        F.log1p(F.sum(F.when(F.col("kind") != "focus", F.pow(F.greatest("h", F.lit(1.0)), F.lit(-0.5))).otherwise(0.0))).alias("acc"),
-        F.min(F.when(F.col("kind") == "focus", F.col("h"))).alias("fh"), F.min(F.when(F.col("kind") == "operator_selected", F.col("h"))).alias("nh"),
-    )
-    fade = lambda c, tau: F.coalesce(F.exp(-F.col(c) / tau), F.lit(0.0))
-    return parts.select("handle", F.round(graph.activation(F.lit(0.1), F.col("acc"), fade("fh", 24.0), F.lit(0.0), fade("nh", 72.0)), 6).alias("activation"))
-
-
 ANCHOR_CTE = SIGNAL_CTE + """, x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale AND project <> ''), k AS (SELECT project, i, avg(e[i]) AS a FROM x GROUP BY 1, 2 HAVING count(*) >= 10),
 an AS (SELECT project, list(a ORDER BY i) AS mean FROM k GROUP BY 1)
 """
