@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions import text
-from strandloom.operators import concepts, graph, ledger
-from strandloom.queries import ANCHOR_CTE, GRAPH_CTE, LOG_CTE, _anchors, _edges, _log, query
+from strandloom.operators import concepts, graph, ledger, threads
+from strandloom.queries import ANCHOR_CTE, GRAPH_CTE, LOG_CTE, SIGNAL_CTE, THREAD_CTE, _anchors, _edges, _log, _signal_rows, _threads, query
 from strandloom.ranking_queries import ACT_CTE, _activation, _lanes
-from strandloom.session import table
+from strandloom.session import cut, table
 
 # ================================================================== the concept store ==
 
@@ -167,8 +167,6 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(NEAR_CTE + "SELECT other AS handle, max(round(activation * cosine * 0.5, 9)) AS activation FROM sd JOIN nk USING (handle) WHERE nth <= 8 GROUP BY 1")
 def latent_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activation passed to the nearest concepts by likeness alone."""
-    from strandloom.queries import _signal_rows
-
     counts = _signal_rows(spark, sf_dir).filter("project <> ''").groupBy(F.col("project").alias("handle")).agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 1
     return concepts.latent_lift(counts.select("handle", F.round(F.col("n") / F.lit(most), 9).alias("activation")), _near(spark, sf_dir))
@@ -265,3 +263,180 @@ def evidence_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = rows.select("source", F.col("chunk_id").alias("pointer"), F.nullif(F.col("content_sha256"), F.lit("")).alias("sha"), state.alias("state")).distinct()
     live = table(spark, sf_dir, "candidate_vectors").filter("not stale").groupBy(F.col("chunk_id").alias("id")).agg(F.min(F.sha2(F.coalesce("snippet", F.lit("")), 256)).alias("sha"))
     return concepts.resolution(ev, live).select("source", "pointer", "sha", "state")
+
+
+# ================================================================== the thread ledger ==
+
+
+@query(LOG_CTE + """, x AS (SELECT handle AS thread, k AS path, kind AS category, kind = 'recall_fault' AS removes, event_id AS seq FROM e),
+g AS (SELECT *, max(CASE WHEN removes THEN seq END) OVER (PARTITION BY thread, path) AS gone FROM x)
+SELECT thread, path, category, count(*) AS touches, min(seq) AS first, max(seq) AS last FROM g WHERE NOT removes AND (gone IS NULL OR seq > gone) GROUP BY 1, 2, 3""")
+def thread_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each thread after its removals."""
+    return threads.live_evidence(_thread_events(spark, sf_dir))
+
+
+def _thread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).select(F.col("handle").alias("thread"), F.col("k").alias("path"), F.col("kind").alias("category"), (F.col("kind") == "recall_fault").alias("removes"), F.col("event_id").alias("seq"))
+
+
+@query(LOG_CTE + """, rn AS (SELECT DISTINCT handle AS old, 'u' || (substr(handle, 2)::INT - 1) AS new FROM e WHERE substr(handle, 2)::INT % 10 = 3),
+l AS (SELECT coalesce(x.new, handle) AS a, coalesce(y.new, 'u' || k) AS b, kind AS category FROM e LEFT JOIN rn x ON x.old = handle LEFT JOIN rn y ON y.old = 'u' || k)
+SELECT a, b, category, count(*) AS touches FROM l WHERE a <> b GROUP BY 1, 2, 3""")
+def thread_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between threads after renames."""
+    log = _log(spark, sf_dir)
+    number = F.substring("handle", 2, 9).cast("int")
+    renamed = log.filter(number % 10 == 3).select(F.col("handle").alias("old"), F.concat(F.lit("u"), (number - 1).cast("string")).alias("new")).distinct()
+    links = log.select(F.col("handle").alias("a"), F.concat(F.lit("u"), F.col("k").cast("string")).alias("b"), F.col("kind").alias("category"))
+    return threads.linked(links, renamed)
+
+
+@query("""WITH r AS (SELECT handle, members::BIGINT AS members, CASE WHEN isnan(cohesion) THEN NULL ELSE cohesion::DOUBLE END AS cohesion, epoch_us(surfaced_at) AS m FROM emergent_reports), n AS (SELECT max(m) AS now FROM r),
+f AS (SELECT handle, arg_min((members, cohesion), (m, members)) AS x, min(m) AS m FROM r GROUP BY 1)
+SELECT handle, x[1] AS members, round(x[2], 6) AS cohesion, coalesce(x[1], 0) >= 5 AND coalesce(x[2] >= 0.9, false) AS promoted FROM f, n WHERE (coalesce(x[1], 0) >= 5 AND coalesce(x[2] >= 0.9, false)) OR m >= now - 14 * 86400000000""")
+def thread_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals that stand: promoted ones, and others while they are new."""
+    r = table(spark, sf_dir, "emergent_reports").select("handle", F.col("members").cast("long").alias("members"), F.when(~F.isnan("cohesion"), F.col("cohesion").cast("double")).alias("cohesion"), F.unix_micros("surfaced_at").alias("micros"))
+    now = r.agg(F.max("micros")).first()[0] or 0
+    return threads.proposals(r, F.lit(now)).select("handle", "members", F.round("cohesion", 6).alias("cohesion"), "promoted")
+
+
+@query(LOG_CTE + """, x AS (SELECT handle, k, kind, count(*) AS touches, max(value) / 50 AS sim, (any_value(now) - min(m)) / 8.64e10 AS age, (any_value(now) - max(m)) / 8.64e10 AS idle FROM e, n GROUP BY 1, 2, 3), y AS (SELECT *, least(1.0, (touches - 1) / 8.0) AS ramp, least(1.0, greatest(0.0, sim)) AS s FROM x)
+SELECT handle, k, kind, round((0.1 + 0.9 * ramp) * exp(-(0.08 - 0.07 * ramp) * idle) * s * (1 + CASE WHEN s >= 0.7 THEN 0.5 * least(1.0, ln(1 + age) / ln(366.0)) ELSE 0 END), 6) AS activation FROM y""")
+def edge_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activation of evidence edges from likeness, age, idleness and touches."""
+    days = lambda c: (F.max("now") - c) / 8.64e10
+    rows = _log(spark, sf_dir).groupBy("handle", "k", "kind").agg(F.count(F.lit(1)).alias("touches"), (F.max("value") / 50).alias("sim"), days(F.min("m")).alias("age"), days(F.max("m")).alias("idle"))
+    return rows.select("handle", "k", "kind", F.round(threads.edge_activation(F.col("sim"), F.col("age"), F.col("idle"), F.col("touches")), 6).alias("activation"))
+
+
+@query(THREAD_CTE + """, b AS (SELECT handle, max(round(score, 6)) AS score, resonance <= 5 AND cohesion >= 0.3 AND members < 5 AS bridge FROM sc GROUP BY handle, resonance, cohesion, members),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, handle) AS place FROM b WHERE score >= 0.1), f AS (SELECT min(place) AS first FROM o WHERE bridge)
+SELECT handle, score, bridge, least(place, 4) AS place FROM o, f WHERE CASE WHEN first > 4 THEN place < 4 OR place = first ELSE place <= 4 END""")
+def thread_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four threads, the last place kept for the best bridge."""
+    t = _threads(spark, sf_dir)
+    bridge = (F.col("resonance") <= 5) & (F.col("cohesion") >= 0.3) & (F.col("members") < 5)
+    return threads.surface(t.select("handle", F.round("score", 6).alias("score"), bridge.alias("bridge")), 4)
+
+
+@query(THREAD_CTE + """, p AS (SELECT handle, row_number() OVER (ORDER BY round(score, 6) DESC, handle) AS place FROM sc WHERE project <> ''), a AS (SELECT handle, round(score, 6) AS score FROM sc),
+f AS (SELECT * FROM p WHERE place <= 6), r AS (SELECT handle, row_number() OVER (ORDER BY score DESC, handle) + (SELECT count(*) FROM f) AS place FROM a WHERE handle NOT IN (SELECT handle FROM f))
+SELECT handle, place, true AS pinned FROM f UNION ALL SELECT handle, place, false FROM r WHERE place <= 8""")
+def pinned_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight pages under a pin, two of them ambient."""
+    t = _threads(spark, sf_dir).select("handle", "project", F.round("score", 6).alias("score"))
+    out = threads.pinned_pages(t.filter("project <> ''").drop("project"), t.drop("project"), 8)
+    return out.select("handle", F.col("place").cast("long").alias("place"), "pinned")
+
+
+@query(LOG_CTE + """, l AS (SELECT handle, k, kind, max(m) AS m FROM e WHERE kind NOT IN ('lens_included', 'focus') GROUP BY 1, 2, 3), u AS (SELECT handle, round(sum(weight * ln(1 + power(greatest(1.0, (now - m) / 3.6e9), -0.5))) / (1 + sum(weight * ln(1 + power(greatest(1.0, (now - m) / 3.6e9), -0.5)))), 9) AS value_use FROM l JOIN wt USING (kind), n GROUP BY 1),
+j AS (SELECT handle, sum(value) / 1000 AS s FROM e WHERE kind = 'operator_selected' GROUP BY 1), h AS (SELECT DISTINCT handle FROM e)
+SELECT handle, coalesce(value_use, 0) AS value_use, round(0.5 + 0.5 * least(1, greatest(0, 0.5 * coalesce(value_use, 0) + 0.5 * CASE WHEN s > 0 THEN 1 - exp(-s) ELSE 0 END)), 6) AS value FROM h LEFT JOIN u USING (handle) LEFT JOIN j USING (handle)""")
+def value_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What use and judgment raise each handle's value to, from a neutral half."""
+    log = _log(spark, sf_dir)
+    used = log.filter("kind not in ('lens_included', 'focus')").select("handle", F.col("k").alias("query_key"), "kind", F.col("m").alias("micros"), "now")
+    judged = log.filter("kind = 'operator_selected'").groupBy("handle").agg((F.sum("value") / 1000).alias("s"))
+    rows = log.select("handle").distinct().join(threads.value_use(used, F.col("now")), "handle", "left").join(judged, "handle", "left")
+    value = threads.value_factor(F.col("value_use"), F.coalesce("s", F.lit(0.0)), neutral=0.5)
+    return rows.select("handle", F.coalesce("value_use", F.lit(0.0)).alias("value_use"), F.round(value, 6).alias("value"))
+
+
+CENTRED_CTE = ANCHOR_CTE + """, un AS (SELECT project, list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) AS u FROM an), gm AS (SELECT list(a ORDER BY i) AS g FROM (SELECT i, avg(u[i]) AS a FROM (SELECT unnest(range(1, 65)) AS i, u FROM un) GROUP BY i)),
+ct AS (SELECT project, list_transform(list_zip(u, g), lambda z: z[1] - z[2]) AS v FROM un, gm), bad AS (SELECT * FROM ct WHERE project LIKE '%cursor')
+"""
+
+
+@query(CENTRED_CTE + """, p AS (SELECT ct.project, round(list_cosine_similarity(ct.v, bad.v), 6) AS c, row_number() OVER (PARTITION BY ct.project ORDER BY round(list_cosine_similarity(ct.v, bad.v), 6) DESC, bad.project) AS nth FROM ct JOIN bad ON ct.project <> bad.project)
+SELECT project, round(least(1, greatest(0, (avg(c) - 0.1) / 0.9)), 6) AS penalty FROM p WHERE nth <= 3 GROUP BY 1""")
+def negative_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How close each anchor is to rejected ones once the common direction is taken out."""
+    anchors = _anchors(spark, sf_dir).select(F.col("project").alias("id"), F.col("mean").alias("v"))
+    return threads.negative_penalty(anchors, anchors.filter("id like '%cursor'"), 64, tau=0.1).withColumnRenamed("id", "project")
+
+
+@query(CENTRED_CTE + """, sx AS (SELECT r.project, count(DISTINCT r.chunk_id) AS w FROM r WHERE NOT stale AND project <> '' GROUP BY 1), p AS (SELECT ct.project, round(list_cosine_similarity(ct.v, bad.v), 6) AS c, row_number() OVER (PARTITION BY ct.project ORDER BY round(list_cosine_similarity(ct.v, bad.v), 6) DESC, bad.project) AS nth FROM ct JOIN bad ON ct.project <> bad.project),
+q AS (SELECT project, round(least(1, greatest(0, (avg(c) - 0.1) / 0.9)), 6) AS penalty FROM p WHERE nth <= 3 GROUP BY 1)
+SELECT project, round((1 - least(1, w / 100.0)) * (1 - 0.8 * coalesce(penalty, 0)), 6) AS salience FROM sx LEFT JOIN q USING (project)""")
+def salience_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multiplier of each project's handle, its spread standing for specificity."""
+    live = _signal_rows(spark, sf_dir).filter("not stale and project <> ''").groupBy("project").agg(F.countDistinct("chunk_id").alias("w"))
+    rows = live.join(negative_transfer(spark, sf_dir), "project", "left")
+    return rows.select("project", F.round(threads.salience(1 - F.least(F.lit(1.0), F.col("w") / 100.0), F.lit(1.0), F.col("penalty")), 6).alias("salience"))
+
+
+@query(ANCHOR_CTE + """, ma AS (SELECT vec_id AS id, an.project AS anchor, round(list_cosine_similarity(e, mean), 6) AS cosine FROM r JOIN an ON round(list_cosine_similarity(e, mean), 6) >= 0.3),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, anchor) AS nth FROM ma) WHERE nth <= 8)
+SELECT x.anchor AS a, y.anchor AS b, count(*) AS chunks FROM t x JOIN t y ON x.id = y.id AND x.anchor < y.anchor GROUP BY 1, 2
+UNION ALL SELECT anchor, NULL, count(*) FROM ma GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*) FROM r WHERE vec_id NOT IN (SELECT id FROM ma)""")
+def weave_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors woven by common chunks, the links of each, and what no anchor matches."""
+    rows = _signal_rows(spark, sf_dir).selectExpr("vec_id AS id", "v")
+    found = cut(ledger.anchor_matches(rows, _anchors(spark, sf_dir).selectExpr("project AS anchor", "mean AS v"), 0.3))
+    nothing = F.lit(None).cast("string")
+    links = found.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("chunks")).select("a", nothing.alias("b"), "chunks")
+    alone = rows.join(found, "id", "left_anti").agg(F.count(F.lit(1)).alias("chunks")).select(nothing.alias("a"), nothing.alias("b"), "chunks")
+    return threads.weaves(found).unionByName(links).unionByName(alone)
+
+
+@query(LOG_CTE + """, x AS (SELECT handle AS key, event_id AS seq, CASE WHEN kind = 'operator_selected' THEN k END AS total FROM e), b AS (SELECT key, arg_max(total, seq) FILTER (total IS NOT NULL) AS base, max(seq) FILTER (total IS NOT NULL) AS at_ FROM x GROUP BY 1)
+SELECT key, coalesce(max(base), 0) + count(*) FILTER (at_ IS NULL OR seq > at_) AS value FROM x JOIN b USING (key) GROUP BY 1""")
+def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each thread, set anew by events that carry a total."""
+    rows = _log(spark, sf_dir).select(F.col("handle").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("kind") == "operator_selected", F.col("k")).alias("total"))
+    return threads.totals(rows)
+
+
+@query(LOG_CTE + "SELECT handle AS key, round(exp(sum(ln(1 - value / 1000))), 6) AS fade FROM e WHERE value < 1000 GROUP BY 1")
+def fade_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product of each thread's fade factors."""
+    return threads.faded(_log(spark, sf_dir).filter("value < 1000").select(F.col("handle").alias("key"), (1 - F.col("value") / 1000).alias("factor")))
+
+
+@query(LOG_CTE + "SELECT handle AS scope, CASE WHEN arg_max(kind, event_id) = 'focus' THEN arg_max(k, event_id) END AS item, arg_max(kind, event_id) = 'focus' AS pinned FROM e WHERE kind IN ('focus', 'recall_fault') GROUP BY 1")
+def focus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each scope has pinned, nothing after a clear."""
+    rows = _log(spark, sf_dir).filter("kind in ('focus', 'recall_fault')")
+    return threads.focus_state(rows.select(F.col("handle").alias("scope"), F.col("k").alias("item"), (F.col("kind") == "recall_fault").alias("clears"), F.col("event_id").alias("seq")))
+
+
+@query(ANCHOR_CTE + "SELECT DISTINCT chunk_id, thread FROM (SELECT chunk_id, an.project AS thread FROM r JOIN an ON round(list_cosine_similarity(e, mean), 6) >= 0.5 UNION ALL SELECT chunk_id, project FROM candidate_vectors WHERE project IS NOT NULL)")
+def threads_for_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of each chunk, by closeness to the anchor or by evidence."""
+    rows = _signal_rows(spark, sf_dir)
+    near = ledger.anchor_matches(rows.selectExpr("vec_id AS id", "v"), _anchors(spark, sf_dir).selectExpr("project AS anchor", "mean AS v"), 0.5)
+    by_anchor = near.join(rows.selectExpr("vec_id AS id", "chunk_id"), "id").select("chunk_id", F.col("anchor").alias("thread"))
+    by_hand = table(spark, sf_dir, "candidate_vectors").filter("project is not null").select("chunk_id", F.col("project").alias("thread"))
+    return by_anchor.unionByName(by_hand).distinct()
+
+
+@query("""SELECT doc_id, doc_kind FROM documents WHERE doc_kind <> 'minutes' OR project IS NOT DISTINCT FROM 'orrery'""")
+def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents a scope may see: private kinds only its own."""
+    docs = table(spark, sf_dir, "documents").withColumn("tier", F.when(F.col("doc_kind") == "minutes", "t0_private").otherwise("t1_shared")).withColumn("scope_key", F.col("project"))
+    return threads.visible(docs.filter("doc_kind is not null"), "orrery").select("doc_id", "doc_kind")
+
+
+@query(STORE_CTE + """, a AS (SELECT DISTINCT handle FROM ce WHERE kind = 'operator_selected' AND seq < 5000), b AS (SELECT handle, arg_max(kind, seq) AS kind FROM ce GROUP BY 1)
+SELECT handle FROM a WHERE handle NOT IN (SELECT handle FROM b WHERE kind = 'operator_selected')""")
+def forgotten_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handles that were judged once and are no longer active."""
+    rows = _store(spark, sf_dir)
+    judged = rows.filter("kind = 'operator_selected' and seq < 5000").select("handle").distinct()
+    active = concepts.latest(rows, ["handle"], "kind").filter("kind = 'operator_selected'")
+    return judged.join(active, "handle", "left_anti")
+
+
+@query(SIGNAL_CTE.replace("WITH r AS", "WITH RECURSIVE r AS") + """, sm AS (SELECT * FROM (SELECT vec_id AS id, e, row_number() OVER (ORDER BY m DESC NULLS LAST, vec_id) AS nth FROM r WHERE NOT stale) WHERE nth <= 500),
+lk AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM sm x JOIN sm y ON x.id <> y.id AND round(list_cosine_similarity(x.e, y.e), 6) >= 0.82),
+rc AS (SELECT id AS root, id AS node FROM sm UNION SELECT rc.root, lk.b FROM rc JOIN lk ON lk.a = rc.node), cp AS (SELECT node AS id, min(root) AS comp FROM rc GROUP BY 1),
+mb AS (SELECT cp.id, comp FROM cp JOIN lk ON lk.a = cp.id GROUP BY 1, 2 HAVING count(*) >= 2), sz AS (SELECT comp FROM mb GROUP BY 1 HAVING count(*) >= 3),
+pr AS (SELECT x.comp, x.id AS a, y.id AS b FROM mb x JOIN mb y ON x.comp = y.comp AND x.id <> y.id WHERE x.comp IN (SELECT comp FROM sz)),
+ch AS (SELECT comp, avg(list_cosine_similarity(x.e, y.e)) AS cohesion FROM pr JOIN sm x ON x.id = a JOIN sm y ON y.id = b GROUP BY 1)
+SELECT 'proposed-' || left(sha256(string_agg(mb.id || chr(10), '' ORDER BY mb.id::VARCHAR)), 8) AS handle, count(*) AS members, round(any_value(cohesion), 6) AS cohesion FROM mb JOIN ch USING (comp) GROUP BY mb.comp""")
+def emergent_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of similar chunks in a sample of the newest, with a proposed name."""
+    rows = threads.sample(_signal_rows(spark, sf_dir).withColumnRenamed("vec_id", "id"))
+    return threads.components(rows.select("id", "v")).select("handle", "members", "cohesion")
