@@ -102,3 +102,58 @@ def resolved_path(base: Column, target: Column) -> Column:
         F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(s)))
     )
     return F.array_join(F.aggregate(F.split(clean, "/"), start, step), "/")
+
+
+# Phrases by which a listener recognises what was said, in this order.
+RECOGNITION = (
+    r"(?i)(?:^|[^\w])((?:yes\s*,?\s*exactly)|(?:that(?:'s|\s+is)\s+the\s+move)|(?:oh\s*[,\-—]?\s*(?:like|it'?s\s+like)\s+\w)"
+    r"|(?:i\s+see\s+what\s+you\s+mean)|(?:exactly)|(?:got\s+it)|(?:right\s*,\s*\w))"
+)
+TRIGGER_CONFIDENCE = 0.75
+
+
+def triggers(text: Column) -> Column:
+    """Recognition phrases in lower case, those right after a negation left out."""
+    kept = F.regexp_replace(text, r"(?i)(\bnot?,?\s*)(yes\s*,?\s*exactly|exactly|got\s+it|right\s*,\s*\w)", "$1")
+    return F.transform(F.regexp_extract_all(kept, F.lit(RECOGNITION), 1), lambda t: F.lower(t))
+
+
+def token_window(text: Column, at: Column, size: int) -> Column:
+    """``size`` white-space tokens around the 0-based token ``at``; the text where it is short."""
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    low = F.greatest(F.lit(0), at - size // 2)
+    high = F.least(F.size(words), at + size // 2 + 1)
+    return F.when(F.size(words) <= size, text).otherwise(F.array_join(F.slice(words, low + 1, F.greatest(F.lit(0), high - low)), " "))
+
+
+def strip_line_marker(line: Column) -> Column:
+    """A line without list, quote and number marks at its start."""
+    return F.regexp_replace(line, r"^[ \t]*(?:(?:[-*+>]|\d{1,9}[.)])[ \t]+)+", "")
+
+
+def refine_token(token: Column) -> Column:
+    """A word without a possessive and without punctuation at its ends."""
+    return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"(?:'s|’s)$", "")
+
+
+def stub_confidence(mentions: Column) -> Column:
+    """Six mentions are certain."""
+    return F.least(mentions, F.lit(6)) / 6.0
+
+
+def project_of(path: Column) -> Column:
+    """The folder that names the project of a session file: its parent, a slug of dashes by its last part."""
+    parent = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.when(parent == "", None).otherwise(F.when(parent.startswith("-"), F.regexp_extract(parent, r"([^-]+)$", 1)).otherwise(parent))
+
+
+def doc_handle(path: Column) -> Column:
+    """A handle from a path: folders and stem joined, a long one cut with a hash behind it."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(path, r"\.[^./]*$", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(F.length(slug) > 40, F.concat(F.substring(slug, 1, 31), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))).otherwise(slug)
+
+
+def doc_title(text: Column) -> Column:
+    """The first heading of the first level, null for none."""
+    found = F.regexp_extract(text, r"(?m)^#[ \t]+(\S[^\n]*?)[ \t]*$", 1)
+    return F.when(found != "", found)

@@ -51,3 +51,16 @@ def squash(x: Column) -> Column:
 def min_max(x: Column, low: Column, high: Column, flat: float) -> Column:
     """Scaled to the pool; ``flat`` where the pool is."""
     return F.when(high > low, (x - low) / F.greatest(high - low, F.lit(1e-300))).otherwise(F.lit(flat))
+
+
+def blend(old: Column, new: Column, weight: float) -> Column:
+    """The unit mean of two vectors; the new one where the old is empty or of another width."""
+    mixed = F.zip_with(old, new, lambda a, b: (1 - weight) * a + weight * b)
+    fine = old.isNotNull() & (F.size(old) > 0) & (F.size(old) == F.size(new))
+    return F.when(fine, F.transform(mixed, lambda x: x / F.greatest(norm(mixed), F.lit(1e-300)))).otherwise(new)
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine, at least 0; 2 where it is undefined."""
+    fine = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0)
+    return F.when(fine, F.greatest(F.lit(0.0), 1 - cosine(a, b))).otherwise(F.lit(2.0))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandloom.schema import EMA_LAMBDA, GATE
+from strandloom.functions import text as text_functions
+from strandloom.operators.products import products
+from strandloom.schema import DRIFT, EMA_LAMBDA, GATE
 
 OUT = "scope string, turns long, resonant long, drift double, rolling array<double>"
 STATE = "rolling array<double>, turns long, resonant long"
@@ -105,3 +107,54 @@ def sink_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
         batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def encoded(events: DataFrame) -> DataFrame:
+    """(event_id, kind, payload) with the payload, a struct, as JSON."""
+    return events.select("event_id", "kind", F.to_json("payload").alias("payload"))
+
+
+def decoded(events: DataFrame, schema: str) -> DataFrame:
+    """Payloads read back by a schema; one that does not parse is null."""
+    return events.select("event_id", "kind", F.from_json("payload", schema).alias("payload"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Encoded events at the end of a log, one folder a kind."""
+    encoded(events).write.mode("append").partitionBy("kind").parquet(path)
+
+
+def woven(chunks: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
+    """A stream of chunks (id, v) matched with the anchors (anchor, v) of the moment:
+    called anew in each micro-batch, it takes the ledger as it is then."""
+    return products(chunks, anchors.select(F.col("anchor").alias("query_id"), "v"), "similarity", least=threshold)
+
+
+def due(states: DataFrame, shown: DataFrame, drift: float = DRIFT) -> DataFrame:
+    """Scopes whose page must be made again: the pin has changed, or the rolling vector
+    has moved by ``drift``, and the content's hash is another one.
+
+    ``states``: (scope, pin, drift, hash); ``shown``: (scope, pin, hash) of the last page.
+    """
+    last = shown.select("scope", F.col("pin").alias("last_pin"), F.col("hash").alias("last_hash"), F.lit(True).alias("known"))
+    rows = states.join(last, "scope", "left")
+    moved = F.col("known").isNull() | ~F.col("pin").eqNullSafe(F.col("last_pin")) | (F.col("drift") >= drift)
+    return rows.filter(moved & ~F.col("hash").eqNullSafe(F.col("last_hash"))).select("scope", "pin", "drift", "hash")
+
+
+def stale_ingest(journals: DataFrame, newest: DataFrame, threshold_s: float) -> DataFrame:
+    """(project, behind_s): journals (project, mtime micros) written later than the
+    newest ingested row (project, micros) by more than the threshold; none ingested counts as behind."""
+    rows = journals.join(newest, "project", "left")
+    behind = (F.col("mtime") - F.coalesce("micros", F.lit(0))) / 1e6
+    return rows.select("project", behind.alias("behind_s")).filter(F.col("behind_s") > threshold_s)
+
+
+def membrane(turns: DataFrame, size: int = 60) -> DataFrame:
+    """(session_id, turn, nth, trigger, confidence, text): a chunk for each recognition
+    phrase of a turn (session_id, turn, text), the tokens around it."""
+    found = turns.select("session_id", "turn", "text", F.posexplode(text_functions.triggers(F.col("text"))).alias("nth", "trigger"))
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    first = F.split(F.col("trigger"), r"\s+")[0]
+    at = F.greatest(F.lit(0), F.array_position(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^\W+|\W+$", ""))), F.regexp_replace(first, r"\W+$", "")).cast("int") - 1)
+    return found.select("session_id", "turn", "nth", "trigger", F.lit(text_functions.TRIGGER_CONFIDENCE).alias("confidence"), text_functions.token_window(F.col("text"), at, size).alias("text"))
