@@ -127,6 +127,19 @@ def diversify(rows: DataFrame, group: str, per_group: int = S.PER_SOURCE, limit:
     return rows.withColumn("place", place.cast("long")).filter(F.col("place") <= limit)
 
 
+def quoted(docs: DataFrame, items: DataFrame, words: int = 13) -> DataFrame:
+    """(query_id, id): texts (id, t) that hold ``words`` consecutive words or more of an
+    item (query_id, t); runs of words are matched by hash, then by themselves."""
+
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        w = df.filter("t is not null").select(key, tokens(F.col("t")).alias("w")).filter(F.size("w") >= words)
+        starts = F.sequence(F.lit(1), F.size("w") - words + 1)
+        return w.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("run")).withColumn("h", F.xxhash64("run"))
+
+    mine = runs(items, "query_id")
+    return runs(docs, "id").join(mine.select("h", F.col("run").alias("its"), "query_id"), "h").filter("run = its").select("query_id", "id").distinct()
+
+
 def reciprocal_ranks(hits: DataFrame, relevant: DataFrame, depth: int = 10) -> DataFrame:
     """(query_id, rr, success, found): over ``relevant`` (query_id, id) pairs."""
     good = hits.filter(F.col("place") <= depth).join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("found"))

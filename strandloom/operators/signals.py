@@ -49,8 +49,8 @@ def dominant(rows: DataFrame, key: str, value: str) -> DataFrame:
 def entropy(rows: DataFrame, key: list[str], weight: str) -> DataFrame:
     """Shannon entropy in nats, normalised by its most, over positive weights."""
     positive = rows.filter(F.col(weight) > 0)
-    whole = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))
-    p = positive.withColumn("p", F.col(weight) / F.sum(weight).over(whole))
+    totals = positive.groupBy(*key).agg(F.sum(weight).alias("_total"))
+    p = (positive.join(totals, key) if key else positive.crossJoin(totals)).withColumn("p", F.col(weight) / F.col("_total"))  # one row without a key
     grouped = p.groupBy(*key).agg(F.sum(-F.col("p") * F.log("p")).alias("h"), F.count(F.lit(1)).alias("n"))
     return grouped.select(*key, F.round("h", 6).alias("entropy"), F.col("n").alias("bins"), F.when(F.col("n") > 1, F.round(F.col("h") / F.log("n"), 6)).otherwise(F.lit(0.0)).alias("normalised"))
 

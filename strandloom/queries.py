@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom import schema as S
 from strandloom.functions import text, vec
-from strandloom.operators import changes, graph, ledger, retrieval, rows, signals
+from strandloom.operators import changes, graph, ledger, order, retrieval, rows, signals, threads
 from strandloom.operators.changes import ChangeLog, capture_changes, changed_files
 from strandloom.operators.products import products
 from strandloom.plans import recall
@@ -288,12 +288,12 @@ def orphan_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.groupBy("source", "source_id", "source_config_id").agg(F.count(F.lit(1)).alias("pieces"), F.bool_or(F.col("source") == "code").alias("deletes"))
 
 
-@query("""SELECT source, source_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY chunk_id) // 64 AS batch FROM (SELECT DISTINCT source, source_id, chunk_index, chunk_id FROM ingest_chunks)""")
+@query("""SELECT source, source_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY chunk_id, source_id, chunk_index) // 64 AS batch FROM (SELECT DISTINCT source, source_id, chunk_index, chunk_id FROM ingest_chunks)""")
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ids per source."""
     ids = table(spark, sf_dir, "ingest_chunks").select("source", "source_id", "chunk_index", "chunk_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("chunk_id"))
-    return ids.select("source", "source_id", "chunk_index", F.floor(nth / 64).cast("long").alias("batch"))
+    ids = order.numbered(ids, ["source"], ["chunk_id", "source_id", "chunk_index"])
+    return ids.select("source", "source_id", "chunk_index", F.floor(F.col("nth") / 64).cast("long").alias("batch"))
 
 
 @query("""WITH i AS (SELECT DISTINCT source, source_id, source_config_id, chunk_index FROM ingest_chunks),
@@ -323,8 +323,8 @@ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 u AS (SELECT query_id, id, 'bm25' AS lane, score, lane_rank FROM b UNION ALL SELECT query_id, id, 'dense', score, lane_rank FROM n),
 f AS (SELECT query_id, id, round(sum(1 / (60.0 + lane_rank)), 9) AS rrf, max(score) FILTER (lane = 'bm25') AS bm25, max(score) FILTER (lane = 'dense') AS dense FROM u GROUP BY 1, 2),
 g AS (SELECT *, round(least(1, rrf / (2.0 / 60)), 9) AS f_rrf, round(coalesce(bm25 / (bm25 + 10), 0), 9) AS f_bm25 FROM f),
-r AS (SELECT g.*, round(f_rrf + 0.5 * f_bm25, 6) AS score, lower(trim(source)) AS source FROM g JOIN documents ON doc_id = id),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS k FROM r) WHERE k <= 3),
+r AS (SELECT g.*, round(f_rrf + 0.5 * f_bm25, 6) AS score, lower(trim(source)) AS source, coalesce(source_id, 'doc ' || doc_id) AS source_id FROM g JOIN documents ON doc_id = id),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, id) AS k FROM r) WHERE k <= 3),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM c) WHERE place <= 10)
 """
 
@@ -340,11 +340,11 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_lane(stored, "vec_id", "embedding", asked, "vec_id", "embedding", 60)
 
 
-def _recall(spark: SparkSession, sf_dir: str, group: Column | None = None, limit: int = S.LIMIT) -> DataFrame:
-    """Hits of hybrid recall, capped per ``group``: by default the source's name, as the SQL has it."""
-    group = F.lower(F.trim("source")) if group is None else group
+def _recall(spark: SparkSession, sf_dir: str, limit: int = S.LIMIT) -> DataFrame:
+    """Hits of hybrid recall, at most three of a file."""
     items, stored = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", group.alias("source"))
+    file = F.coalesce("source_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", file.alias("source_id"), F.lower(F.trim("source")).alias("source"))
     asked = stored.withColumnRenamed("id", "query_id").join(items.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
     return recall.hybrid_recall(chunks, items.select(F.col("item_id").alias("query_id"), F.col("passage").alias("text")), stored, asked, {"rrf": 1.0, "bm25": 0.5}, limit)
 
@@ -374,15 +374,16 @@ def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "place", "id", "score", "f_rrf", F.col("match_features")["bm25"].alias("c_bm25"))
 
 
-@query(BM25_CTE + """, o AS (SELECT DISTINCT item_id AS query_id, doc_id AS id FROM eval_items JOIN documents ON contains(text, substr(passage, 1, 60))),
+@query(BM25_CTE + """, dw AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id AS query_id, regexp_extract_all(lower(passage), '[a-z0-9]+') AS x FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT DISTINCT id, array_to_string(x[i : i + 12], ' ') AS gram FROM (SELECT *, unnest(range(1, len(x) - 11)) AS i FROM dw)), ig AS (SELECT DISTINCT query_id, array_to_string(x[i : i + 12], ' ') AS gram FROM (SELECT *, unnest(range(1, len(x) - 11)) AS i FROM iw)),
+o AS (SELECT DISTINCT query_id, id FROM ig JOIN dg USING (gram)),
 m AS (SELECT o.query_id, min(place) AS first, count(place) AS found FROM o LEFT JOIN h USING (query_id, id) GROUP BY 1)
 SELECT query_id, round(coalesce(1.0 / first, 0), 6) AS rr, (first IS NOT NULL)::INT AS success, found FROM m""")
 def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank, success and hits of each passage that documents quote."""
-    head = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.substring("passage", 1, 60).alias("p"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    quoted = docs.join(F.broadcast(head), F.contains("text", "p")).select("query_id", "id")  # 240 passages by contract
-    return retrieval.reciprocal_ranks(_recall(spark, sf_dir), quoted)
+    """Reciprocal rank, success and hits of each passage of which documents quote thirteen words or more."""
+    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.col("passage").alias("t"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return retrieval.reciprocal_ranks(_recall(spark, sf_dir), retrieval.quoted(docs, items))
 
 
 @query("""WITH c AS (SELECT v.vec_id, v.source, v.snippet, 'orrery' AS q, epoch_us(v.ts) AS m FROM candidate_vectors v), n AS (SELECT max(m) AS now FROM c)
@@ -420,11 +421,12 @@ def activity_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.activity_bursts(base.crossJoin(now), F.col("now"), ["project", "now"], 720, 24).drop("now")  # one row of now
 
 
-@query(SIGNAL_CTE + ", x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), k AS (SELECT project, i, avg(e[i]) AS a, count(*) AS rows FROM x GROUP BY 1, 2 HAVING count(*) >= 10) SELECT project, max(rows) AS rows, round(sqrt(sum(a * a)), 6) AS length FROM k GROUP BY 1")
+@query(SIGNAL_CTE + ", x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), k AS (SELECT project, i, avg(e[i]) AS a, count(*) AS rows FROM x GROUP BY 1, 2 HAVING count(*) >= 10) SELECT project, max(rows) AS rows, round(sqrt(sum(a * a)), 6) AS length, round(max(a), 6) AS highest, round(sum(i * a), 5) AS weighed FROM k GROUP BY 1")
 def baseline_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of each project's mean vector, where it has ten rows."""
+    """Each project's mean vector, where it has ten rows: its length and sums over its elements."""
     means = signals.baselines(_signal_rows(spark, sf_dir).filter("not stale"), "project", 64)
-    return means.select("project", "rows", F.round(vec.norm(F.col("mean")), 6).alias("length"))
+    weighed = F.aggregate(F.transform("mean", lambda a, i: a * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return means.select("project", "rows", F.round(vec.norm(F.col("mean")), 6).alias("length"), F.round(F.array_max("mean"), 6).alias("highest"), F.round(weighed, 5).alias("weighed"))
 
 
 @query(SIGNAL_CTE + """, x AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), k AS (SELECT project, i, avg(e[i]) AS a FROM x GROUP BY 1, 2 HAVING count(*) >= 10),
@@ -563,8 +565,8 @@ def refractory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last write of each handle."""
     log = _log(spark, sf_dir)
-    last = log.groupBy(F.col("handle").alias("key")).agg(F.max_by(F.struct("value", "event_id"), F.struct("m", "event_id")).alias("x"))
-    return last.select("key", "x.value", F.col("x.event_id").alias("seq"))
+    last = ledger.replay_counters(log.select(F.col("handle").alias("key"), F.struct("value", "event_id").alias("value"), F.struct("m", "event_id").alias("seq")))
+    return last.select("key", "value.value", F.col("value.event_id").alias("seq"))
 
 
 @query(LOG_CTE + """, o AS (SELECT handle, value, row_number() OVER (PARTITION BY handle ORDER BY m DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY handle) AS n FROM e)
@@ -580,7 +582,7 @@ GRAPH_CTE = LOG_CTE + """, t AS (SELECT 'c' || lag(k) OVER (PARTITION BY handle
 g AS (SELECT a, b, max(confidence) AS confidence, count(*) AS touch_count, max(m) AS last_micros FROM t WHERE a IS NOT NULL AND a <> b GROUP BY 1, 2),
 c AS (SELECT g.*, round(least(1, greatest(0, confidence * exp(-greatest(1.0 / 60, (now - last_micros) / 3.6e9) / 72))), 9) AS w FROM g, n),
 ud AS (SELECT at_, to_, max(w) AS w FROM (SELECT a AS at_, b AS to_, w FROM c UNION ALL SELECT b, a, w FROM c) GROUP BY 1, 2),
-s0 AS (SELECT 'c' || k AS seed, 'c' || k AS handle, 1.0::DOUBLE AS activation FROM (SELECT DISTINCT k FROM e WHERE k < 10)),
+s0 AS (SELECT 'c' || k AS seed, 'c' || k AS handle, 1.0::DOUBLE AS activation FROM (SELECT DISTINCT k FROM e)),
 h1 AS (SELECT seed, to_ AS handle, max(round(activation * w * 0.5, 9)) AS activation FROM s0 JOIN ud ON handle = at_ WHERE round(activation * w * 0.5, 9) >= 0.05 GROUP BY 1, 2),
 f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY activation DESC, handle) AS nth FROM h1) WHERE nth <= 16),
 h2 AS (SELECT seed, to_ AS handle, max(round(activation * w * 0.5, 9)) AS activation FROM f1 JOIN ud ON handle = at_ WHERE round(activation * w * 0.5, 9) >= 0.05 GROUP BY 1, 2)
@@ -604,8 +606,8 @@ def edge_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH_CTE + "SELECT seed, handle, round(max(activation), 6) AS activation FROM (SELECT * FROM s0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2")
 def diffusion_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreading activation over two hops from the first ten keys."""
-    seeds = _log(spark, sf_dir).filter("k < 10").select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("seed")).distinct()
+    """Spreading activation over two hops from every key."""
+    seeds = _log(spark, sf_dir).select(F.concat(F.lit("c"), F.col("k").cast("string")).alias("seed")).distinct()
     seeds = seeds.select("seed", F.col("seed").alias("handle"), F.lit(1.0).alias("activation"))
     return graph.diffuse(seeds, graph.undirected(_edges(spark, sf_dir))).select("seed", "handle", F.round("activation", 6).alias("activation"))
 
@@ -685,7 +687,8 @@ def curator_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(THREAD_CTE + "SELECT handle, members, cohesion FROM t WHERE members >= 5 AND cohesion >= 0.9")
 def promote_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals that are large and tight enough."""
-    return _threads(spark, sf_dir).filter("members >= 5 and cohesion >= 0.9").select("handle", "members", "cohesion")
+    rows_ = _threads(spark, sf_dir).withColumnRenamed("m", "micros")
+    return threads.proposals(rows_, F.lit(0)).filter("promoted").select("handle", "members", "cohesion")
 
 
 @query("""SELECT source_id, count(*) AS pieces, 'proposed-' || left(sha256(string_agg(chunk_id || chr(10), '' ORDER BY chunk_id)), 8) AS handle FROM (SELECT DISTINCT source_id, chunk_id FROM ingest_chunks) GROUP BY 1""")
@@ -695,16 +698,20 @@ def proposed_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("source_id", F.size("ids").cast("long").alias("pieces"), text.proposed_handle(F.col("ids")).alias("handle"))
 
 
-@query(THREAD_CTE + """, d AS (SELECT project, max(cohesion) AS density, max(members) AS size FROM t GROUP BY 1),
+@query(THREAD_CTE + SIGNAL_CTE.replace("WITH r AS", ", r AS").replace("n AS (SELECT max(m) AS now FROM r)", "nv AS (SELECT max(m) AS now FROM r)") + """, vx AS (SELECT project, unnest(range(1, 65)) AS i, e FROM r WHERE NOT stale), vk AS (SELECT project, i, avg(e[i]) AS a FROM vx GROUP BY 1, 2 HAVING count(*) >= 10),
+vb AS (SELECT project, list(a ORDER BY i) AS mean FROM vk GROUP BY 1), vg AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(e[i]) AS a FROM vx GROUP BY 1)),
+w AS (SELECT r.project, avg(round(greatest(0, 1 - list_cosine_similarity(e, coalesce(vb.mean, vg.mean))), 6)) AS novelty FROM r LEFT JOIN vb USING (project), vg WHERE NOT stale GROUP BY 1),
+d AS (SELECT project, max(cohesion) AS density, max(members) AS size FROM t GROUP BY 1),
 a AS (SELECT coalesce(project, '') AS project, count(*) AS lines FROM session_messages GROUP BY 1), y AS (SELECT *, lines / (SELECT max(lines) FROM a)::DOUBLE AS activity FROM a)
-SELECT project, round((coalesce(density, 0) + coalesce(activity, 0)) / 3, 6) AS composite, (density IS NOT NULL) AS has_density FROM d FULL JOIN y USING (project) WHERE coalesce(density, 1) >= 0.5""")
+SELECT project, round((coalesce(density, 0) + coalesce(activity, 0) + coalesce(novelty, 0)) / 3, 6) AS composite, (density IS NOT NULL) AS has_density FROM d FULL JOIN y USING (project) FULL JOIN w USING (project) WHERE coalesce(density, 1) >= 0.5 AND coalesce(novelty, 1) >= 0.3""")
 def thread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density and activity of each project in one composite; a missing axis passes its filter and counts 0."""
+    """Density, activity and novelty of each project in one composite; a missing axis passes its filter and counts 0."""
     d = _threads(spark, sf_dir).groupBy("project").agg(F.max("cohesion").alias("density"))
     a = table(spark, sf_dir, "session_messages").groupBy(F.coalesce("project", F.lit("")).alias("project")).agg(F.count(F.lit(1)).alias("lines"))
     a = a.crossJoin(a.agg(F.max("lines").alias("most"))).select("project", (F.col("lines") / F.col("most")).alias("activity"))  # one row
-    both = d.join(a, "project", "full").filter("coalesce(density, 1) >= 0.5")
-    score = signals.composite({"density": F.col("density"), "activity": F.col("activity"), "novelty": F.lit(None).cast("double")}, {})
+    n = novelty_scores(spark, sf_dir).join(_signal_rows(spark, sf_dir).select("vec_id", "project"), "vec_id").groupBy("project").agg(F.avg("novelty").alias("novelty"))
+    both = d.join(a, "project", "full").join(n, "project", "full").filter("coalesce(density, 1) >= 0.5 and coalesce(novelty, 1) >= 0.3")
+    score = signals.composite({"density": F.col("density"), "activity": F.col("activity"), "novelty": F.col("novelty")}, {})
     return both.select("project", score.alias("composite"), F.col("density").isNotNull().alias("has_density"))
 
 
@@ -733,7 +740,7 @@ def page_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lens_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seats of each query's best hits under a token budget, no text twice."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.size(F.split("text", r"\s+")).alias("n_tokens"))
-    hits = _recall(spark, sf_dir, F.coalesce("source_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))), S.LENS_K)
+    hits = _recall(spark, sf_dir, S.LENS_K)
     return ledger.portfolio(hits.select("query_id", "id", "score").join(docs, "id"))
 
 
@@ -819,17 +826,17 @@ def jaccard_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("project", F.round(1 - F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("drift"))
 
 
-@query("""SELECT chunk_id, 'missing' AS side FROM (SELECT chunk_id FROM ingest_chunks EXCEPT SELECT chunk_id FROM candidate_vectors) UNION ALL SELECT chunk_id, 'extra' FROM (SELECT chunk_id FROM candidate_vectors EXCEPT SELECT chunk_id FROM ingest_chunks)""")
+@query("""SELECT chunk_id, 'missing' AS side FROM (SELECT chunk_id FROM ingest_chunks WHERE source <> 'code' EXCEPT SELECT chunk_id FROM candidates) UNION ALL SELECT chunk_id, 'extra' FROM (SELECT chunk_id FROM candidates EXCEPT SELECT chunk_id FROM ingest_chunks WHERE source <> 'code')""")
 def missing_extra_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids on one side only."""
-    a, b = table(spark, sf_dir, "ingest_chunks").select("chunk_id"), table(spark, sf_dir, "candidate_vectors").select("chunk_id")
+    """Ids on one side only: pieces that no query retrieved, and retrieved ones of code."""
+    a, b = table(spark, sf_dir, "ingest_chunks").filter("source <> 'code'").select("chunk_id"), table(spark, sf_dir, "candidates").select("chunk_id")
     return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("extra")))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{2,})', 1)) AS word FROM documents WHERE text IS NOT NULL AND lower(lang) = 'en')
+@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{2,})', 1)) AS word FROM documents WHERE text IS NOT NULL)
 SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def prose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words inside sentences that three documents share."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and lower(lang) = 'en'")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
     found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z,;] ([A-Z][a-z]{2,})"), 1)).alias("w"))
     return found.groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).filter("docs >= 3")
