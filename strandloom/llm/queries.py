@@ -127,7 +127,35 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.session_blocks(table(spark, sf_dir, "session_messages")).unionByName(splitting.symbol_bodies(table(spark, sf_dir, "emits")))
 
 
-@query()
+# Every character start with the last boundary of each rank within the limit, by as-of joins; then the chain from 0.
+P2_SQL = r"""
+WITH RECURSIVE it AS (
+  SELECT item_table || ':' || item_id || ':' || block_no AS key, *, strlen(text) AS size FROM (
+    SELECT 'session_messages' AS item_table, row_id AS item_id, (i - 1)::INT AS block_no, b.text AS text
+    FROM (SELECT row_id, unnest(message.content) AS b, generate_subscripts(message.content, 1) AS i FROM session_messages WHERE line_type IN ('user', 'assistant')) WHERE b.type = 'text'
+    UNION ALL SELECT 'emits', emit_id, 0, body FROM emits)
+  WHERE text IS NOT NULL AND strlen(text) > 8000),
+ln AS (SELECT key, size, l, i FROM (SELECT key, size, string_split(text, chr(10)) AS a FROM it), unnest(a) WITH ORDINALITY AS u(l, i)),
+lo AS (
+  SELECT key, size, sum(strlen(l) + 1) OVER w - strlen(l) - 1 AS place, regexp_full_match(l, '[ 	]*') AS blank, lag(regexp_full_match(l, '[ 	]*')) OVER w AS after_blank,
+         coalesce(sum(regexp_matches(l, '^[ 	]*```')::INT) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced
+  FROM ln WINDOW w AS (PARTITION BY key ORDER BY i)),
+line AS (SELECT key, place FROM lo WHERE place > 0 AND place < size),
+para AS (SELECT key, place FROM lo WHERE place > 0 AND place < size AND NOT blank AND after_blank AND NOT fenced),
+ch AS (SELECT key, size, c, sum(strlen(c)) OVER (PARTITION BY key ORDER BY i) - strlen(c) AS place FROM (SELECT key, size, regexp_extract_all(text, '(?s).') AS a FROM it), unnest(a) WITH ORDINALITY AS u(c, i)),
+gap AS (SELECT key, place + 1 AS place FROM ch WHERE c = ' ' AND place + 1 < size),
+anyc AS (SELECT key, place FROM ch WHERE place > 0),
+p AS (SELECT key, place AS s, place + 8000 AS far FROM ch WHERE place + 8000 < size),
+n AS MATERIALIZED (
+  SELECT p.key, s, CASE WHEN a.place > s THEN a.place WHEN b.place > s THEN b.place WHEN g.place > s THEN g.place ELSE o.place END AS cut
+  FROM p ASOF LEFT JOIN para a ON p.key = a.key AND p.far >= a.place ASOF LEFT JOIN line b ON p.key = b.key AND p.far >= b.place
+  ASOF LEFT JOIN gap g ON p.key = g.key AND p.far >= g.place ASOF LEFT JOIN anyc o ON p.key = o.key AND p.far >= o.place),
+r AS (SELECT key, 0::HUGEINT AS s FROM it UNION SELECT n.key, n.cut FROM r JOIN n ON n.key = r.key AND n.s = r.s)
+SELECT item_table, item_id, block_no, s::BIGINT AS cut_byte FROM r JOIN it USING (key) WHERE s > 0
+"""
+
+
+@query(P2_SQL)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the pieces after the first begin."""
     pieces = splitting.split_items(_items(spark, sf_dir), oversized_only=True)
@@ -231,7 +259,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 P9_PLAN_SQL = """
 WITH d AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1),
 t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(max_repeats) AS repeats FROM mix_targets GROUP BY 1),
-n AS (
+n AS MATERIALIZED (
   SELECT t.source, share / (SELECT sum(share) FROM t) AS target_share, repeats::INT AS max_repeats, coalesce(size, 0)::BIGINT AS size, (SELECT sum(size) FROM d) AS total
   FROM t LEFT JOIN d USING (source))
 SELECT source, round(target_share, 9) AS target_share, max_repeats, size, round(target_share * total)::BIGINT AS wanted,
