@@ -43,13 +43,14 @@ def sections(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?m)(?=^##(?:[ ]|\r?$))"), lambda s: F.rtrim(F.regexp_replace(s, r"\s+$", ""))), lambda s: s.rlike(r"\S"))
 
 
-def markdown(spark: SparkSession, root: str, config: str = "", paths: list[str] | None = None) -> DataFrame:
-    """``.md`` files cut at second-level headings, oversized sections packed."""
+def markdown(spark: SparkSession, root: str, config: str = "", paths: list[str] | None = None, source: str = "markdown", prefix: str = "") -> DataFrame:
+    """``.md`` files cut at second-level headings, oversized sections packed; ``prefix``
+    goes before their ids."""
     found = files(spark, root, "*.[mM][dD]", paths=paths)
-    rows = found.select("source_id", F.col("modificationTime").alias("ts"), F.posexplode(sections(as_text(F.col("content")))).alias("pos", "s"))
+    rows = found.select(F.concat(F.lit(prefix), "source_id").alias("source_id"), F.col("modificationTime").alias("ts"), F.posexplode(sections(as_text(F.col("content")))).alias("pos", "s"))
     large = F.octet_length("s") / 4 > CHUNK_TOKENS
     rows = rows.select("source_id", "ts", "pos", F.posexplode(F.when(large, _packed(F.when(large, F.col("s")))).otherwise(F.array("s"))).alias("part", "text"))
-    return as_chunks(rows, "markdown", ["pos", "part"], config=config)
+    return as_chunks(rows, source, ["pos", "part"], config=config)
 
 
 def plain(spark: SparkSession, root: str, glob: str = "*.txt", config: str = "") -> DataFrame:
@@ -118,9 +119,9 @@ def _symbols(texts: pd.Series, paths: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None else symbols(t, p) for t, p in zip(texts, paths)])
 
 
-def code(spark: SparkSession, root: str, glob: str = "*.{py,rs,go,js,ts,tsx}", config: str = "") -> DataFrame:
-    """Code files by symbol; files without any by windows of lines."""
-    found = files(spark, root, glob).select("source_id", F.col("modificationTime").alias("ts"), as_text(F.col("content")).alias("t"))
+def code(spark: SparkSession, root: str, glob: str = "*.{py,rs,go,js,ts,tsx}", config: str = "", prefix: str = "") -> DataFrame:
+    """Code files by symbol; files without any by windows of lines; ``prefix`` goes before their ids."""
+    found = files(spark, root, glob).select(F.concat(F.lit(prefix), "source_id").alias("source_id"), F.col("modificationTime").alias("ts"), as_text(F.col("content")).alias("t"))
     found = found.withColumn("symbols", _symbols("t", "source_id"))
     named = found.filter(F.size("symbols") > 0).select("source_id", "ts", F.posexplode("symbols").alias("pos", "s"))
     extra = F.to_json(F.struct(F.col("s.kind").alias("kind"), F.array("s.name").alias("symbols"), F.col("s.first").alias("line_start"), F.col("s.last").alias("line_end")))

@@ -115,10 +115,13 @@ def decisions(spark: SparkSession, root: str, config: str = "") -> DataFrame:
     return as_chunks(rows.select(F.concat_ws("#", "source_id", "key").alias("source_id"), "line_no", F.to_timestamp(get("$.timestamp")).alias("ts"), text.alias("text")), "decision", ["line_no"], config=config)
 
 
-def audit_rows(spark: SparkSession, root: str, glob: str = "{journal,audit}.jsonl") -> DataFrame:
-    """Audit lines as rows; the key is the place of the line, so reading again gives it again."""
+def audit_rows(spark: SparkSession, root: str, glob: str = "{journal,audit}.jsonl", among: DataFrame | None = None) -> DataFrame:
+    """Audit lines as rows; the key is the place of the line, so reading again gives it
+    again.  ``among``: the files (source_id) to read."""
     get = lambda p: F.get_json_object("line", p)
-    rows = _lines(spark, root, glob).filter(get("$.event").isNotNull() | get("$.ts").isNotNull())
+    lines = _lines(spark, root, glob)
+    lines = lines if among is None else lines.join(among, "source_id", "left_semi")
+    rows = lines.filter(get("$.event").isNotNull() | get("$.ts").isNotNull())
     return rows.select(
         F.sha2(F.concat_ws(":", "source_id", F.col("line_no").cast("string"), "line"), 256).alias("row_key"), get("$.project").alias("project"), get("$.ts").alias("ts"), get("$.event").alias("event"), get("$.tool").alias("tool"), get("$.agent").alias("agent"),
         get("$.success").cast("boolean").alias("success"), get("$.exit_code").cast("long").alias("exit_code"), get("$.duration_ms").cast("long").alias("duration_ms"), F.col("line").alias("raw"),
