@@ -161,6 +161,19 @@ def ignored(path: Column, lines: list[str]) -> Column:
     return out
 
 
+def _read(spark: SparkSession, path: str) -> str:
+    """A small configuration file, hidden or not; empty where there is none."""
+    if not _there(spark, path):
+        return ""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def walked(spark: SparkSession, root: str, glob: str | None = None, names: tuple[str, ...] = (".gitignore", ".scanignore"), more: tuple[str, ...] = ()) -> DataFrame:
     """``files`` without those that the root's ignore files or ``more`` rules leave out.
 
@@ -168,6 +181,5 @@ def walked(spark: SparkSession, root: str, glob: str | None = None, names: tuple
     """
     lines: list[str] = []
     for name in names:
-        if _there(spark, f"{root.rstrip('/')}/{name}"):
-            lines += [r["value"] for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()]
+        lines += _read(spark, f"{root.rstrip('/')}/{name}").splitlines()
     return files(spark, root, glob).filter(~ignored(F.col("source_id"), [*lines, *more]))
