@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,3 +67,22 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, at least 0; 2 where it is undefined."""
     fine = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0)
     return F.when(fine, F.greatest(F.lit(0.0), 1 - cosine(a, b))).otherwise(F.lit(2.0))
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(vectors: pd.Series) -> pd.Series:
+    """Vectors as bytes: single precision, the lowest byte first; null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpacked(data: pd.Series) -> pd.Series:
+    """Bytes of ``packed`` as vectors; bytes that are no whole elements are null."""
+    return data.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+
+def stub_embedding(text: Column) -> Column:
+    """A vector of 32 elements of length 1 from a text's hash: a stand-in for tests."""
+    code = F.sha2(text, 256)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    return F.transform(raw, lambda x: x / norm(raw))

@@ -164,3 +164,36 @@ def rank_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select("query_id", "id", F.col("place").alias("before"))
     y = b.select("query_id", "id", F.col("place").alias("after"))
     return x.join(y, ["query_id", "id"], "full").withColumn("delta", F.col("before") - F.col("after"))
+
+
+def supporting_hit(hits: DataFrame) -> DataFrame:
+    """(query_id, id): of the hits (query_id, handle, id, score, source_id, symbol) the best
+    whose file stem or symbol is the handle, else the first."""
+    slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
+    stem = F.regexp_replace(F.regexp_extract("source_id", "([^/]+)$", 1), r"\.[^.]*$", "")
+    tail = F.regexp_extract(F.coalesce("symbol", F.lit("")), "([^.:]+)$", 1)
+    same = F.coalesce((slug(stem) == F.col("handle")) | (slug(tail) == F.col("handle")), F.lit(False))
+    best = F.min_by("id", F.struct(~same, -F.col("score"), F.col("id")))
+    return hits.groupBy("query_id", "handle").agg(best.alias("id"), F.max(same).alias("named"))
+
+
+def synthesised(hits: DataFrame, lineage: int = 3, evidence: int = 3) -> DataFrame:
+    """(query_id, page, head, total, lineage, evidence): hits folded to pages by symbol,
+    else by file.  A stale hit tells how the page evolved, one of a transcript how it is
+    used, the others are primary; the best primary one, else the best, is the head.
+
+    ``hits``: (query_id, id, score, stale, transcript, symbol, source_id).
+    """
+    role = F.when(F.col("stale"), "evolution").when(F.col("transcript"), "usage").otherwise("primary")
+    rows = hits.withColumn("page", F.coalesce("symbol", "source_id")).withColumn("role", role)
+    item = F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))
+    of = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, item)))
+    head = F.min_by("id", F.struct(F.col("role") != "primary", -F.col("score"), F.col("id")))
+    pages = rows.groupBy("query_id", "page").agg(head.alias("head"), F.count(F.lit(1)).alias("total"), of("evolution").alias("e"), of("usage").alias("u"))
+    ids = lambda c, n: F.slice(F.transform(c, lambda x: x["id"]), 1, n)
+    return pages.select("query_id", "page", "head", "total", ids("e", lineage).alias("lineage"), ids("u", evidence).alias("evidence"))
+
+
+def pseudo_query(label: Column, entities: Column) -> Column:
+    """A concept's label and its entities as one query text."""
+    return F.concat_ws(" ", label, entities)

@@ -136,3 +136,9 @@ def drift(corpus: DataFrame, manifest: DataFrame, key: str = "chunk_id") -> Data
     both = a.join(b, key, "full")
     n = lambda c: F.count(F.when(c, 1))
     return both.agg(n(F.col("a").isNull()).alias("extra"), n(F.col("b").isNull()).alias("missing"), n(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), n(F.col("a") > 1).alias("doubled_corpus"), n(F.col("b") > 1).alias("doubled_manifest"))
+
+
+def facet_list(facets: Column) -> Column:
+    """The map of ``facet_map`` back to sorted ``key:value`` strings."""
+    each = F.transform(F.map_entries(facets), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit(":"), v)))
+    return F.array_sort(F.flatten(each))

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from strandloom import schema as S
 from strandloom.functions import vec
 from strandloom.operators.products import products
+from strandloom.session import cut
 
 # Curves of evidence edges.
 TOUCH_SATURATION, EDGE_DECAY_HIGH, EDGE_DECAY_LOW = 8, 0.08, 0.01
@@ -225,3 +226,60 @@ def components(rows: DataFrame, cosine: float = S.CLUSTER_COSINE, size: int = S.
         return pd.DataFrame(out, columns=["handle", "members", "cohesion", "ids"])
 
     return rows.select("id", "v", F.lit(0).alias("g")).groupBy("g").applyInPandas(fold, "handle string, members long, cohesion double, ids array<string>")
+
+
+def anchor_snapshot(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Threads (handle, anchor, ...) with their anchor's vector, null where it is gone."""
+    return rows.join(vectors.select(F.col("id").alias("anchor"), "v"), "anchor", "left")
+
+
+def anchor_fallback(rows: DataFrame) -> DataFrame:
+    """(handle, scope, v): a scope's own anchor, else that of the first other scope by
+    name that has one that is not empty; ``rows``: (handle, scope, v)."""
+    full = F.when(F.size("v") > 0, F.col("v"))
+    other = rows.select("handle", full.alias("v"), "scope").filter("v is not null").groupBy("handle").agg(F.min_by("v", "scope").alias("any"))
+    return rows.withColumn("v", full).join(other, "handle", "left").select("handle", "scope", F.coalesce("v", "any").alias("v"))
+
+
+def reanchored(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(handle, v, origin): the cached vector, else the anchor chunk's, else an orphan;
+    ``rows``: (handle, anchor, cached)."""
+    both = rows.join(vectors.select(F.col("id").alias("anchor"), F.col("v").alias("held")), "anchor", "left")
+    cached = F.when(F.size("cached") > 0, F.col("cached"))
+    origin = F.when(cached.isNotNull(), "cached").when(F.col("held").isNotNull(), "chunk").otherwise("orphan")
+    return both.select("handle", F.coalesce(cached, F.col("held")).alias("v"), origin.alias("origin"))
+
+
+def near_duplicates(anchors: DataFrame, cosine: float = S.MERGE_COSINE) -> DataFrame:
+    """(handle, into): threads whose anchors are almost one, merged greedily.
+
+    Pairs are looked at in order of their names; of a pair the one with more
+    resonance stays, the older on a tie; a merged thread is out of play.  The fold is
+    over linked groups, each a task of its own.  ``anchors``: (handle, v, resonance, micros).
+    """
+    near = products(anchors.select(F.col("handle").alias("id"), "v"), anchors.select(F.col("handle").alias("query_id"), "v"), "similarity", least=cosine).filter("query_id < id")
+    pairs = cut(near.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = cut(both.select(F.col("a").alias("handle")).distinct().withColumn("root", F.col("handle")))
+    while True:
+        low = both.join(label.withColumnRenamed("handle", "b"), "b").groupBy(F.col("a").alias("handle")).agg(F.min("root").alias("low"))
+        step = cut(label.join(low, "handle", "left").select("handle", "root", F.least("root", "low").alias("new")))
+        if step.filter("new < root").isEmpty():
+            break
+        label = step.select("handle", F.col("new").alias("root"))
+    info = anchors.select("handle", "resonance", "micros")
+    side = lambda c: info.select(F.col("handle").alias(c), F.col("resonance").alias(f"{c}_r"), F.col("micros").alias(f"{c}_m"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").join(label.withColumnRenamed("handle", "a"), "a")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        gone, out = set(), []
+        for r in group.sort_values(["a", "b"]).itertuples():
+            if r.a in gone or r.b in gone:
+                continue
+            stays = r.a_r > r.b_r or (r.a_r == r.b_r and r.a_m <= r.b_m)
+            keep, drop = (r.a, r.b) if stays else (r.b, r.a)
+            gone.add(drop)
+            out.append((drop, keep))
+        return pd.DataFrame(out, columns=["handle", "into"])
+
+    return rows.groupBy("root").applyInPandas(fold, "handle string, into string")

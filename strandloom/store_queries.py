@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.functions import text
 from strandloom.operators import concepts, graph, ledger, threads
+from strandloom.plans import memory
 from strandloom.queries import ANCHOR_CTE, GRAPH_CTE, LOG_CTE, SIGNAL_CTE, THREAD_CTE, _anchors, _edges, _log, _signal_rows, _threads, query
 from strandloom.ranking_queries import ACT_CTE, _activation, _lanes
 from strandloom.session import cut, table
@@ -440,3 +441,44 @@ def emergent_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of similar chunks in a sample of the newest, with a proposed name."""
     rows = threads.sample(_signal_rows(spark, sf_dir).withColumnRenamed("vec_id", "id"))
     return threads.components(rows.select("id", "v")).select("handle", "members", "cohesion")
+
+
+# ===================================================================== the tool surface ==
+
+
+@query("""SELECT 'source' AS what, source AS name, count(*) AS n, NULL::BIGINT AS micros FROM candidate_vectors GROUP BY 2 UNION ALL SELECT 'total', '', count(*), NULL FROM candidate_vectors
+UNION ALL SELECT 'last_scan', '', NULL, epoch_us(max(upserted_at)) FROM ingest_chunks UNION ALL SELECT 'audit', project, NULL, epoch_us(max(ts)) FROM session_messages WHERE project IS NOT NULL GROUP BY project""")
+def recall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the corpus, the last scan and the newest line of each project."""
+    manifest = table(spark, sf_dir, "ingest_chunks").select(F.unix_micros("upserted_at").alias("micros"))
+    audit = table(spark, sf_dir, "session_messages").select("project", F.unix_micros("ts").alias("micros"))
+    return memory.stats(table(spark, sf_dir, "candidate_vectors").select("source"), manifest, audit)
+
+
+@query(ACT_CTE + """, ss AS (SELECT 'c' || k AS handle, arg_max(CASE kind WHEN 'operator_selected' THEN 'active' WHEN 'recall_fault' THEN 'rejected' ELSE 'candidate' END, event_id) AS status FROM e GROUP BY 1),
+vw AS (SELECT CASE status WHEN 'active' THEN 'concepts' ELSE 'open_loops' END AS view, handle, activation AS score FROM ss JOIN act USING (handle) WHERE status <> 'rejected'),
+kk AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY score DESC, handle) AS place FROM vw), sv AS (SELECT handle, max(round(value / 100, 6)) AS score FROM e GROUP BY 1), so AS (SELECT handle, score, row_number() OVER (ORDER BY score DESC, handle) AS place FROM sv WHERE score >= 0.1)
+SELECT view, handle, score, place FROM kk WHERE place <= 10 UNION ALL SELECT 'now', handle, score, place FROM so WHERE place <= 10""")
+def memory_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of the moment, active concepts and open loops."""
+    scored = _log(spark, sf_dir).select("handle", F.round(F.col("value") / 100, 6).alias("score"), F.lit(False).alias("bridge"))
+    status = F.when(F.col("kind") == "operator_selected", "active").when(F.col("kind") == "recall_fault", "rejected").otherwise("candidate")
+    held = concepts.latest(_store(spark, sf_dir).withColumn("status", status), ["handle"], "status")
+    return memory.surfaced(scored, held.select("handle", "status"), _activation(spark, sf_dir).select("handle", "activation"))
+
+
+@query(THREAD_CTE + ANCHOR_CTE.replace("WITH r AS", ", r AS").replace("n AS (SELECT max(m) AS now FROM r)", "nn AS (SELECT max(m) AS now FROM r)") + """
+SELECT 'bridge' AS stage, p.project AS a, q.project AS b FROM an p JOIN an q ON p.project < q.project WHERE round(list_cosine_similarity(p.mean, q.mean), 6) >= 0.5
+UNION ALL SELECT 'promoted', handle, NULL FROM t WHERE members >= 5 AND cohesion >= 0.9
+UNION ALL SELECT 'abstract', handle, NULL FROM t WHERE members >= 5 AND resonance >= 20
+UNION ALL SELECT 'faded', handle, nx FROM (SELECT handle, CASE WHEN members >= 5 THEN 'active' ELSE 'slack' END AS st, CASE WHEN days >= 60 * (1 + least(resonance, 20) / 20.0) THEN 'dormant' WHEN days >= 14 * (1 + least(resonance, 20) / 20.0) AND members >= 5 THEN 'slack' ELSE CASE WHEN members >= 5 THEN 'active' ELSE 'slack' END END AS nx FROM t) WHERE nx <> st""")
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of a consolidation that SQL states: all but the greedy merges."""
+    anchors = _anchors(spark, sf_dir).select(F.col("project").alias("handle"), F.col("mean").alias("v"), F.lit(0).alias("resonance"), F.lit(0).cast("long").alias("micros"))
+    t = _threads(spark, sf_dir).withColumn("state", F.when(F.col("members") >= 5, "active").otherwise("slack")).withColumnRenamed("days", "idle_days")
+    stages = memory.consolidated(anchors, t.withColumnRenamed("m", "micros"), t, F.lit(0), bridge=0.5)
+    none = F.lit(None).cast("string").alias("b")
+    out = stages["bridges"].select(F.lit("bridge").alias("stage"), "a", "b")
+    for name in ("promoted", "abstract"):
+        out = out.unionByName(stages[name].select(F.lit(name).alias("stage"), F.col("handle").alias("a"), none))
+    return out.unionByName(stages["faded"].select(F.lit("faded").alias("stage"), F.col("handle").alias("a"), F.col("next").alias("b")))

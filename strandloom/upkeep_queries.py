@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandloom.functions import text, vec
-from strandloom.operators import changes, rows, upkeep
+from strandloom.operators import changes, retrieval, rows, threads, upkeep
 from strandloom.queries import query
 from strandloom.session import fresh_dir, table
 
@@ -206,3 +206,79 @@ def distinct_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = F.forall("dense_embedding", lambda x: F.coalesce(~F.isnan(x) & (x != 0), F.lit(False)))
     found = table(spark, sf_dir, "candidate_vectors").filter(F.col("dense_embedding").isNotNull() & fine)
     return found.select(F.xxhash64("dense_embedding").alias("h"), F.xxhash64("dense_embedding", F.lit(1)).alias("g")).distinct().agg(F.count(F.lit(1)).alias("distinct_vectors"))
+
+
+@query("""WITH c AS (SELECT query_id, chunk_id AS id, max(round(bm25_score::DOUBLE, 6)) AS score FROM candidates WHERE bm25_score IS NOT NULL AND NOT isnan(bm25_score) GROUP BY 1, 2),
+j AS (SELECT c.*, source_id, regexp_replace(lower(split_part(source_id, '/', 1)), '[^a-z0-9]+', '-', 'g') AS handle, regexp_replace(lower(regexp_replace(regexp_extract(source_id, '([^/]+)$', 1), '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g') AS stem,
+  regexp_replace(lower(regexp_extract(CASE WHEN chunk_index % 4 = 0 THEN split_part(source_id, '/', 1) ELSE '' END, '([^.:]+)$', 1)), '[^a-z0-9]+', '-', 'g') AS tail FROM c JOIN (SELECT DISTINCT chunk_id AS id, source_id, chunk_index FROM ingest_chunks) USING (id))
+SELECT query_id, handle, arg_min(id, (stem <> handle AND tail <> handle, -score, id)) AS id, bool_or(stem = handle OR tail = handle) AS named FROM j GROUP BY 1, 2""".replace("\\\\", "\\"))
+def supporting_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit that speaks for each folder's handle."""
+    score = table(spark, sf_dir, "candidates").filter("bm25_score is not null and not isnan(bm25_score)").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.max(F.round(F.col("bm25_score").cast("double"), 6)).alias("score"))
+    at = table(spark, sf_dir, "ingest_chunks").select(F.col("chunk_id").alias("id"), "source_id", "chunk_index").distinct()
+    folder = F.substring_index("source_id", "/", 1)
+    hits = score.join(at, "id").withColumn("handle", F.regexp_replace(F.lower(folder), "[^a-z0-9]+", "-")).withColumn("symbol", F.when(F.col("chunk_index") % 4 == 0, folder))
+    return retrieval.supporting_hit(hits)
+
+
+@query("""WITH c AS (SELECT query_id, chunk_id AS id, max(round(bm25_score::DOUBLE, 6)) AS score FROM candidates WHERE bm25_score IS NOT NULL AND NOT isnan(bm25_score) GROUP BY 1, 2),
+v AS (SELECT chunk_id AS id, bool_or(stale) AS stale, bool_or(source IN ('claude_code', 'codex', 'gemini')) AS transcript, min(project) AS symbol FROM candidate_vectors GROUP BY 1),
+r AS (SELECT c.*, coalesce(symbol, 'none') AS page, CASE WHEN stale THEN 'evolution' WHEN transcript THEN 'usage' ELSE 'primary' END AS role FROM c JOIN v USING (id))
+SELECT query_id, page, arg_min(id, (role <> 'primary', -score, id)) AS head, count(*) AS total,
+  array_to_string(coalesce(list(id ORDER BY score DESC, id) FILTER (role = 'evolution'), [])[1:3], ' ') AS lineage, array_to_string(coalesce(list(id ORDER BY score DESC, id) FILTER (role = 'usage'), [])[1:3], ' ') AS evidence FROM r GROUP BY 1, 2""")
+def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each query with head, lineage and use."""
+    score = table(spark, sf_dir, "candidates").filter("bm25_score is not null and not isnan(bm25_score)").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.max(F.round(F.col("bm25_score").cast("double"), 6)).alias("score"))
+    held = table(spark, sf_dir, "candidate_vectors").groupBy(F.col("chunk_id").alias("id")).agg(F.bool_or("stale").alias("stale"), F.bool_or(F.col("source").isin("claude_code", "codex", "gemini")).alias("transcript"), F.min("project").alias("symbol"))
+    pages = retrieval.synthesised(score.join(held, "id").withColumn("source_id", F.lit("none")))
+    return pages.select("query_id", "page", "head", "total", F.array_join("lineage", " ").alias("lineage"), F.array_join("evidence", " ").alias("evidence"))
+
+
+@query("""WITH v AS (SELECT chunk_id AS id, arg_min(dense_embedding, vec_id) AS e FROM candidate_vectors WHERE dense_embedding IS NOT NULL AND len(dense_embedding) = 64 AND NOT stale GROUP BY 1),
+t AS (SELECT DISTINCT source_id AS handle, min(chunk_id) AS anchor, count(*) % 3 = 0 AS cached FROM ingest_chunks GROUP BY source_id)
+SELECT handle, CASE WHEN cached THEN 'cached' WHEN e IS NOT NULL THEN 'chunk' ELSE 'orphan' END AS origin, CASE WHEN cached THEN 1 WHEN e IS NOT NULL THEN 64 ELSE -1 END AS width FROM t LEFT JOIN v ON v.id = anchor""")
+def reanchor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each file's anchor vector comes from."""
+    vectors = table(spark, sf_dir, "candidate_vectors").filter((F.size("dense_embedding") == 64) & ~F.col("stale")).groupBy(F.col("chunk_id").alias("id")).agg(F.min_by("dense_embedding", "vec_id").alias("v"))
+    files = table(spark, sf_dir, "ingest_chunks").groupBy(F.col("source_id").alias("handle")).agg(F.min("chunk_id").alias("anchor"), F.count(F.lit(1)).alias("n"))
+    files = files.withColumn("cached", F.when(F.col("n") % 3 == 0, F.array(F.lit(1.0).cast("float"))))
+    return threads.reanchored(files, vectors).select("handle", "origin", F.coalesce(F.size("v"), F.lit(-1)).alias("width"))
+
+
+@query("""WITH v AS (SELECT project, snippet IS NULL AS scope, dense_embedding AS e, vec_id FROM candidate_vectors WHERE project IS NOT NULL AND dense_embedding IS NOT NULL AND len(list_filter(dense_embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+a AS (SELECT project AS handle, 's' || vec_id % 7 AS scope, CASE WHEN vec_id % 3 = 0 THEN len(arg_min(e, vec_id)) ELSE 0 END AS n, vec_id FROM v GROUP BY 1, 2, vec_id), s AS (SELECT handle, scope, max(n) AS n FROM a GROUP BY 1, 2), o AS (SELECT handle, arg_min(n, scope) AS other FROM s WHERE n > 0 GROUP BY 1)
+SELECT handle, scope, CASE WHEN n > 0 THEN n ELSE other END AS width FROM s LEFT JOIN o USING (handle)""")
+def anchor_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope's own anchor, else another scope's."""
+    fine = F.forall("dense_embedding", lambda x: F.coalesce(~F.isnan(x), F.lit(False)))
+    held = table(spark, sf_dir, "candidate_vectors").filter(F.col("project").isNotNull() & F.col("dense_embedding").isNotNull() & fine)
+    scope = F.concat(F.lit("s"), (F.col("vec_id") % 7).cast("string"))
+    mine = F.when(F.col("vec_id") % 3 == 0, F.col("dense_embedding")).otherwise(F.array().cast("array<float>"))
+    rows_ = held.groupBy(F.col("project").alias("handle"), scope.alias("scope")).agg(F.max_by(mine, F.size(mine)).alias("v"))
+    return threads.anchor_fallback(rows_).select("handle", "scope", F.when(F.col("v").isNotNull(), F.size("v")).alias("width"))
+
+
+@query("""SELECT vec_id, len(dense_embedding) * 4 AS bytes, round(list_sum(list_transform(dense_embedding, lambda x: x::DOUBLE)), 4) AS total FROM candidate_vectors WHERE dense_embedding IS NOT NULL AND len(list_filter(dense_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(dense_embedding) > 0""")
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as bytes and back."""
+    finite = F.forall("dense_embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    held = table(spark, sf_dir, "candidate_vectors").filter((F.size("dense_embedding") > 0) & finite).select("vec_id", vec.packed("dense_embedding").alias("data"))
+    back = held.select("vec_id", F.octet_length("data").cast("long").alias("bytes"), vec.unpacked("data").alias("v"))
+    return back.select("vec_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double")), 4).alias("total"))
+
+
+@query("""WITH f AS (SELECT doc_id, list_filter(['lang:' || lang, 'project:' || project, 'kind:' || doc_kind, 'project:' || lower(trim(source))], lambda x: x IS NOT NULL AND NOT ends_with(x, ':')) AS f FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(f)), '|') AS facets FROM f""")
+def facet_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets as a map of value lists and back as a list."""
+    c = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("project:"), "project"), F.concat(F.lit("kind:"), "doc_kind"), F.concat(F.lit("project:"), F.lower(F.trim("source")))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(rows.facet_list(rows.facet_map(c)), "|").alias("facets"))
+
+
+@query()
+def near_duplicate_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks' anchors that are almost one, merged greedily."""
+    finite = F.forall("dense_embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    held = table(spark, sf_dir, "candidate_vectors").filter((F.size("dense_embedding") == 64) & finite & F.exists("dense_embedding", lambda x: x != 0) & F.col("project").isNotNull())
+    anchors = held.groupBy(F.concat_ws("/", "project", "source").alias("handle")).agg(F.min_by("dense_embedding", "vec_id").alias("v"), F.count(F.lit(1)).alias("resonance"), F.unix_micros(F.min("ts")).alias("micros"))
+    return threads.near_duplicates(anchors, 0.9)

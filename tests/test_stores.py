@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions import text, vec
-from strandloom.operators import concepts, order, threads, upkeep
+from strandloom.operators import concepts, graph, order, threads, upkeep
+from strandloom.plans import memory
 from strandloom.session import fresh_dir
 from strandloom.streaming import observer
 
@@ -160,3 +161,40 @@ def test_streaming_upkeep(spark):
     assert rows(observer.stale_ingest(journals, newest, 1.0), "project", "behind_s") == [("q", 10.0)]
     turns = spark.createDataFrame([("s", 1, "one two got it three four"), ("s", 2, "nothing here")], "session_id string, turn int, text string")
     assert rows(observer.membrane(turns, 3), "turn", "trigger", "text") == [(1, "got it", "two got it")]
+
+
+# -- the tool surface -------------------------------------------------------------
+
+
+def test_near_duplicates_are_merged_greedily(spark):
+    a = [1.0, 0.0, 0.0]
+    rows_ = [("a", a, 1, 5), ("b", [1.0, 0.01, 0.0], 3, 9), ("c", [1.0, 0.0, 0.01], 3, 2), ("d", [0.0, 1.0, 0.0], 9, 1), ("e", [0.0, 1.0, 0.01], 9, 0), ("f", [0.0, 0.0, 1.0], 1, 1)]
+    df = spark.createDataFrame(rows_, "handle string, v array<double>, resonance long, micros long")
+    assert rows(threads.near_duplicates(df), "handle", "into") == [("a", "b"), ("b", "c"), ("d", "e")]
+    assert threads.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_tools(spark):
+    chunks = spark.createDataFrame([("a", "A", ["b", "x", "c"]), ("b", "B", []), ("c", "C", ["a"])], "id string, text string, parent_ids array<string>")
+    assert rows(memory.link(chunks, chunks.filter("id = 'a'")), "pos", "parent", "text") == [(0, "b", "B"), (2, "c", "C")]
+    hits = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (1, "c", 0.7)], "query_id long, id string, score double")
+    details = spark.createDataFrame([("a", True, False, "s", "f"), ("b", False, False, "s", "f"), ("c", False, True, None, "f")], "id string, stale boolean, transcript boolean, symbol string, source_id string")
+    pages, log = memory.fault(hits, details, 7)
+    assert rows(pages, "page", "head", "total", "lineage", "evidence") == [("f", "c", 1, [], ["c"]), ("s", "b", 2, ["a"], [])] and log.count() == 3
+    seeded = memory.remember(spark.createDataFrame([("p", "h", "decision")], "project string, handle string, kind string"), 4)
+    assert rows(concepts.ensured(seeded.unionByName(seeded)), "handle", "confidence") == [("h", 0.5)]
+    pairs = memory.connect(spark.createDataFrame([("a", "b"), ("a", "a")], "a string, b string"), "needs", 1, 2)
+    assert rows(graph.upserted_edges(pairs), "a", "b", "source") == [("a", "b", "authored")]
+    memory.register(spark)
+    assert spark.sql("SELECT sl_unpack_vector(sl_pack_vector(array(cast(1.5 as float), cast(-2 as float)))) v").first().v == [1.5, -2.0]
+    named = lambda ids: one(spark, memory.row_id("novelty", F.lit("p"), F.col("i")), i=ids)
+    assert named(["a", "b"]) == named(["b", "a"]) != named(["a"])
+    assert one(spark, F.size(vec.stub_embedding(F.col("t"))), t="x") == 32
+
+
+def test_pages_and_supporting_hits(spark):
+    hits = spark.createDataFrame([(1, "gate", "x", 9.0, "a/other.md", None), (1, "gate", "y", 1.0, "a/gate.md", None), (1, "lane", "z", 2.0, "a/b.md", "m::Lane"), (1, "none", "w", 1.0, "a/b.md", None)], "query_id long, handle string, id string, score double, source_id string, symbol string")
+    from strandloom.operators import retrieval
+
+    assert rows(retrieval.supporting_hit(hits), "handle", "id", "named") == [("gate", "y", True), ("lane", "z", True), ("none", "w", False)]
+    assert one(spark, retrieval.pseudo_query(F.col("a"), F.array(F.lit("x"), F.lit("y"))), a="gate") == "gate x y"
