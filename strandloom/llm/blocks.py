@@ -18,17 +18,18 @@ from strandloom.session import cut
 
 #: Rows that one block of an ordered group is meant to hold.
 BLOCK_ROWS = 200_000
-#: Most blocks of one group.
-MAX_BLOCKS = 512
+#: Most blocks of one group: one of three billion rows still has blocks of that size.
+MAX_BLOCKS = 16_384
 
 
 def hot_groups(df: DataFrame, group: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame | None:
-    """The groups of more than ``block_rows`` rows, written out; None for none.
+    """The groups of more than ``block_rows`` rows with their number ``_n``, written
+    out; None for none.
 
     Knowing them beforehand keeps the plans of ordinary groups free of the
     joins that cutting takes.
     """
-    hot = cut(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows).select(*group))
+    hot = cut(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows))
     return None if hot.isEmpty() else hot
 
 
@@ -45,10 +46,12 @@ def with_blocks(df: DataFrame, group: Sequence[str], order: str, block_rows: int
         return df.withColumn(name, F.lit(0))
     value = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
     keys = [F.col(c) for c in group]
-    fractions = [i / MAX_BLOCKS for i in range(1, MAX_BLOCKS)]
-    quantiles = df.join(hot, list(group), "left_semi").groupBy(*keys).agg(F.percentile_approx(value, fractions, 20_000).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    most = hot.agg(F.max("_n")).first()[0]
+    blocks = max(2, min(MAX_BLOCKS, 4 * -(-most // block_rows)))
+    fractions = [i / blocks for i in range(1, blocks)]
+    quantiles = df.join(hot, list(group), "left_semi").groupBy(*keys).agg(F.percentile_approx(value, fractions, max(20_000, 2 * blocks)).alias("_q"), F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(block_rows)))
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BLOCKS) / (step + 1))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(blocks) / (step + 1))).cast("int")
     cuts = quantiles.select(*keys, F.array_distinct(F.filter("_q", lambda q, i: i % step == step - 1)).alias("_cuts"))
     found = df.join(cut(cuts), list(group), "left")
     block = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < value)))
