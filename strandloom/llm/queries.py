@@ -137,8 +137,11 @@ WITH RECURSIVE it AS (
   WHERE text IS NOT NULL AND strlen(text) > 8000),
 ln AS (SELECT key, size, l, i FROM (SELECT key, size, string_split(text, chr(10)) AS a FROM it), unnest(a) WITH ORDINALITY AS u(l, i)),
 lo AS (
-  SELECT key, size, sum(strlen(l) + 1) OVER w - strlen(l) - 1 AS place, regexp_full_match(l, '[ 	]*') AS blank, lag(regexp_full_match(l, '[ 	]*')) OVER w AS after_blank,
-         coalesce(sum(regexp_matches(l, '^[ 	]*```')::INT) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced
+  SELECT key, size, sum(strlen(l) + 1) OVER w - strlen(l) - 1 AS place, regexp_full_match(l, '[ 	
+]*') AS blank, lag(regexp_full_match(l, '[ 	
+]*')) OVER w AS after_blank,
+         coalesce(sum(regexp_matches(l, '^[ 	
+]*```')::INT) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced
   FROM ln WINDOW w AS (PARTITION BY key ORDER BY i)),
 line AS (SELECT key, place FROM lo WHERE place > 0 AND place < size),
 para AS (SELECT key, place FROM lo WHERE place > 0 AND place < size AND NOT blank AND after_blank AND NOT fenced),
@@ -356,8 +359,8 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P4_SQL + "SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM k WHERE nth <= 5")
 def p4_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p4_found with buckets of 60 rows and 16 tables, so that few rows are hashed too."""
-    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82, bucket_rows=60, tables=16)
+    """As p4_found with 32 buckets and 6 tables at any size, so that few rows are hashed too."""
+    near = vectors.nearest(table(spark, sf_dir, "candidate_vectors"), "vec_id", "dense_embedding", k=5, least=0.82, buckets=32, tables=6, cell_rows=65_536)
     return vectors.similar_pairs(near, 0.82)
 
 
@@ -389,8 +392,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P3_SQL + "SELECT cluster_id, vec_id FROM k")
 def p3_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p3_found with buckets of 60 rows and 16 tables, so that few rows are hashed too."""
-    return _clusters(spark, sf_dir, bucket_rows=60, tables=16)
+    """As p3_found with 32 buckets and 6 tables at any size, so that few rows are hashed too."""
+    return _clusters(spark, sf_dir, buckets=32, tables=6, cell_rows=65_536)
 
 
 @query(P3_SQL + """

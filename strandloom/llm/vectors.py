@@ -174,16 +174,16 @@ SPREAD = "bucket long, home boolean, rep long, n long, ask boolean, v array<floa
 class Cells:
     """The buckets of a table of vectors, ready for work within each.
 
-    ``tables`` follow the number of buckets if not given; all other parameters
-    are the module's constants by default.  ``asked``: a condition on ``id``;
+    ``buckets`` follow the number of rows and ``tables`` the number of buckets if not
+    given; all other parameters are the module's constants by default.  ``asked``: a condition on ``id``;
     only rows that meet it are asked for, all rows are compared with them.
     """
 
-    def __init__(self, df: DataFrame, vec_id: str, vector: str, width: int = WIDTH, tables: int | None = None, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS, deeper: int = DEEPER, asked: Column | None = None):
+    def __init__(self, df: DataFrame, vec_id: str, vector: str, width: int = WIDTH, tables: int | None = None, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS, deeper: int = DEEPER, asked: Column | None = None, buckets: int | None = None):
         self.spark, self.width, self.cell_rows, self.bucket_rows, self.asked = df.sparkSession, width, cell_rows, bucket_rows, asked
         self.base = wide_rows(df, vec_id, vector, width)
         rows = self.base.count()
-        buckets = max(1, rows * probes // bucket_rows)
+        buckets = buckets or max(1, rows * probes // bucket_rows)
         self.hashing = CrossPolytope(width, buckets, tables or tables_for(width, buckets), probes)
         self._copies = self._find_copies()
         #: Representatives (rep, n, ask, v): one row for each different vector.
