@@ -16,15 +16,16 @@ from strandloom.operators import ranking, retrieval
 def hybrid_recall(chunks: DataFrame, texts: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, weights: Mapping[str, float], limit: int = S.LIMIT, per_source: int = S.PER_SOURCE, prefetch: int = S.PREFETCH) -> DataFrame:
     """Many queries at once: both lanes, fusion, ranking, cap per source, limit.
 
-    ``chunks``: (id, text, source_id, source); ``texts``: (query_id, text); ``vectors``:
-    (id, v); ``asked_vectors``: (query_id, v).  Lanes carry ids only; the source
-    is joined to the few fused rows.
+    ``chunks``: (id, text, source) and, if the cap is to be per file, source_id;
+    ``texts``: (query_id, text); ``vectors``: (id, v); ``asked_vectors``: (query_id, v).
+    Lanes carry ids only; the source is joined to the few fused rows.
     """
     deep = limit * prefetch
     words = retrieval.bm25_lane(retrieval.postings(chunks, "id", "text"), texts, "query_id", "text", deep)
     dense = retrieval.dense_lane(vectors, "id", "v", asked_vectors, "query_id", "v", deep)
     scored = retrieval.rank(retrieval.features(retrieval.fuse({"bm25": words, "dense": dense})), weights)
-    return retrieval.diversify(scored.join(chunks.select("id", "source_id", "source"), "id"), "source_id", per_source, limit)
+    names = [c for c in ("source_id", "source") if c in chunks.columns]
+    return retrieval.diversify(scored.join(chunks.select("id", *names), "id"), names[0], per_source, limit)
 
 
 def incremental_scan(chunks: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
