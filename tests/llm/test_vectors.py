@@ -3,7 +3,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from strandloom.llm.clusters import _starts, clusters, describe, embed
+from strandloom.llm import clusters as module
+from strandloom.llm.clusters import Links, _groups, _starts, clusters, describe, embed, starts
 from strandloom.llm.vectors import Cells, CrossPolytope, hadamard, nearest, similar_pairs
 
 WIDTH = 8
@@ -185,3 +186,52 @@ def test_the_embedding_decides(spark, monkeypatch):
     monkeypatch.setattr("strandloom.llm.clusters._starts", lambda d: [F.lit(0.0)] * d)
     wrong = {(r.cluster_id, r.id) for r in clusters(df, "vec_id", "v", 0.82, width=WIDTH).collect()}
     assert wrong != right and len({c for c, _ in wrong}) == 1
+
+
+def test_starts_are_the_same_in_a_cell(spark):
+    ids = [0, 1, 5, -3, 2**62, -(2**63), 123456789]
+    nodes = spark.createDataFrame([(i,) for i in ids], "node long")
+    want = {r.node: r.y for r in nodes.select("node", F.array(*_starts(4)).alias("y")).collect()}
+    assert starts(np.array(ids), 4).tolist() == [want[i] for i in ids]
+
+
+@pytest.mark.parametrize("held", [0, 60, 10**6], ids=["computed again", "some held", "all held"])
+def test_limit_of_the_walk_in_a_cell(held):
+    rng = np.random.default_rng(2)
+    half = [(i, i + 1, 1.0 + i % 3) for i in range(39)] + [(50, 51, 0.3), (50, 52, 2.0), (52, 53, 1.0)]
+    half += [(a, b, float(rng.uniform(0.1, 3))) for a in range(60, 90) for b in range(60, a)]
+    edges = half + [(b, a, x) for a, b, x in half]
+    w = np.zeros((95, 95))
+    for a, b, x in edges[held:]:
+        w[a, b] = x
+    blocks = [(np.arange(s, s + 19), np.arange(95), w[s : s + 19]) for s in range(0, 95, 19)]
+    i, j, x = zip(*edges[:held]) if held else ((), (), ())
+    links = Links(95, np.array(i, dtype=int), np.array(j, dtype=int), np.array(x, dtype=float), lambda: blocks)
+    start = starts(np.arange(95), 3)
+    got = module.walk_limit(links, start)
+    assert np.allclose(got, walk_limit(95, edges, start), atol=1e-6)
+    assert len({tuple(y) for y in got}) == 3 + 21
+
+
+def cell_groups(rows, guests=()):
+    ids, _ = usable(rows)
+    vectors = {i: np.array(r) for i, r, _ in rows}
+    unit = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+    home = ~np.isin(np.arange(len(ids)), guests)
+    table = _groups(0.82, 4, 2)(unit, np.array(ids), np.ones(len(ids), dtype=np.int64), home, None, home)
+    return {(r["root"], r["rep"]) for r in table.to_pylist()}
+
+
+def test_the_walk_decides_within_a_cell(monkeypatch):
+    rows = rows_of()
+    right = cell_groups(rows)
+    assert brute_clusters(rows, 0.82) <= right  # pairs are no clusters, but groups
+    monkeypatch.setattr(module, "HELD", 12_000)
+    monkeypatch.setattr("strandloom.llm.vectors.CHUNK", 2_000)
+    assert cell_groups(rows) == right
+    some = cell_groups(rows, guests=range(0, 150, 7))
+    monkeypatch.setattr(module, "HELD", 10**8)
+    assert cell_groups(rows, guests=range(0, 150, 7)) == some
+    monkeypatch.setattr(module, "starts", lambda ids, d: np.zeros((len(ids), d)))
+    wrong = cell_groups(rows)
+    assert {i for _, i in wrong} == {i for _, i in right} and len({c for c, _ in wrong}) == 1
